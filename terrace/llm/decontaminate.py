@@ -4,12 +4,14 @@ Of every ``SPAN`` consecutive words the hashes of all ``K``-word grams are taken
 each run of ``SPAN - K + 1`` grams the one of smallest hash is kept as a fingerprint.
 Two texts that share ``SPAN`` words share such a run and so keep the same gram of it.
 Fingerprints of documents and benchmark are joined, and each hit is extended to all
-windows around it, compared word by word. Items shorter than a window are windows as
+windows of the document around it, whose words are then compared whole. Items shorter than a window are windows as
 they are; for each such length that occurs all grams of that length are joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,39 +63,48 @@ def winnow(words: Column, span: int = SPAN, k: int = K) -> Column:
 def _exploded(table: DataFrame, prints: str) -> DataFrame:
     """A row for each fingerprint: its hash and place instead of the array."""
     rest = [c for c in table.columns if c != prints]
+    # The outer form: for the inner one Spark would evaluate the fingerprints twice, to filter empty arrays.
     rows = table.select(*rest, F.explode_outer(prints).alias("_print"))
     return rows.select(*rest, F.shiftright("_print", _PLACE_BITS).alias("print"), F.col("_print").bitwiseAND(F.lit(_PLACE)).cast("int").alias("place"))
 
 
-def _occurrences(docs: DataFrame, items: DataFrame, size: int, small: bool, span: int, k: int) -> DataFrame:
-    """Verified windows ``(key, item_id, start, size)``; size 0: winnowed windows of ``span`` words, else whole items of ``size`` words."""
+def _spelled(words: str, start: Column, width: int) -> Column:
+    """A window as text; words hold no spaces, so equal texts are equal windows."""
+    return F.array_join(F.slice(words, start + 1, width), " ")
+
+
+def _windows(items: DataFrame, size: int, span: int) -> DataFrame:
+    """``(window, item_id)`` of the items of this size, each once; size 0: of ``span`` words and more."""
+    width = size or span
+    wanted = items.where((F.col("n") == size) if size else (F.col("n") >= span))
+    starts = wanted.select("item_id", "item_words", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("start"))
+    return starts.select(_spelled("item_words", F.col("start"), width).alias("window"), "item_id").distinct()
+
+
+def _occurrences(docs: DataFrame, items: DataFrame, windows: DataFrame, size: int, small: bool, span: int, k: int) -> DataFrame:
+    """Places where a benchmark window stands: ``(key, start, size, window)``."""
     width = size or span
 
     def prints(words: str) -> Column:
         return _grams(F.col(words), size) if size else winnow(F.col(words), span, k)
 
     wanted = items.where((F.col("n") == size) if size else (F.col("n") >= span))
-    marks = _exploded(wanted.withColumn("_p", prints("item_words")).select("item_id", "_p"), "_p").where("print is not null")
-    marks = durable(marks.withColumnRenamed("place", "item_place"))
+    marks = durable(_exploded(wanted.select(prints("item_words").alias("_p")), "_p").select("print").distinct())
+    spelled = windows.select("window").distinct()
     marked = docs.withColumn("_p", prints("words"))
     if small:
-        found = _exploded(marked, "_p").join(F.broadcast(marks), "print").join(F.broadcast(wanted), "item_id")
+        found = _exploded(marked, "_p").join(F.broadcast(marks), "print", "left_semi")
     else:
-        # Places first, in narrow rows; words are fetched for the rows that met.
-        met = _exploded(marked.select("key", "_p"), "_p").join(marks, "print").select("key", "place", "item_id", "item_place").distinct()
-        found = met.join(docs, "key").join(wanted, "item_id")
-    # The item's windows that hold the gram, and whether the document has them there.
-    first = F.greatest(F.col("item_place") + (size or k) - width, F.lit(0))
-    last = F.least(F.col("item_place"), F.col("n") - width)
-    shift = F.col("place") - F.col("item_place")
-
-    def same(b: Column) -> Column:
-        a = b + shift
-        inside = (a >= 0) & (a + width <= F.size("words"))
-        return inside & (F.slice("words", F.greatest(a, F.lit(0)) + 1, width) == F.slice("item_words", b + 1, width))
-
-    starts = F.transform(F.filter(F.sequence(first, last), same), lambda b: b + shift)
-    return found.where(first <= last).select("key", "item_id", F.explode(starts).alias("start"), F.lit(width).alias("size"))
+        # Places first, in narrow rows; words are fetched for the documents that met.
+        met = _exploded(marked.select("key", "_p"), "_p").join(marks, "print", "left_semi").select("key", "place").distinct()
+        found = met.join(docs.dropDuplicates(["key"]), "key")
+    # A hit extends to all windows of the document that hold the gram.
+    first = F.greatest(F.col("place") + (size or k) - width, F.lit(0))
+    last = F.least(F.col("place"), F.size("words") - width)
+    starts = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
+    near = found.select("key", "words", F.explode_outer(starts).alias("start")).where("start is not null")
+    around = near.select("key", "start", F.lit(width).alias("size"), _spelled("words", F.col("start"), width).alias("window"))
+    return around.join(F.broadcast(spelled) if small else spelled, "window", "left_semi").select("key", "start", "size", "window").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -120,13 +131,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     none = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256")]
     if not lengths:
         return every.select("key.doc_id", "n_words", *none, F.lit(False).alias("contaminated"))
-    found = None
+    parts, origins = [], []
     for r in sorted(lengths, key=lambda r: r.size):
-        part = _occurrences(worded, items, r.size, small, span, k)
-        found = part if found is None else found.union(part)
-    found = durable(found.distinct())
+        windows = durable(_windows(items, r.size, span))
+        parts.append(_occurrences(worded, items, windows, r.size, small, span, k))
+        origins.append(windows)
+    found = durable(reduce(DataFrame.union, parts))
+    origin = reduce(DataFrame.union, origins)
     # A document's windows are at most as many as its words, for each of a few sizes.
-    windows = found.select("key", "start", "size").distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("windows"))
+    windows = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("windows"))
     covered = F.aggregate(
         "windows",
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
@@ -137,7 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
         lambda acc: acc["n"],
     )
     hits = windows.select("key", covered.alias("n_hit"))
-    ids = found.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
+    from_items = found.select("key", "window").distinct().join(F.broadcast(origin) if small else origin, "window")
+    ids = from_items.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
     said = hits.join(ids, "key").select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), digest(F.col("ids")).alias("items_sha256"))
     clean = F.sha2(F.lit("").cast("binary"), 256)
     return every.join(said, "key", "left").select(

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, licenses, quality, simhash, urls
+from terrace.llm import bpe, decontaminate, licenses, pii, quality, simhash, substrings, urls
 
 # Fixed values of the queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PII_KEY = "key of the registered query"  # a real run passes a secret of its own
 URL_RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
@@ -27,6 +28,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count="n_entities")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
@@ -39,6 +45,14 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -47,9 +61,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op6_licenses": op6_licenses,
+    "op7_substrings": op7_substrings,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
 }
 
