@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces longer than this are not kept; the cache starts anew at CACHE_PIECES pieces.
 CACHE_CHARS = 48
@@ -121,10 +122,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     readable on the executors.
     """
     rest = [c for c in docs.columns if c not in ("ids", "offsets")]
-    schema = docs.select(*rest).schema.add("ids", "array<int>")
+    schema = docs.select(*rest).schema.add("ids", T.ArrayType(T.IntegerType()))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     if offsets:
-        schema = schema.add("offsets", "array<struct<start:int,end:int>>")
+        schema = schema.add("offsets", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 
     def run(batches):
         made = codec(path, pattern)
@@ -148,7 +149,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
     ``decoded_text``. Null ids give nulls.
     """
     rest = [c for c in encoded.columns if c not in ("decoded", "decoded_text")]
-    schema = encoded.select(*rest).schema.add("decoded", "binary").add("decoded_text", "string")
+    schema = encoded.select(*rest).schema.add("decoded", T.BinaryType()).add("decoded_text", T.StringType())
 
     def run(batches):
         made = codec(path, pattern)

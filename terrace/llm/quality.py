@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1024
 LEVEL = 3
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", threshol
     replaced. Labels, language, source and id are not looked at.
     """
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*rest).schema.add("score", "double", False).add("predicted", "int", False)
+    schema = docs.select(*rest).schema.add("score", T.DoubleType(), False).add("predicted", T.IntegerType(), False)
 
     def run(batches):
         made = model.compressors() if model.weights else None
