@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, decontaminate, licenses, pii, quality, simhash, substrings, urls
+from terrace.llm import bpe, decontaminate, licenses, neighbours, pii, quality, simhash, substrings, urls
 
 # Fixed values of the queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,6 +59,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -68,6 +73,7 @@ QUERIES = {
     "op7_substrings": op7_substrings,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_neighbours": op10_neighbours,
 }
 
 #: DuckDB equivalents of the queries that SQL can express.
