@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, decontaminate, licenses, neighbours, pii, quality, simhash, substrings, urls
+from terrace.llm import bpe, decontaminate, lattice, licenses, neighbours, pii, quality, simhash, substrings, urls
 
 # Fixed values of the queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PII_KEY = "key of the registered query"  # a real run passes a secret of its own
 URL_RULES = (
     ("block", "com/en/"),
@@ -41,6 +42,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_lattice": op5_lattice,
     "op6_licenses": op6_licenses,
     "op7_substrings": op7_substrings,
     "op8_decontaminate": op8_decontaminate,
