@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.plans.durable import durable
+from terrace.plans.durable import durable, maybe_broadcast
 
 SPAN = 10
 K = 5
@@ -107,6 +107,26 @@ def _occurrences(docs: DataFrame, items: DataFrame, windows: DataFrame, size: in
     return around.join(F.broadcast(spelled) if small else spelled, "window", "left_semi").select("key", "start", "size", "window").distinct()
 
 
+def _key(text: str) -> Column:
+    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("key")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, span: int, k: int, broadcast_words: int) -> tuple[DataFrame, DataFrame, bool] | None:
+    """All places of windows in documents, the windows with their items, and whether the benchmark is small; None without windows."""
+    worded = docs.select(_key(text), words_of(F.col(text)).alias("words"))
+    items = durable(benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("n", F.size("item_words")).where("n > 0"))
+    lengths = items.groupBy(F.when(F.col("n") < span, F.col("n")).otherwise(0).alias("size")).agg(F.sum("n").alias("words")).collect()
+    if not lengths:
+        return None
+    small = sum(r.words for r in lengths) <= broadcast_words
+    parts, origins = [], []
+    for r in sorted(lengths, key=lambda r: r.size):
+        windows = durable(_windows(items, r.size, span))
+        parts.append(_occurrences(worded, items, windows, r.size, small, span, k))
+        origins.append(windows)
+    return durable(reduce(DataFrame.union, parts)), reduce(DataFrame.union, origins), small
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Per document: words, words inside benchmark windows, and the items they come from.
 
@@ -120,24 +140,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     ``doc_id`` with different texts are judged separately; an empty table gives an
     empty result, an empty benchmark no hits; other columns are ignored.
     """
-    key = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    worded = docs.select(key.alias("key"), words_of(F.col(text)).alias("words"))
-    items = durable(benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("n", F.size("item_words")).where("n > 0"))
-    lengths = items.groupBy(F.when(F.col("n") < span, F.col("n")).otherwise(0).alias("size")).agg(F.sum("n").alias("words")).collect()
-    small = sum(r.words for r in lengths) <= broadcast_words
     whole = F.coalesce(F.col(text), F.lit(""))
-    every = docs.select(key.alias("key"), F.regexp_count(whole, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
+    every = docs.select(_key(text), F.regexp_count(whole, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
     digest = lambda ids: F.sha2(F.array_join(ids, ",").cast("binary"), 256)
     none = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256")]
-    if not lengths:
+    places = _found(docs, benchmark, text, span, k, broadcast_words)
+    if places is None:
         return every.select("key.doc_id", "n_words", *none, F.lit(False).alias("contaminated"))
-    parts, origins = [], []
-    for r in sorted(lengths, key=lambda r: r.size):
-        windows = durable(_windows(items, r.size, span))
-        parts.append(_occurrences(worded, items, windows, r.size, small, span, k))
-        origins.append(windows)
-    found = durable(reduce(DataFrame.union, parts))
-    origin = reduce(DataFrame.union, origins)
+    found, origin, small = places
     # A document's windows are at most as many as its words, for each of a few sizes.
     windows = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("windows"))
     covered = F.aggregate(
@@ -153,12 +163,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     from_items = found.select("key", "window").distinct().join(F.broadcast(origin) if small else origin, "window")
     ids = from_items.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
     said = hits.join(ids, "key").select("key", "n_hit", F.size("ids").cast("long").alias("n_items"), digest(F.col("ids")).alias("items_sha256"))
-    clean = F.sha2(F.lit("").cast("binary"), 256)
+    no_ids = F.sha2(F.lit("").cast("binary"), 256)
     return every.join(said, "key", "left").select(
         "key.doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", clean).alias("items_sha256"),
+        F.coalesce("items_sha256", no_ids).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``docs`` without the rows in whose text a window of the benchmark stands.
+
+    The windows and defined cases are those of ``contamination``; all columns are
+    kept, whatever their names, and repeated rows stay or go together.
+    """
+    places = _found(docs, benchmark, text, span, k, broadcast_words)
+    if places is None:
+        return docs
+    hit = durable(places[0].select("key").distinct())
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), _key(text))
+    return rows.join(maybe_broadcast(hit, 64), "key", "left_anti").select("_row.*")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.operators.components import connected_components
 from terrace.plans.durable import durable, maybe_broadcast
@@ -49,17 +50,17 @@ def fingerprint_of(text: bytes | None, k: int = SHINGLE_WORDS, seed: int = SEED)
     return int.from_bytes(np.packbits(counts > len(h) // 2, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``docs``'s ``doc_id`` with ``fp``, the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs``'s columns ``keep`` with ``fp``, the fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches):
         for batch in batches:
-            out = [fingerprint_of(t, k, seed) for t in batch.column(1).to_pylist()]
+            out = [fingerprint_of(t, k, seed) for t in batch.column(0).to_pylist()]
             fp = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], [*keep, "fp"])
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {doc_id}, fp bigint")
+    schema = docs.select(*keep).schema.add("fp", T.LongType())
+    return docs.select(F.col(text).cast("binary").alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def _ball(value, bits: int, radius: int):
@@ -138,9 +139,31 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     table gives an empty result; other columns are ignored, whatever their names.
     """
     marked = durable(fingerprints(docs, text))
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comps = durable(connected_components(links(distinct)))
-    named = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    named = _components(marked)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(marked: DataFrame) -> DataFrame:
+    """``(fp, first_id, component)`` of every distinct fingerprint; components are named by a fingerprint of theirs."""
+    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    comps = durable(connected_components(links(distinct)))
+    return distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of smallest ``doc_id``.
+
+    Defined cases: as in ``near_duplicates``; a row without ``doc_id`` stays only if no
+    row of its component has one, then that of smallest text hash; of repeated rows one
+    stays; all columns are kept, whatever their names.
+    """
+    keys = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash")]
+    marked = durable(fingerprints(docs.select("doc_id", F.col(text).alias("text"), keys[1]), "text", keep=("doc_id", "_hash")))
+    named = _components(marked).select("fp", "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_hash"))
+    kept = marked.join(named, "fp").groupBy("component").agg(first.alias("first")).select("first._id", "first._hash")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), *keys)
+    same = rows["_hash"] == kept["_hash"], rows["_id"].eqNullSafe(kept["_id"])
+    return rows.join(kept, same[0] & same[1], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")

@@ -57,3 +57,13 @@ def test_empty_tables(spark):
     row = decontaminate.contamination(docs, bench).first()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame([(1, "a b")], bench.schema)).count() == 0
+
+
+def test_clean_keeps_whole_rows_without_hits(spark):
+    items, docs = tables()
+    rows = [(i, t, "s") for i, t in enumerate(docs)] + [(4, docs[4], "s"), (None, docs[9], "s")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, words string")
+    got = decontaminate.clean(frame, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got.columns == frame.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if not brute(r[1], items)[4])
+    assert decontaminate.clean(frame, spark.createDataFrame([], "item_id bigint, text string")).count() == len(rows)

@@ -82,3 +82,14 @@ def test_links_same_with_and_without_the_second_table(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    rows = [(i * 3 % 61, t, "x", 1) for i, t in enumerate(texts())] + [(None, "one", "x", 2), (0, None, "again", 3), (None, "alone at last", "x", 4)]
+    schema = "doc_id bigint, text string, fp string, _hash int"
+    got = simhash.deduplicate(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "fp", "_hash"]
+    fps = [brute(r[1]) for r in rows]
+    want = components([r[0] for r in rows], fps)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted({i: str(want[i]) for i in range(len(rows))}[i] for i in {want[i]: i for i in want}.values())
+    assert simhash.deduplicate(spark.createDataFrame([], schema)).count() == 0
