@@ -10,6 +10,7 @@ they are; for each such length that occurs all grams of that length are joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,6 @@ BROADCAST_WORDS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # A fingerprint's low bits are its place, the others its hash.
 _PLACE_BITS = 26
 _PLACE = (1 << _PLACE_BITS) - 1
@@ -38,26 +38,37 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower, _BREAK), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` evaluated once: inside the lambdas of ``body`` an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _grams(words: Column, k: int) -> Column:
     """Hash and place of every k-word gram, in one long each; empty for fewer words."""
 
-    def gram(i: Column) -> Column:
-        mixed = F.xxhash64(*(F.get(words, i + j) for j in range(k)))
-        return mixed.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i)
+    def every(words: Column) -> Column:
+        def gram(i: Column) -> Column:
+            mixed = F.xxhash64(*(F.get(words, i + j) for j in range(k)))
+            return mixed.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i)
 
-    last = F.size(words).cast("long") - k
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), lambda i: gram(i.cast("int")))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+        last = F.size(words) - k
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        return F.when(last >= 0, F.transform(starts, gram)).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(words, every)
 
 
 def winnow(words: Column, span: int = SPAN, k: int = K) -> Column:
     """Fingerprints of a word array: in each run of ``span - k + 1`` grams the leftmost of smallest hash."""
     run = span - k + 1
-    grams = _grams(words, k)
-    last = F.size(grams) - run + 1
-    picked = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, run)))
-    return F.when(last >= 1, F.array_distinct(picked)).otherwise(F.array().cast("array<bigint>"))
+
+    def smallest(grams: Column) -> Column:
+        last = F.size(grams) - run
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        picked = F.transform(starts, lambda i: F.least(*(F.get(grams, i + j) for j in range(run))) if run > 1 else F.get(grams, i))
+        return F.when(last >= 0, F.array_distinct(picked)).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(_grams(words, k), smallest)
 
 
 def _exploded(table: DataFrame, prints: str) -> DataFrame:
@@ -140,8 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     ``doc_id`` with different texts are judged separately; an empty table gives an
     empty result, an empty benchmark no hits; other columns are ignored.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    every = docs.select(_key(text), F.regexp_count(whole, F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
+    every = docs.select(_key(text), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     digest = lambda ids: F.sha2(F.array_join(ids, ",").cast("binary"), 256)
     none = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256")]
     places = _found(docs, benchmark, text, span, k, broadcast_words)
