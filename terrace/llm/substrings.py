@@ -29,6 +29,7 @@ SENT_ANCHORS = 4_000_000
 #: Up to so many texts with something to remove (about 100 bytes each) are broadcast; more are joined by a shuffle.
 SENT_BYTES = 48 << 20
 KEPT_WORDS = 400_000
+TABLE_BITS = 25
 
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -56,6 +57,21 @@ def grams(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     for j in range(k):
         out *= _MULTIPLIERS[which]
         out += words[j : n + j]
+    return _mixed(out)
+
+
+def grams_at(words: np.ndarray, starts: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """``grams(words, k, which)[starts]``, without hashing all places where few are wanted."""
+    if 4 * len(starts) > len(words):
+        return grams(words, k, which)[starts]
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(k):
+        out *= _MULTIPLIERS[which]
+        out += words[starts + j]
+    return _mixed(out)
+
+
+def _mixed(out: np.ndarray) -> np.ndarray:
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
@@ -106,6 +122,9 @@ def _windows(repeated):
     def run(batches):
         hashes = WordHashes()
         wanted = repeated.value if repeated is not None else None
+        if wanted is not None:  # most anchors are not wanted, which a table of their low bits shows sooner than the search
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[wanted & (len(table) - 1)] = True
         for batch in batches:
             parts, rows = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
@@ -115,12 +134,14 @@ def _windows(repeated):
                 else:
                     places = anchor_places(len(words))
                     own = grams(words, ANCHOR)[places]
+                    maybe = table[own & (len(table) - 1)]
+                    places, own = places[maybe], own[maybe]
                     at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                     places = places[wanted[at] == own]
                 if not len(places):
                     continue
                 starts = _windows_around(words, places)
-                parts.append((grams(words, WINDOW)[starts], grams(words, WINDOW, 1)[starts], starts.astype(np.int32)))
+                parts.append((grams_at(words, starts, WINDOW), grams_at(words, starts, WINDOW, 1), starts.astype(np.int32)))
                 rows.append(np.full(len(starts), i))
             if not parts:
                 continue
