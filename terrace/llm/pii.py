@@ -24,7 +24,7 @@ _MALE_TITLE = r"(?:Mr\.?|Herr|Monsieur|Señor|Sr\.|господин|Господ
 _FEMALE_TITLE = r"(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Mlle\.?|Señora|Sra\.|госпожа|Госпожа)"
 _OTHER_TITLE = r"(?:Dr\.|Prof\.)"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
     "card": r"(?<![\d+])(?:\d{16}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(\d{1,4}\)(?:[ .\-]?\d{2,4}){2,4}|\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
@@ -33,7 +33,17 @@ PATTERNS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:(?: [0-9A-Z]{4}){3,7}(?: [0-9A-Z]{1,3})?|\d{11,30})(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:{_MALE_TITLE}|{_FEMALE_TITLE}|{_OTHER_TITLE}) {_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# The same, but tried only where one can start: an address at a word's first character, a number at a digit or sign.
+_NUMBERS = ("card", "phone", "ssn", "ip")
+ANY = "|".join(
+    [
+        rf"(?<![\p{{L}}\p{{N}}_])(?:{PATTERNS['email']})",
+        f"(?:{PATTERNS['secret']})",
+        rf"(?=[\d+(])(?:{'|'.join(PATTERNS[k] for k in _NUMBERS)})",
+        f"(?:{PATTERNS['iban']})",
+        f"(?:{PATTERNS['name']})",
+    ]
+)
 
 # Alphabets of surrogate letters, and given names and syllables of surrogate names, by script.
 ALPHABETS = {
