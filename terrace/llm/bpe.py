@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 #: Pieces longer than this are not kept; the cache starts anew at CACHE_PIECES pieces.
 CACHE_CHARS = 48
 CACHE_PIECES = 400_000
+SLICE_ROWS = 256
 
 # Texts of these characters alone are cut by an equivalent pattern of the faster ``re``:
 # in these ranges it has the same letters, numbers and white space.
@@ -113,23 +114,33 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """``docs`` with ``ids array<int>`` and, if wanted, ``offsets array<struct<start,end>>`` in characters.
+def _slices(batches, rows: int = SLICE_ROWS):
+    """Batches in slices, so that the ids of a few texts at a time are in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, round_trip: bool = False) -> DataFrame:
+    """``docs`` with ``ids array<int>`` and, if wanted, ``offsets array<struct<start,end>>`` in characters,
+    and ``round_trip boolean``: decoding the ids, in the same task, gives the text's bytes again.
 
     Whole texts are encoded, without special tokens. Defined cases: a null text is
-    encoded as the empty one (no ids); repeated rows stay; columns called ``ids`` or
-    ``offsets`` are replaced; an empty table gives an empty result. ``path`` must be
+    encoded as the empty one (no ids); repeated rows stay; columns called ``ids``,
+    ``offsets`` or ``round_trip`` are replaced; an empty table gives an empty result. ``path`` must be
     readable on the executors.
     """
-    rest = [c for c in docs.columns if c not in ("ids", "offsets")]
+    rest = [c for c in docs.columns if c not in ("ids", "offsets", "round_trip")]
     schema = docs.select(*rest).schema.add("ids", T.ArrayType(T.IntegerType()))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     if offsets:
         schema = schema.add("offsets", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
+    if round_trip:
+        schema = schema.add("round_trip", T.BooleanType())
 
     def run(batches):
         made = codec(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             packed = [np.frombuffer(p, "<u4").astype(np.int32) for p in made.packed(texts)]
             columns = [*batch.columns, pa.array(packed, pa.list_(pa.int32()))]
@@ -137,6 +148,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
             if offsets:
                 spans = [[{"start": s, "end": e} for s, e in made.offsets(t, p.tolist())] for t, p in zip(texts, packed)]
                 columns, names = [*columns, pa.array(spans, span)], [*names, "offsets"]
+            if round_trip:
+                same = [made.decode(p.tolist()) == t.encode() for t, p in zip(texts, packed)]
+                columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(*rest).mapInArrow(run, schema)
@@ -153,7 +167,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 
     def run(batches):
         made = codec(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             raw = [None if r is None else made.decode(r) for r in rows]
             columns = [*batch.columns, pa.array(raw, pa.binary()), pa.array([None if r is None else r.decode(errors="replace") for r in raw], pa.string())]
@@ -172,7 +186,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
     def run(batches):
         made = codec(path, pattern)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in _slices(batches):
             packed = made.packed([t or "" for t in batch.column(1).to_pylist()])
             back = [made.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
             yield pa.RecordBatch.from_arrays(
