@@ -71,3 +71,17 @@ def test_scores_against_brute_force(spark, chunk):
 
 def test_empty_table(spark):
     assert lattice.score(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
+
+
+def test_expected_counts_by_products_and_in_logs():
+    import numpy as np
+    import public_tokenizers
+
+    made = lattice.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    logs = np.log(np.maximum(made.prior, 1e-12)).tolist()
+    chances = [math.exp(x) for x in logs]
+    for word in ("a", "reading", "Ünï日本", "q" * 400, "\u0007x", ""):
+        a, b = [0.0] * made.n, [0.0] * made.n
+        lattice.add_expected(made.arcs(word), chances, logs, a, 3.0)
+        lattice.expected_counts(made.arcs(word), logs, b, 3.0)
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
