@@ -159,11 +159,16 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     row of its component has one, then that of smallest text hash; of repeated rows one
     stays; all columns are kept, whatever their names.
     """
-    keys = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash")]
-    marked = durable(fingerprints(docs.select("doc_id", F.col(text).alias("text"), keys[1]), "text", keep=("doc_id", "_hash")))
+    marked = durable(fingerprints(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_hash")), "text", keep=("doc_id", "_hash")))
     named = _components(marked).select("fp", "component")
+    return first_rows(docs, text, marked.join(named, "fp"))
+
+
+def first_rows(docs: DataFrame, text: str, named: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``component`` of ``named``, which has ``doc_id`` and ``_hash``, the text's ``xxhash64``, of every row."""
+    keys = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_hash"))
-    kept = marked.join(named, "fp").groupBy("component").agg(first.alias("first")).select("first._id", "first._hash")
+    kept = named.groupBy("component").agg(first.alias("first")).select("first._id", "first._hash")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), *keys)
     same = rows["_hash"] == kept["_hash"], rows["_id"].eqNullSafe(kept["_id"])
     return rows.join(kept, same[0] & same[1], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
