@@ -5,7 +5,8 @@ direction has its own array sorted by projection. A query widens a window around
 own projection in every array, level by level (virtual rehashing), and counts for each
 vector in how many windows it lies. Vectors that reach the collision threshold are
 verified by the exact inner product; widening stops when enough of the block has been
-verified. Largest inner product becomes nearest distance by one added coordinate.
+verified. Largest inner product becomes nearest distance by one added coordinate, in
+ranges of similar length, so that long vectors do not squeeze the others together.
 
 Blocks of vectors and groups of queries meet in a grid of tasks of bounded size; each
 sends on the best of its block, and these are ranked per query.
@@ -13,6 +14,8 @@ sends on the best of its block, and these are ranked per query.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,6 +27,8 @@ THRESHOLD = 0.6
 #: Widening stops once ``k`` plus this part of the block has reached the threshold.
 VERIFIED_SHARE = 0.25
 FIRST_WIDTH, WIDENING = 0.85, 1.2
+#: A range of vectors is searched by itself; its lengths differ by this factor at most.
+LENGTH_RATIO = 1.15
 BLOCK_ROWS = 8192
 GROUP_QUERIES = 16384
 SEED = 20
@@ -79,28 +84,57 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[scaled, np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))]
 
 
-def search_block(queries, query_ids, vectors, ids, k: int, longest: float, share: float = VERIFIED_SHARE):
-    """``(query_id, vec_id, score)`` arrays: up to ``k`` best of this block for each query, none the query's own id."""
-    dim = queries.shape[1]
-    directions = _directions(dim + 1)
-    index = BlockIndex(_lifted(vectors, longest), directions)
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    projected = np.c_[unit, np.zeros(len(unit))].astype(np.float32) @ directions
-    enough, need = int(k + 1 + share * len(vectors)), int(np.ceil(THRESHOLD * PROJECTIONS))
-    out = []
-    for i, rows in enumerate(index.candidates(projected, enough, need)):
-        rows = rows[ids[rows] != query_ids[i]]
-        near = vectors[rows]
-        rough = near @ queries[i]
-        if len(rows) > k:  # the product above may round copies of a vector differently
-            keep = rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-9 * longest * np.abs(queries[i]).sum()
-            rows, near = rows[keep], near[keep]
-        scores = (near * queries[i]).sum(axis=1)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        out.append((np.full(len(best), query_ids[i]), ids[rows][best], scores[best]))
-    if not out:
+def length_ranges(lengths: np.ndarray) -> list[np.ndarray]:
+    """Rows by falling length, cut where they get shorter than a range's longest by more than ``LENGTH_RATIO``."""
+    order, out = np.argsort(-lengths, kind="stable"), []
+    while len(order):
+        n = int(np.count_nonzero(lengths[order] * LENGTH_RATIO >= lengths[order[0]]))
+        out.append(order[:n])
+        order = order[n:]
+    return out
+
+
+def search_block(queries, query_ids, vectors, ids, k: int, share: float = VERIFIED_SHARE):
+    """``(query_id, vec_id, score)`` arrays: up to ``k`` best of this block for each query, none the query's own id.
+
+    Vectors are searched by ranges of length, the longest first, each lifted by its own
+    longest vector. A query leaves out a range that is too short to hold a better one
+    than the ``k`` it has.
+    """
+    directions = _directions(queries.shape[1] + 1)
+    norms = np.linalg.norm(queries, axis=1)
+    projected = np.c_[queries / norms[:, None], np.zeros(len(queries))].astype(np.float32) @ directions
+    lengths, need = np.linalg.norm(vectors, axis=1), int(np.ceil(THRESHOLD * PROJECTIONS))
+    best = [(np.zeros(0, ids.dtype), np.zeros(0)) for _ in queries]
+    worst = np.full(len(queries), -np.inf)
+    for part in length_ranges(lengths):
+        longest = float(lengths[part[0]]) * (1 + 1e-12)
+        asking = np.flatnonzero(worst <= norms * longest * (1 + 1e-9))
+        if not len(asking):
+            continue
+        part = np.sort(part)
+        enough = int(k + 1 + share * len(part))
+        if 2 * enough >= len(part):  # searching would take longer than verifying all
+            found = repeat(np.arange(len(part)))
+        else:
+            found = BlockIndex(_lifted(vectors[part], longest), directions).candidates(projected[asking], enough, need)
+        for i, rows in zip(asking.tolist(), found):
+            rows = part[rows]
+            rows = rows[ids[rows] != query_ids[i]]
+            near = vectors[rows]
+            rough = near @ queries[i]
+            if len(rows) > k:  # the product above may round copies of a vector differently
+                keep = rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-9 * longest * np.abs(queries[i]).sum()
+                rows, near = rows[keep], near[keep]
+            all_ids = np.concatenate([best[i][0], ids[rows]])
+            scores = np.concatenate([best[i][1], (near * queries[i]).sum(axis=1)])
+            first = np.lexsort((all_ids, -scores))[:k]
+            best[i] = all_ids[first], scores[first]
+            if len(first) == k:
+                worst[i] = scores[first[-1]]
+    if not best:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return np.repeat(query_ids, [len(x) for x, _ in best]), *(np.concatenate(x) for x in zip(*best))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -139,10 +173,8 @@ def nearest(
     # Of equal vectors only the first k + 1 ids can be among the nearest of any query.
     copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     data = data.withColumn("_copy", copy).where(F.col("_copy") <= k + 1).drop("_copy")
-    sums = data.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).first()
     groups = max(1, -(-asked.count() // group_queries))
-    blocks = max(1, -(-sums.n // block_rows))
-    longest = float(np.sqrt(sums.norm or 1.0)) * (1 + 1e-12)
+    blocks = max(1, -(-data.count() // block_rows))
     # Every vector meets every query group, every query every block.
     dim, near = F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
     left = data.select("vec_id", "embedding", dim, near, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
@@ -155,7 +187,7 @@ def nearest(
             # In the order of their ids, so that a rerun of the task gives the same.
             rows, wanted = rows.sort_by("vec_id"), wanted.sort_by("vec_id")
             ids, query_ids = (np.asarray(t["vec_id"].combine_chunks()) for t in (rows, wanted))
-            found = search_block(_matrix(wanted["embedding"]), query_ids, _matrix(rows["embedding"]), ids, k, longest, share)
+            found = search_block(_matrix(wanted["embedding"]), query_ids, _matrix(rows["embedding"]), ids, k, share)
         else:
             found = ([], [], [])
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})

@@ -66,3 +66,19 @@ def test_recall_on_the_query_table(spark):
     want = brute([r.vec_id for r in rows], vectors, [r.vec_id for r in rows if r.vec_id % 20 == 0], 20)
     assert sum((q, i) in got for q, v in want.items() for i, _ in v) >= 0.9 * 20 * len(want)
     assert df.where(F.col("vec_id") % 20 == 0).count() * 20 == len(got)
+
+
+@pytest.mark.parametrize("skew", ["one long vector", "lognormal"])
+def test_recall_with_skewed_lengths(spark, skew):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((4000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if skew == "lognormal":
+        vectors *= rng.lognormal(0, 0.5, (4000, 1))
+    else:
+        vectors[7] *= 3
+    vectors = vectors.astype(np.float32)
+    df = table(spark, range(4000), vectors)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id % 40 = 0")).collect()}
+    want = brute(list(range(4000)), vectors.astype(np.float64), range(0, 4000, 40), 20)
+    assert sum((q, i) in got for q, v in want.items() for i, _ in v) >= 0.9 * 20 * len(want)
