@@ -65,6 +65,10 @@ SYLLABLES = {
     "Cyrillic": "бар вел гор дан дол зар кор лан лес мар мел нор пал рин сол тар тов вин".split(),
 }
 _DIGITS = {"card", "ssn"}
+#: Country calling codes; none is the start of another, so digits alone tell where one ends.
+_CALLING_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: The national prefix that some write within an international number and none dials.
+_TRUNK = r"(?<=^\+\d{1,3}[ .\-]{0,1})\(0\)"
 
 
 def _in_full(value: Column, pattern: str) -> Column:
@@ -93,8 +97,7 @@ def canons(entity: Column) -> Column:
     """What an entity stands for, whatever its punctuation and case: an array of ``type:value``; a name has one for each of its parts."""
     kind = kind_of(entity)
     digits = F.regexp_replace(entity, r"\D", "")
-    code = F.regexp_extract(entity, r"^\+(\d{1,3})(?=\D)", 1)
-    phone = F.concat(code, F.lit("|"), F.substring(digits, F.length(code) + 1, F.length(digits)))
+    phone = F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(F.regexp_replace(entity, _TRUNK, ""), r"\D", ""))
     tokens = _tokens(entity)
     family = F.concat(F.lit("family:"), F.lower(F.get(tokens, F.size(tokens) - 1)))
     given = F.concat(F.lit("given_"), _gender(entity), F.lit(":"), F.lower(F.get(tokens, F.lit(0))))
@@ -152,8 +155,8 @@ def surrogate(canon: Column, key: str, attempt: int) -> Column:
     digits = _shaped(value, stream)
     card = F.concat(F.substring(value, 1, 1), F.substring(digits, 2, 15))
     fixed = F.concat(F.substring(card, 1, 15), ((10 - _luhn(F.concat(F.substring(card, 1, 15), F.lit("0")))) % 10).cast("string"))
-    code = F.substring_index(value, "|", 1)
-    phone = F.concat(code, F.substring(digits, F.length(code) + 1, F.length(digits)))
+    code = F.regexp_extract(value, _CALLING_CODE, 1)
+    phone = F.concat(code, F.substring(F.translate(digits, "+", ""), F.length(code) + 1, F.length(digits)))
     octets = F.concat_ws(".", (_draw(stream, 0, 223) + 1).cast("string"), *(_draw(stream, i, 256).cast("string") for i in (1, 2, 3)))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host, last = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
@@ -188,7 +191,7 @@ def surrogate(canon: Column, key: str, attempt: int) -> Column:
     return (
         F.when(kind == "card", F.when(_luhn(value) == 0, fixed).otherwise(card))
         .when(kind == "ssn", digits)
-        .when(kind == "phone", F.concat_ws("|", code, F.substring(phone, F.length(code) + 2, F.length(phone))))
+        .when(kind == "phone", phone)
         .when(kind == "ip", octets)
         .when(kind == "email", email)
         .when(kind == "secret", secret)
@@ -203,11 +206,14 @@ def assign(entities: DataFrame, key: str, max_attempts: int = 12) -> DataFrame:
 
     Where two draw the same value, the smaller keeps it and the others draw again.
     """
+    kind = F.substring_index("canon", ":", 1)
+    value = F.expr("substring(canon, instr(canon, ':') + 1)")
     todo, done = durable(entities.select("canon").distinct()), None
     real = todo
     for attempt in range(max_attempts):
-        drawn = durable(todo.select("canon", surrogate(F.col("canon"), key, attempt).alias("value"), F.substring_index("canon", ":", 1).alias("kind")))
-        taken = real.select(F.substring_index("canon", ":", 1).alias("kind"), F.expr("substring(canon, instr(canon, ':') + 1)").alias("value"))
+        drawn = durable(todo.select("canon", surrogate(F.col("canon"), key, attempt).alias("value"), kind.alias("kind")))
+        # Phones are compared by the digits that are written out.
+        taken = real.select(kind.alias("kind"), F.when(kind == "phone", F.translate(value, "+", "")).otherwise(value).alias("value"))
         if done is not None:
             taken = taken.union(done.select("kind", "value"))
         free = drawn.join(taken.distinct(), ["kind", "value"], "left_anti")
@@ -250,6 +256,7 @@ def rendered(entity: Column, values: Column) -> Column:
     kind, wanted = kind_of(entity), canons(entity)
     value = F.element_at(values, F.get(wanted, F.lit(0)))
     digits = F.regexp_replace(value, r"\D", "")
+    phone = F.translate(_filled(F.regexp_replace(entity, _TRUNK, "(\x01)"), digits), "\x01", "0")
     tokens = _tokens(entity)
     title = F.regexp_extract(entity, rf"^(?:{_MALE_TITLE}|{_FEMALE_TITLE}|{_OTHER_TITLE}) ", 0)
     names = F.array_join(F.zip_with(tokens, wanted, lambda t, w: _named(t, F.element_at(values, w))), " ")
@@ -263,7 +270,8 @@ def rendered(entity: Column, values: Column) -> Column:
         lambda acc: acc["out"],
     )
     return (
-        F.when(kind.isin("phone", *_DIGITS), _filled(entity, digits))
+        F.when(kind.isin(*_DIGITS), _filled(entity, digits))
+        .when(kind == "phone", phone)
         .when(kind == "ip", value)
         .when(kind == "iban", spaced)
         .when(kind == "name", F.concat(title, names))

@@ -70,3 +70,24 @@ def test_collisions_are_drawn_again(spark):
     assert len(kinds) == 700
     real = {r.canon for r in got}
     assert not real & {f"{k}:{v}" for k, v in kinds}
+
+
+def test_phones_compact_and_spaced_are_one_number(spark):
+    texts = ["+17135557713", "+1 (713) 555-7713", "+1 713 555 7713", "+442079460958 +44 20 7946 0958 +44 (0)20 7946 0958", "+353871234567 +353 87 123 4567", "713-555-7713 (713) 555-7713", "+7135557713"]
+    found = run(spark, texts)
+    got = [found[i].text for i in range(len(texts))]
+    digits = [re.sub(r"\D", "", t) for t in got]
+    assert digits[0] == digits[1] == digits[2] != "17135557713" and digits[0][0] == "1"
+    assert [re.sub(r"\d", "9", t) for t in got] == [re.sub(r"\d", "9", t) for t in texts]
+    a, b, c = re.fullmatch(r"\+(\d{12}) \+(\d\d \d\d \d{4} \d{4}) \+(\d\d \(0\)\d\d \d{4} \d{4})", got[3]).groups()
+    assert a == b.replace(" ", "") == c.replace("(0)", "").replace(" ", "") != "442079460958" and a[:2] == "44"
+    a, b = got[4].split(" ", 1)
+    assert a == b.replace(" ", "") != "+353871234567" and a[:4] == "+353"
+    assert len({digits[0][1:], digits[5][:10], digits[6]}) == 3 and digits[5][:10] == digits[5][10:] and digits[6][0] == "7"
+
+
+def test_phones_differ_in_the_digits_written(spark):
+    canons = spark.createDataFrame([(f"phone:{p}{d}{n:03}",) for d in (0, 1) for n in range(400) for p in ("+7", "7")], "canon string")
+    got = pii.assign(canons, KEY).collect()
+    assert len({r.value for r in got}) == len(got) == 1600
+    assert not {r.value for r in got} & {re.sub(r"\D", "", r.canon) for r in got}
