@@ -59,77 +59,109 @@ _BINDS = {"or": 1, "and": 2, "with": 3}
 
 @dataclass(frozen=True)
 class Expression:
-    """A parsed licence expression: a name, or an operator with two sides."""
+    """A parsed licence expression in postfix order, as the shunting-yard parser gives it: every operator follows its two sides.
 
-    name: str
-    left: Expression | None = None
-    right: Expression | None = None
+    All readings walk the items once, with a stack of their own, so that expressions of any length and depth can be read.
+    """
+
+    items: tuple[str, ...]
 
     def names(self) -> set[str]:
         """Licences named; an exception after ``with`` stays with its licence."""
-        if not self.left:
-            return {self.name}
-        if self.name == "with":
-            return {f"{a} with {b}" for a in self.left.names() for b in self.right.names()}
-        return self.left.names() | self.right.names()
+        stack: list[str] = []
+        for item in self.items:
+            if item == "with":
+                exception, name = stack.pop(), stack.pop()
+                stack.append(f"{name} with {exception}")
+            elif item not in _BINDS:
+                stack.append(item)
+        return set(stack)
 
     def allowed(self, licences: frozenset[str] = PERMISSIVE) -> bool:
         """Whether the expression can be met by ``licences``: either side of an or, both of an and; an exception only widens."""
-        if not self.left:
-            return self.name in licences
-        if self.name == "or":
-            return self.left.allowed(licences) or self.right.allowed(licences)
-        return self.left.allowed(licences) and (self.name == "with" or self.right.allowed(licences))
+        stack: list[bool] = []
+        for item in self.items:
+            if item in _BINDS:
+                right, left = stack.pop(), stack.pop()
+                stack.append((left or right) if item == "or" else (left and (item == "with" or right)))
+            else:
+                stack.append(item in licences)
+        return stack[0]
 
     def __str__(self) -> str:
-        return f"({self.left} {self.name} {self.right})" if self.left else self.name
+        """All brackets written. Names stand in the same order in both notations, so an operator opens before its first and closes after its last name."""
+        names = [item for item in self.items if item not in _BINDS]
+        opened, closed, between = [0] * len(names), [0] * len(names), [""] * len(names)
+        stack: list[tuple[int, int]] = []
+        at = 0
+        for item in self.items:
+            if item in _BINDS:
+                (middle, last), (first, _) = stack.pop(), stack.pop()
+                opened[first] += 1
+                closed[last] += 1
+                between[middle] = f" {item} "
+                stack.append((first, last))
+            else:
+                stack.append((at, at))
+                at += 1
+        return "".join(f"{b}{'(' * o}{name}{')' * c}" for b, o, name, c in zip(between, opened, names, closed))
 
 
-def parse_expression(text: str) -> Expression | None:
-    """The longest licence expression at the start of ``text``, lower-cased; None if there is none.
+def parse_expression(text: str, start: int = 0, end: int | None = None) -> Expression | None:
+    """The longest licence expression at ``start`` of ``text``, lower-cased; None if there is none.
 
-    Reading stops at the end of the line, or where a name cannot be followed. An
-    unfinished tail (an operator without a right side, an open bracket) is left off.
+    Reading stops at ``end`` (by default the end of the line), or where a name cannot be
+    followed. ``with`` stands between two names, as its exception belongs to one
+    licence. An unfinished tail (an operator without a right side, an open bracket) is
+    left off.
     """
-    output: list[Expression] = []
+    if end is None:
+        end = len(text) if (at := text.find("\n", start)) < 0 else at
+    output: list[str] = []
     operators: list[str] = []
+    names = brackets = 0
+    want_name, simple = True, False
 
     def reduce():
-        right, left = output.pop(), output.pop()
-        output.append(Expression(operators.pop(), left, right))
+        output.append(operators.pop())
 
-    at, want_name = 0, True
-    while found := _TOKEN.match(text, at):
+    at = start
+    while found := _TOKEN.match(text, at, end):
         token = found[1].lower()
         if want_name:
-            if token == "(":
+            if token == "(" and operators[-1:] != ["with"]:
                 operators.append(token)
-            elif token in _BINDS or token == ")":
+                brackets += 1
+            elif token in _BINDS or token in "()":
                 break
             else:
-                output.append(Expression(token.rstrip(".") or token))
+                simple = operators[-1:] != ["with"]
+                output.append(token.rstrip(".") or token)
+                names += 1
                 want_name = False
-        elif token in _BINDS:
+        elif token in _BINDS and (token != "with" or simple):
             while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[token]:
                 reduce()
             operators.append(token)
             want_name = True
-        elif token == ")" and "(" in operators:
+        elif token == ")" and brackets:
             while operators[-1] != "(":
                 reduce()
             operators.pop()
+            brackets -= 1
+            simple = False
         else:
             break
         at = found.end()
-    while want_name and operators:  # an unfinished tail
-        operators.pop()
-        want_name = bool(operators) and len([o for o in operators if o != "("]) >= len(output)
+    # An unfinished tail: open brackets, and the operator before them if no name follows it.
+    while want_name and operators:
+        want_name = operators.pop() == "("
     while operators:
         if operators[-1] == "(":
             operators.pop()
         else:
             reduce()
-    return output[0] if output else None
+    return Expression(tuple(output)) if output else None
 
 
 @lru_cache(maxsize=1)
@@ -169,18 +201,24 @@ def scan_text(text: bytes | None) -> Scan:
     out = Scan(len(words), [], set(), set(), [], 0.0)
     line = b" ".join((b"", *words, b"")).decode()
     miss = 1.0
+    at = place = 0  # words are counted on from the find before
     for end, (back, what) in phrases.iter(line):
         for label, confidence, base in what:
             out.labels.add(label)
             miss *= 1 - confidence
             if base:
+                start = end - back
+                place += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+                at = start
                 out.base_labels.add(label)
-                out.base.append(line.count(" ", 0, end - back))
+                out.base.append(place)
     lower = (text or b"").translate(_LOWER)
     if any(tag.encode() in lower for tag in TAGS):
-        raw = lower.decode()
+        raw, line_end = lower.decode(), -1
         for end, _ in tags.iter(raw):
-            if expression := parse_expression(raw[end + 1 :].split("\n", 1)[0]):
+            if line_end <= end:
+                line_end = len(raw) if (found := raw.find("\n", end + 1)) < 0 else found
+            if expression := parse_expression(raw, end + 1, line_end):
                 out.expressions.append(expression)
                 out.labels |= expression.names()
                 miss *= 1 - TAG_CONFIDENCE
@@ -202,7 +240,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     whether every expression found can be met by permissive licences (null without one).
 
     Defined cases: a null text is empty; an empty text has no finds, null
-    ``first_word`` and ``last_word`` and score 0; repeated rows stay; an empty table
+    ``first_word`` and ``last_word`` and score 0; texts and expressions of any length are
+    read whole, in time that grows with the length; repeated rows stay; an empty table
     gives an empty result. Rows never meet, and other columns are ignored.
     """
 

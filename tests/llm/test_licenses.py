@@ -1,4 +1,5 @@
 import re
+import time
 
 from terrace.llm import licenses
 
@@ -41,3 +42,27 @@ def test_expressions():
     allowed = {"mit or gpl-3.0": True, "mit and gpl-3.0": False, "gpl-2.0 with classpath": False, "(mit and isc) or gpl-3.0": True}
     for text, want in allowed.items():
         assert licenses.parse_expression(text).allowed() is want, text
+
+
+def test_long_expressions_and_many_finds():
+    """A million names, deep brackets and a hundred thousand finds in seconds."""
+    n = 1_000_000
+    start = time.time()
+    many = licenses.scan_text(("SPDX-License-Identifier: " + "MIT AND " * n + "ISC").encode())
+    assert many.labels >= {"mit", "isc"} and many.expressions[0].allowed() and len(str(many.expressions[0])) > 8 * n
+    assert str(licenses.parse_expression("(" * 50_000 + "MIT" + ")" * 50_000)) == "mit"
+    assert str(licenses.parse_expression("a or (" * 3)) == "(a or (a or a))" and str(licenses.parse_expression("a or " + "(" * 50_000)) == "a"
+    nested = licenses.parse_expression("a or (" * 50_000 + "b" + ")" * 50_000)
+    assert nested.names() == {"a", "b"} and str(nested).endswith("b" + ")" * 50_000)
+    finds = licenses.scan_text(b"mit license " * 100_000)
+    assert finds.base == list(range(0, 200_000, 2)) and finds.n_words == 200_000
+    one_line = licenses.scan_text(b"spdx-license-identifier: mit " * 100_000)
+    assert len(one_line.expressions) == 100_000 and one_line.labels == {"mit"}
+    assert time.time() - start < 60
+
+
+def test_with_stands_between_names():
+    cases = {"(a or b) with (c or d)": "(a or b)", "a with (b)": "a", "a with b with c": "(a with b)", "a with b and c with d": "((a with b) and (c with d))"}
+    for text, want in cases.items():
+        assert str(licenses.parse_expression(text)) == want, text
+    assert licenses.parse_expression("a with b or c").names() == {"a with b", "c"}
