@@ -20,13 +20,15 @@ from terrace.plans.durable import durable, maybe_broadcast
 
 SPAN = 10
 K = 5
-#: Benchmarks of up to so many words are broadcast; larger ones are joined by shuffles.
-BROADCAST_WORDS = 1_000_000
+#: Benchmarks whose spelled windows take up to so many bytes are broadcast; larger ones are joined by shuffles.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# A fingerprint's low bits are its place, the others its hash.
-_PLACE_BITS = 26
+# A fingerprint's low bits are its place, the others its hash. A string holds under 2^31
+# bytes and a word takes two with its separator, so every place is below 2^30. What meets
+# by the remaining bits of the hash alone goes when windows are compared whole.
+_PLACE_BITS = 30
 _PLACE = (1 << _PLACE_BITS) - 1
 
 
@@ -122,14 +124,16 @@ def _key(text: str) -> Column:
     return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("key")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, text: str, span: int, k: int, broadcast_words: int) -> tuple[DataFrame, DataFrame, bool] | None:
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, span: int, k: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, bool] | None:
     """All places of windows in documents, the windows with their items, and whether the benchmark is small; None without windows."""
     worded = docs.select(_key(text), words_of(F.col(text)).alias("words"))
     items = durable(benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("n", F.size("item_words")).where("n > 0"))
-    lengths = items.groupBy(F.when(F.col("n") < span, F.col("n")).otherwise(0).alias("size")).agg(F.sum("n").alias("words")).collect()
+    # Every word stands in at most ``span`` windows, with a space and about 40 bytes of row for each window.
+    size_of = F.octet_length(F.array_join("item_words", " ")) * F.lit(span) + F.col("n") * F.lit(40 + span)
+    lengths = items.groupBy(F.when(F.col("n") < span, F.col("n")).otherwise(0).alias("size")).agg(F.sum(size_of).alias("bytes")).collect()
     if not lengths:
         return None
-    small = sum(r.words for r in lengths) <= broadcast_words
+    small = sum(r.bytes for r in lengths) <= broadcast_bytes
     parts, origins = [], []
     for r in sorted(lengths, key=lambda r: r.size):
         windows = durable(_windows(items, r.size, span))
@@ -138,7 +142,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, span: int, k: int,
     return durable(reduce(DataFrame.union, parts)), reduce(DataFrame.union, origins), small
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: words, words inside benchmark windows, and the items they come from.
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``. A window
@@ -154,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     every = docs.select(_key(text), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     digest = lambda ids: F.sha2(F.array_join(ids, ",").cast("binary"), 256)
     none = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256")]
-    places = _found(docs, benchmark, text, span, k, broadcast_words)
+    places = _found(docs, benchmark, text, span, k, broadcast_bytes)
     if places is None:
         return every.select("key.doc_id", "n_words", *none, F.lit(False).alias("contaminated"))
     found, origin, small = places
@@ -184,13 +188,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", spa
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows in whose text a window of the benchmark stands.
 
     The windows and defined cases are those of ``contamination``; all columns are
     kept, whatever their names, and repeated rows stay or go together.
     """
-    places = _found(docs, benchmark, text, span, k, broadcast_words)
+    places = _found(docs, benchmark, text, span, k, broadcast_bytes)
     if places is None:
         return docs
     hit = durable(places[0].select("key").distinct())

@@ -2,9 +2,9 @@
 
 A text is cut into blocks of ``BLOCK`` bytes, so that the dictionary and not the
 text's own past explains each block, and every block is compressed with either
-dictionary and with none. The difference of the two dictionary sizes, normalised
-by the text's size and by their sum, is the evidence; a logistic calibration fitted
-on labelled texts that the dictionaries have not seen turns it into a probability.
+dictionary. The difference of the two sizes, normalised by the text's own, is all the
+evidence; a logistic calibration fitted on labelled texts that the dictionaries have
+not seen turns it into a probability.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 BLOCK = 1024
 LEVEL = 3
 DICT_BYTES = 110 << 10
-#: Bounds of the training sample: labelled documents of each class, and blocks of each, spread over its text.
+#: Bound of the training sample: labelled documents of each class.
 DOCS_PER_CLASS = 2000
-BLOCKS_PER_DOC = 8
+#: A dictionary is made from up to so many blocks of all those of its class's sample, a hundred times its own size.
+DICT_BLOCKS = 100 * DICT_BYTES // BLOCK
 #: Of each class's sample, the part that makes the dictionary; the rest calibrates.
 DICT_SHARE = 0.65
 THRESHOLD = 0.7
@@ -39,37 +40,34 @@ class CompressionModel:
 
     good: bytes = b""
     bad: bytes = b""
-    mean: tuple = ()
-    scale: tuple = ()
+    mean: float = 0.0
+    scale: float = 1.0
     weights: tuple = ()
     base_rate: float = 0.5
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         bare = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        with_dict = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **bare) for d in (self.good, self.bad)]
-        return [*with_dict, zstandard.ZstdCompressor(**bare)]
+        return [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **bare) for d in (self.good, self.bad)]
 
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def score(self, differences: np.ndarray) -> np.ndarray:
         if not self.weights:
-            return np.full(len(features), self.base_rate)
-        x = (features - np.array(self.mean)) / np.array(self.scale)
-        z = self.weights[0] + x @ np.array(self.weights[1:])
+            return np.full(len(differences), self.base_rate)
+        z = self.weights[0] + self.weights[1] * (differences - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def features(texts: list[bytes | None], compressors) -> np.ndarray:
-    """Per text: size difference by length and by sum, both rates, plain rate, log length."""
-    out = np.empty((len(texts), 5))
+def differences(texts: list[bytes | None], compressors) -> np.ndarray:
+    """Normalised compressed-size difference of each text: above 0 where the dictionary of good text fits better."""
+    out = np.empty(len(texts))
     for i, text in enumerate(texts):
         blocks = _blocks(text or b"")
-        good, bad, plain = (sum(len(c.compress(b)) for b in blocks) for c in compressors)
-        size = max(len(text or b""), 1)
-        out[i] = (bad - good) / size, (bad - good) / (bad + good), good / size, plain / size, np.log1p(size)
+        good, bad = (sum(len(c.compress(b)) for b in blocks) for c in compressors)
+        out[i] = (bad - good) / max(len(text or b""), 1)
     return out
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    g, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
+    g, w = np.c_[np.ones(len(x)), x], np.zeros(2)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(g @ w, -30, 30)))
         step = np.linalg.solve(g.T @ (g * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), g.T @ (weight * (y - p)) - ridge * w)
@@ -87,10 +85,12 @@ def held_out(doc_id, of: int = 4, remainder: int = 2):
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, held=held_out) -> CompressionModel:
     """Fit dictionaries and calibration on a bounded sample of the labelled documents not held out.
 
-    The sample takes the ``docs_per_class`` labels of smallest hash of each class; of
-    each text up to ``BLOCKS_PER_DOC`` blocks, spread evenly, go into a dictionary.
-    Documents labelled both ways are left out. Class counts, which set the base rate,
-    are taken over all labels that are not held out.
+    The sample takes the ``docs_per_class`` labels of smallest hash of each class. A
+    dictionary is made from all blocks of its part of the sample or, where they are
+    more than ``DICT_BLOCKS``, from those of smallest hash. Documents labelled both
+    ways are left out, as are rows beyond the sample's size where many share an id.
+    Class counts, which set the base rate, are taken over all labels that are not held
+    out.
     """
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held(F.col("doc_id")))
@@ -109,20 +109,21 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
     # At most 2 * docs_per_class rows, so the broadcast is bounded.
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
 
-    def spread(batches):
+    # Rows may share a doc_id: as many as labels are taken, in the order of the texts' hashes.
+    of_text = F.xxhash64("text")
+    texts = texts.orderBy(of_text, "doc_id", "quality").limit(2 * docs_per_class)
+
+    def cut(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                blocks = _blocks(text or b"")
-                rows.append([blocks[i] for i in np.unique(np.linspace(0, len(blocks) - 1, BLOCKS_PER_DOC).astype(int))])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.binary())), batch.column(1), batch.column(2)], ["blocks", "quality", "doc_id"])
-
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.where("part = 'dict'").select("text", "quality", "doc_id").mapInArrow(spread, f"blocks array<binary>, quality int, doc_id {doc_type}").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.blocks))
+            parts = [_blocks(text or b"") for text in batch.column(0).to_pylist()]
+            own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array([b for p in parts for b in p], pa.binary()), batch.column(1).take(pa.array(own))], ["block", "quality"])
+
+    blocks = texts.where("part = 'dict'").select("text", "quality").mapInArrow(cut, "block binary, quality int")
+    drawn = [blocks.where(F.col("quality") == q).orderBy(F.xxhash64("block"), "block").limit(DICT_BLOCKS) for q in (1, 0)]
+    rows = [[bytes(r.block) for r in d.collect()] for d in drawn]
     made = []
-    for q in (1, 0):
-        blocks = [bytes(b) for r in rows if r.quality == q for b in r.blocks]
+    for blocks in rows:
         try:
             made.append(zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes())
         except zstandard.ZstdError:  # too few texts to train on: the texts themselves serve as the dictionary
@@ -132,19 +133,18 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
     def measure(batches):
         made = model.compressors()
         for batch in batches:
-            x = features(batch.column(0).to_pylist(), made)
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(differences(batch.column(0).to_pylist(), made)), batch.column(1)], ["x", "quality"])
 
-    fit = texts.where("part = 'fit'").select("text", "quality").mapInArrow(measure, "x array<double>, quality int").collect()
+    fit = texts.where("part = 'fit'").select("text", "quality").mapInArrow(measure, "x double, quality int").collect()
     fit.sort(key=lambda r: (r.quality, r.x))
     y = np.array([r.quality for r in fit], float)
     if len(set(y)) < 2:
         return CompressionModel(base_rate=rate)
     x = np.array([r.x for r in fit])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean, scale = float(x.mean()), float(x.std()) + 1e-9
     share = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     weights = _fit_logistic((x - mean) / scale, y, share * len(y) / share.sum())
-    model.mean, model.scale, model.weights = tuple(mean), tuple(scale), tuple(weights)
+    model.mean, model.scale, model.weights = mean, scale, tuple(weights)
     return model
 
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", threshol
         made = model.compressors() if model.weights else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            p = model.score(features(texts, made) if made else np.empty((len(texts), 5)))
+            p = model.score(differences(texts, made) if made else np.zeros(len(texts)))
             columns = [*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 

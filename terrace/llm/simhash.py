@@ -101,7 +101,9 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, pair_bucket: int = P
     high = F.shiftrightunsigned("fp", 32)
     side = F.lit(1 << 32)
     balls = F.concat(_ball(low, 32, 1), F.transform(_ball(high, 32, 1), lambda v: v.bitwiseOR(side)))
-    table = fps.select("fp", F.explode(balls).alias("value"))
+    # Every row becomes 66, so few rows are spread over as many tasks as a shuffle has.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    table = spread.select("fp", F.explode(balls).alias("value"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_distance
     # Sizes and both ends of a value first: nearly all values have one or two
     # fingerprints, and only those with more are gathered, up to the bound.

@@ -40,13 +40,13 @@ def tables():
     return items, docs
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_against_brute_force(spark, limit):
     items, docs = tables()
     rows = [(i, t, "s") for i, t in enumerate(docs)] + [(4, docs[4], "s"), (None, docs[9], "s")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, words string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontaminate.contamination(frame, bench, broadcast_words=limit).collect()
+    got = decontaminate.contamination(frame, bench, broadcast_bytes=limit).collect()
     want = sorted((str(r[0]), *brute(r[1], items)) for r in rows)
     assert sorted((str(r[0]), *r[1:]) for r in got) == want
 

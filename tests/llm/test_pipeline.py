@@ -38,7 +38,7 @@ def test_stages_keep_the_columns(tables):
 def test_quality(spark, tables):
     before, after = rows(tables[0]), rows(tables[1])
     model = quality.train(tables[0].select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
-    x = quality.features([(r.text or "").encode() for r in before.values()], model.compressors())
+    x = quality.differences([(r.text or "").encode() for r in before.values()], model.compressors())
     assert set(after) == {i for i, p in zip(before, model.score(x)) if p >= 0.7}
     assert all(after[i] == before[i] for i in after)
 

@@ -35,3 +35,26 @@ def test_without_labels(spark):
     model = quality.train(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert [(r.score, r.predicted) for r in quality.score(docs, model).collect()] == [(0.5, 0)] * 2
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_and_ties(spark):
+    """Rows that share an id or a text change neither the bound of the sample nor the result between runs."""
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1])] * 700 + [(i + 1000, rows[1][1]) for i in range(50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(i + 1000, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs, labels, docs_per_class=60)
+    assert model == quality.train(docs.repartition(7), labels.repartition(3), docs_per_class=60)
+    got = quality.score(docs, model).collect()
+    assert len(got) == 1150 and len({(r.score, r.predicted) for r in got if r.text == rows[1][1]}) == 1
+
+
+def test_whole_sample_makes_the_dictionary(spark):
+    """A long text gives all of its blocks: what stands only at its middle is known to the dictionary."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"{rng.randrange(10**9)}" for _ in range(n))
+    motto = " ".join(f"motto{rng.randrange(10**9)}" for _ in range(60))
+    rows = [(i, f"{filler(700)} {motto} {filler(700)}" if i % 2 else filler(300), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id bigint, quality int, toxic int"))
+    one, other = quality.differences([motto.encode(), filler(60).encode()], model.compressors())
+    assert one > other
