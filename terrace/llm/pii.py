@@ -3,30 +3,42 @@
 Entities are found by patterns. Each distinct entity of the whole table receives one
 keyed surrogate of its own type: digits for digits, letters of the same script for
 letters, given names of the same gender, upper and lower case and punctuation as
-found. A surrogate is checked against all others and against all real entities, and is
-drawn anew until it is alone, so different entities stay different; the same entity
-has the same surrogate wherever, and however punctuated, it stands.
+found. A surrogate is checked against all others and against all real entities, so
+different entities stay different; the same entity has the same surrogate wherever,
+and however punctuated, it stands. Addresses of one domain keep sharing one.
+
+What collides is drawn again. After ``DRAWS`` draws addresses and names grow longer,
+which always ends; numbers, whose format is fixed, are then dealt out among
+themselves in keyed order, which always ends too, as where real numbers fill a format
+no other value is left.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count as attempts
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.plans.durable import durable
+from terrace.plans.durable import durable, maybe_broadcast
+from terrace.plans.indexing import row_index
+
+#: Draws in the entity's own format, before it grows or numbers are exchanged.
+DRAWS = 4
 
 # What an entity looks like (Java patterns), in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’\-]+"
+_NAME = r"\p{Lu}(?:\p{L}+|(?=['’]\p{L}{2}))(?:['’\-]\p{L}{2,}){0,4}"
+# Parts of addresses by the lengths that their format allows, which also bounds the pattern's depth.
+_LABEL = r"[\p{L}\p{N}\-]{1,63}"
 _MALE_TITLE = r"(?:Mr\.?|Herr|Monsieur|Señor|Sr\.|господин|Господин)"
 _FEMALE_TITLE = r"(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Mlle\.?|Señora|Sra\.|госпожа|Госпожа)"
 _OTHER_TITLE = r"(?:Dr\.|Prof\.)"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}._%+\-]{{0,63}}+@{_LABEL}(?:\.{_LABEL}){{0,125}}\.\p{{L}}{{2,63}}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])",
-    "card": r"(?<![\d+])(?:\d{16}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?!\d)",
+    "card": r"(?<![\d+])(?:\d{16}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(\d{1,4}\)(?:[ .\-]?\d{2,4}){2,4}|\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -65,6 +77,9 @@ SYLLABLES = {
     "Cyrillic": "бар вел гор дан дол зар кор лан лес мар мел нор пал рин сол тар тов вин".split(),
 }
 _DIGITS = {"card", "ssn"}
+_FIXED_FORMAT = ("card", "ssn", "phone", "ip", "iban", "secret")
+#: A word that may be part of a person's name.
+_MENTION = rf"(?<!\p{{L}}){_NAME}"
 #: Country calling codes; none is the start of another, so digits alone tell where one ends.
 _CALLING_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: The national prefix that some write within an international number and none dials.
@@ -93,21 +108,32 @@ def _gender(name: Column) -> Column:
     return F.when(name.rlike(f"^{_MALE_TITLE} "), "m").when(name.rlike(f"^{_FEMALE_TITLE} "), "f").otherwise("x")
 
 
-def canons(entity: Column) -> Column:
-    """What an entity stands for, whatever its punctuation and case: an array of ``type:value``; a name has one for each of its parts."""
-    kind = kind_of(entity)
+def domain_of(address: Column) -> Column:
+    return F.substring_index(address, "@", -1)
+
+
+def canons(entity: Column, kind: Column, givens: Column, families: Column) -> Column:
+    """What an entity stands for, whatever its punctuation and case: an array of ``type:value``.
+
+    A name has one for each of its parts, an address one for itself and one for its
+    domain. A name of one part is a family name, unless the text has it as a given name
+    only (``givens`` and ``families``: the parts of the text's longer names).
+    """
     digits = F.regexp_replace(entity, r"\D", "")
     phone = F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(F.regexp_replace(entity, _TRUNK, ""), r"\D", ""))
-    tokens = _tokens(entity)
-    family = F.concat(F.lit("family:"), F.lower(F.get(tokens, F.size(tokens) - 1)))
+    tokens, lower = _tokens(entity), F.lower(entity)
+    last = F.lower(F.get(tokens, F.size(tokens) - 1))
+    family = F.concat(F.lit("family:"), last)
     given = F.concat(F.lit("given_"), _gender(entity), F.lit(":"), F.lower(F.get(tokens, F.lit(0))))
+    is_given = F.array_contains(givens, last) & ~F.array_contains(families, last)
     one = lambda value: F.array(F.concat(kind, F.lit(":"), value))
     return (
-        F.when(kind == "name", F.when(F.size(tokens) > 1, F.array(given, family)).otherwise(F.array(family)))
+        F.when(kind == "name", F.when(F.size(tokens) > 1, F.array(given, family)).when(is_given, F.array(given)).otherwise(F.array(family)))
+        .when(kind == "email", F.array(F.concat(F.lit("email:"), lower), F.concat(F.lit("domain:"), domain_of(lower))))
         .when(kind == "phone", one(phone))
         .when(kind.isin(*_DIGITS), one(digits))
         .when(kind == "iban", one(F.lower(F.regexp_replace(entity, " ", ""))))
-        .otherwise(one(F.lower(entity)))
+        .otherwise(one(lower))
     )
 
 
@@ -139,33 +165,57 @@ def _shaped(value: Column, stream: Column, hexadecimal: Column | None = None) ->
 
 
 def _luhn(digits: Column) -> Column:
-    """Luhn sum modulo 10 of a 16-digit number."""
+    """Luhn sum modulo 10 of a card number."""
 
     def add(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+        d = F.substring(digits, i, F.lit(1)).cast("int") * F.when((F.length(digits) - i) % 2 == 1, 2).otherwise(1)
         return acc + F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(0), add) % 10
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10
+
+
+def _kind(canon: str = "canon") -> Column:
+    return F.substring_index(canon, ":", 1)
+
+
+def _value(canon: str = "canon") -> Column:
+    return F.expr(f"substring({canon}, instr({canon}, ':') + 1)")
+
+
+def _kept_part(kind: Column, value: Column) -> Column:
+    """The start of a number that its surrogate keeps: country, calling code, issuer, prefix."""
+    return (
+        F.when(kind == "card", F.substring(value, 1, 1))
+        .when(kind == "phone", F.regexp_extract(value, _CALLING_CODE, 0))
+        .when(kind == "iban", F.substring(value, 1, 2))
+        .when(kind == "secret", F.regexp_extract(value, r"^(?:akia|gh[pousr]_|sk-)", 0))
+        .otherwise("")
+    )
 
 
 def surrogate(canon: Column, key: str, attempt: int) -> Column:
-    """The ``attempt``-th surrogate value of a ``type:value``; numbers count on in type, so names never run out."""
+    """The ``attempt``-th surrogate value of a ``type:value``.
+
+    Of an address it is the part before the ``@``; a phone number's has no plus sign.
+    Addresses, domains and names grow with later attempts, so they never run out.
+    """
     kind, value = F.substring_index(canon, ":", 1), F.substring(canon, F.instr(canon, ":") + 1, F.length(canon))
-    stream = _stream(canon, key, attempt, F.length(value))
-    digits = _shaped(value, stream)
-    card = F.concat(F.substring(value, 1, 1), F.substring(digits, 2, 15))
-    fixed = F.concat(F.substring(card, 1, 15), ((10 - _luhn(F.concat(F.substring(card, 1, 15), F.lit("0")))) % 10).cast("string"))
-    code = F.regexp_extract(value, _CALLING_CODE, 1)
-    phone = F.concat(code, F.substring(F.translate(digits, "+", ""), F.length(code) + 1, F.length(digits)))
+    grown = "a" * max(0, attempt - DRAWS + 1)
+    stream = _stream(canon, key, attempt, F.length(value) + len(grown))
+    shaped = lambda text, *how: _shaped(text, stream, *how)
+    digits = shaped(value)
+    rest = lambda text, start: F.substring(text, F.length(start) + 1, F.length(text))
+    kept = _kept_part(kind, value)
+    card = F.concat(kept, rest(digits, kept))
+    body = F.substring(card, F.lit(1), F.length(card) - 1)
+    fixed = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+    phone = F.concat(F.translate(kept, "+", ""), rest(F.translate(digits, "+", ""), F.translate(kept, "+", "")))
     octets = F.concat_ws(".", (_draw(stream, 0, 223) + 1).cast("string"), *(_draw(stream, i, 256).cast("string") for i in (1, 2, 3)))
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    host, last = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
-    # The domain is drawn from itself, so addresses of one domain keep sharing one.
-    email = F.concat(_shaped(local, stream), F.lit("@"), _shaped(host, _stream(domain, key, attempt, F.length(host))), F.lit("."), last)
-    prefix = F.regexp_extract(value, r"^(?:akia|gh[pousr]_|sk-)", 0)
-    is_hex = value.rlike("^[0-9a-f]+$")
-    secret = F.concat(prefix, F.substring(_shaped(value, stream, is_hex), F.length(prefix) + 1, F.length(value)))
-    iban = F.concat(F.substring(value, 1, 2), F.substring(digits, 3, F.length(value)))
+    local = shaped(F.concat(F.substring_index(value, "@", 1), F.lit(grown)))
+    host = shaped(F.concat(F.regexp_replace(value, r"\.[^.]+$", ""), F.lit(grown)))
+    domain = F.concat(host, F.lit("."), F.substring_index(value, ".", -1))
+    secret = F.concat(kept, rest(shaped(value, value.rlike("^[0-9a-f]+$")), kept))
+    iban = F.concat(kept, rest(digits, kept))
     names = _stream(canon, key, attempt, F.lit(16))
     cyrillic = _letters(value) == "Cyrillic"
 
@@ -176,12 +226,12 @@ def surrogate(canon: Column, key: str, attempt: int) -> Column:
         return F.concat(*(chosen(SYLLABLES[script], first + i) for i in range(n)))
 
     # A name list is short: later attempts add syllables, as many as it takes.
-    tail = max(0, attempt - 1)
+    tail = attempt
     given = reduce(
         lambda acc, g: F.when(
             kind == f"given_{g}",
-            F.when(cyrillic, F.concat(chosen(GIVEN[g, "Cyrillic"], 0), *([spelled("Cyrillic", 1, tail)] if tail else []))).otherwise(
-                F.concat(chosen(GIVEN[g, "Latin"], 0), *([spelled("Latin", 1, tail)] if tail else []))
+            F.when(cyrillic, F.concat(chosen(GIVEN[g, "Cyrillic"], 0), *([spelled("Cyrillic", 1, min(tail, 15))] if tail else []))).otherwise(
+                F.concat(chosen(GIVEN[g, "Latin"], 0), *([spelled("Latin", 1, min(tail, 15))] if tail else []))
             ),
         ).otherwise(acc),
         "mfx",
@@ -193,7 +243,8 @@ def surrogate(canon: Column, key: str, attempt: int) -> Column:
         .when(kind == "ssn", digits)
         .when(kind == "phone", phone)
         .when(kind == "ip", octets)
-        .when(kind == "email", email)
+        .when(kind == "email", local)
+        .when(kind == "domain", domain)
         .when(kind == "secret", secret)
         .when(kind == "iban", iban)
         .when(kind == "family", family)
@@ -201,29 +252,64 @@ def surrogate(canon: Column, key: str, attempt: int) -> Column:
     )
 
 
-def assign(entities: DataFrame, key: str, max_attempts: int = 12) -> DataFrame:
+def _exchanged(todo: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """``(canon, space, value)``: numbers of one format dealt out among themselves, each the next one's in keyed order.
+
+    A number that is left alone in its format takes another real one of the format,
+    if there is any; real values are never anyone else's surrogates.
+    """
+    kind, value = _kind(), _value()
+    shape = F.concat_ws("\x1f", kind, _kept_part(kind, value), F.when(kind == "card", _luhn(value) == 0), F.regexp_replace(F.regexp_replace(value, r"\p{L}", "a"), r"\d", "0"))
+    # An address of four numbers has one format, whatever their lengths.
+    shape = F.when(kind == "ip", F.lit("ip")).otherwise(shape)
+    mixed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("deal"), "canon").cast("binary"), 256)
+    dealt = durable(row_index(todo.select("canon", "space", "real", shape.alias("shape"), mixed.alias("mixed")), ["shape", "mixed", "canon"], "k"))
+    ends = durable(dealt.groupBy("shape").agg(F.min("k").alias("first"), F.max("k").alias("last")))
+    placed = dealt.join(maybe_broadcast(ends, 128), "shape")
+    next_one = placed.where("first < last").select("canon", "space", F.when(F.col("k") < F.col("last"), F.col("k") + 1).otherwise(F.col("first")).alias("k"))
+    out = next_one.join(dealt.select("k", F.col("real").alias("value")), "k").select("canon", "space", "value")
+    alone = durable(placed.where("first = last").select("canon", "space", "shape"))
+    if alone.isEmpty():
+        return out
+    others = real.where(kind.isin(*_FIXED_FORMAT)).select(F.col("canon").alias("other"), F.col("real"), shape.alias("shape"), mixed.alias("mixed"))
+    found = others.join(alone, "shape").where("other != canon").groupBy("canon", "space").agg(F.min(F.struct("mixed", "real")).alias("least"))
+    return out.union(found.select("canon", "space", "least.real"))
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """``(canon, value)``: a surrogate for each distinct ``canon``, different from all others and from every real one of its type.
 
-    Where two draw the same value, the smaller keeps it and the others draw again.
+    Where two draw the same value, the smaller keeps it and the others draw again. The
+    local part of an address must differ from others of its domain only. A given name
+    of unknown gender takes the surrogate of the same name where its gender is known.
+    Where real values fill a fixed format, see ``_exchanged``.
     """
-    kind = F.substring_index("canon", ":", 1)
-    value = F.expr("substring(canon, instr(canon, ':') + 1)")
-    todo, done = durable(entities.select("canon").distinct()), None
-    real = todo
-    for attempt in range(max_attempts):
-        drawn = durable(todo.select("canon", surrogate(F.col("canon"), key, attempt).alias("value"), kind.alias("kind")))
-        # Phones are compared by the digits that are written out.
-        taken = real.select(kind.alias("kind"), F.when(kind == "phone", F.translate(value, "+", "")).otherwise(value).alias("value"))
-        if done is not None:
-            taken = taken.union(done.select("kind", "value"))
-        free = drawn.join(taken.distinct(), ["kind", "value"], "left_anti")
-        first = free.groupBy("kind", "value").agg(F.min("canon").alias("canon"))
-        done = first if done is None else done.unionByName(first)
-        done = durable(done)
-        todo = durable(todo.join(done, "canon", "left_anti"))
+    kind, value = _kind(), _value()
+    # Phones are compared by the digits that are written out, addresses within their domain.
+    real_value = F.when(kind == "phone", F.translate(value, "+", "")).when(kind == "email", F.substring_index(value, "@", 1)).otherwise(value)
+    space = F.when(kind == "email", F.concat(F.lit("@"), domain_of(value))).otherwise(kind)
+    every = durable(entities.select("canon").distinct().select("canon", space.alias("space"), real_value.alias("real")))
+    known = every.where(kind.isin("given_m", "given_f")).groupBy("real").agg(F.max("canon").alias("known"))
+    unknown = every.where(kind == "given_x").join(known, "real").select("canon", "known")
+    alias = durable(unknown)
+    todo, done = every.join(alias, "canon", "left_anti"), []
+    for attempt in attempts():
+        if attempt == DRAWS:
+            numbers = durable(todo.where(kind.isin(*_FIXED_FORMAT)))
+            if not numbers.isEmpty():
+                done.append(durable(_exchanged(numbers, every, key)))
+                todo = durable(todo.join(done[-1], "canon", "left_anti"))
+                if todo.isEmpty():
+                    break
+        drawn = todo.select("canon", "space", surrogate(F.col("canon"), key, attempt).alias("value"))
+        taken = reduce(DataFrame.union, [d.select("space", "value") for d in done], every.select("space", F.col("real").alias("value"))).distinct()
+        free = drawn.join(taken, ["space", "value"], "left_anti")
+        done.append(durable(free.groupBy("space", "value").agg(F.min("canon").alias("canon"))))
+        todo = durable(todo.join(done[-1], "canon", "left_anti"))
         if todo.isEmpty():
-            return done.select("canon", "value")
-    raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
+            break
+    out = reduce(DataFrame.union, [d.select("canon", "value") for d in done])
+    return out.union(alias.join(out.withColumnRenamed("canon", "known"), "known").select("canon", "value"))
 
 
 def _filled(entity: Column, digits: Column) -> Column:
@@ -251,15 +337,16 @@ def _named(found: Column, value: Column) -> Column:
     return F.when(found == F.upper(found), F.upper(value)).otherwise(F.initcap(value))
 
 
-def rendered(entity: Column, values: Column) -> Column:
-    """The surrogate text of a found entity; ``values`` maps ``type:value`` to surrogate values."""
-    kind, wanted = kind_of(entity), canons(entity)
+def rendered(entity: Column, kind: Column, wanted: Column, values: Column) -> Column:
+    """The surrogate text of a found entity; ``wanted`` are its ``canons``, ``values`` maps them to surrogate values."""
     value = F.element_at(values, F.get(wanted, F.lit(0)))
     digits = F.regexp_replace(value, r"\D", "")
     phone = F.translate(_filled(F.regexp_replace(entity, _TRUNK, "(\x01)"), digits), "\x01", "0")
     tokens = _tokens(entity)
     title = F.regexp_extract(entity, rf"^(?:{_MALE_TITLE}|{_FEMALE_TITLE}|{_OTHER_TITLE}) ", 0)
     names = F.array_join(F.zip_with(tokens, wanted, lambda t, w: _named(t, F.element_at(values, w))), " ")
+    local, domain = F.substring_index(entity, "@", 1), domain_of(entity)
+    address = F.concat(_cased(local, value), F.lit("@"), _cased(domain, F.element_at(values, F.get(wanted, F.lit(1)))))
     spaced = F.aggregate(
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), value.alias("rest")),
@@ -275,35 +362,57 @@ def rendered(entity: Column, values: Column) -> Column:
         .when(kind == "ip", value)
         .when(kind == "iban", spaced)
         .when(kind == "name", F.concat(title, names))
+        .when(kind == "email", address)
         .otherwise(_cased(entity, value))
     )
 
 
+def _mentions(piece: Column, values: Column) -> Column:
+    """``piece`` with the words replaced that are parts of the text's names, wherever they stand."""
+
+    def said(word: Column) -> Column:
+        part = lambda kind: F.element_at(values, F.concat(F.lit(f"{kind}:"), F.lower(word)))
+        return F.coalesce(*(_named(word, part(k)) for k in ("family", "given_m", "given_f", "given_x")), word)
+
+    words = F.transform(F.regexp_extract_all(piece, F.lit(_MENTION), 0), said)
+    return F.array_join(F.zip_with(F.split(piece, _MENTION, -1), words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced by its surrogate; ``count`` names an added column of entities replaced.
+    """``docs`` with every entity in ``text`` replaced by its surrogate; ``count`` names an added column of entities found.
 
     ``key`` is the secret that surrogates are drawn with. Documents without entities
-    pass untouched and are never shuffled.
+    pass untouched and are never shuffled. A person found by a title is replaced in the
+    rest of the text too, where a part of the name stands without one.
 
-    Defined cases: a null text stays null, an empty one empty; repeated rows stay and
-    change alike; other columns are kept whatever their names; an empty table gives an
-    empty result.
+    Defined cases: a null text stays null, an empty one empty; texts of any length are
+    read whole; repeated rows stay and change alike; other columns are kept whatever
+    their names; an empty table gives an empty result.
     """
     counts = [count] if count else []
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), 0)
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    clean = docs.where(~has)
-    row = F.struct(F.xxhash64(text).alias("a"), F.sha2(F.col(text).cast("binary"), 256).alias("b"))
-    dirty = docs.where(has).withColumn("_pii_row", row)
-    # A text stands for its rows: equal texts have equal surrogates. Entities are kept
-    # once for each text, in a small table.
-    each = docs.where(has).select(row.alias("_pii_row"), F.explode(F.array_distinct(F.flatten(F.transform(found, canons)))).alias("canon"))
-    each = durable(each.distinct())
+    kept = [c for c in docs.columns if c not in counts]
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    has = F.coalesce(column(text).rlike(ANY), F.lit(False))
+    clean = docs.where(~has).select(*map(column, kept), *(F.lit(0).cast("long").alias(c) for c in counts))
+    # Entities are taken out once; a text that has some stands by its row's number from here on.
+    found = F.transform(F.regexp_extract_all(column(text), F.lit(ANY), 0), lambda e: F.struct(e.alias("text"), kind_of(e).alias("kind")))
+    row = F.struct(*map(column, kept)).alias("row")
+    dirty = durable(docs.where(has).select(row, found.alias("found"), F.monotonically_increasing_id().alias("at")))
+    tokens = F.transform(F.filter("found", lambda e: e["kind"] == "name"), lambda e: F.transform(_tokens(e["text"]), F.lower))
+    full = F.filter(tokens, lambda t: F.size(t) > 1)
+    parts = [F.transform(full, lambda t: F.get(t, F.lit(0))).alias("givens"), F.transform(full, lambda t: F.get(t, F.lit(1))).alias("families")]
+    wanted = F.transform("found", lambda e: canons(e["text"], e["kind"], F.col("givens"), F.col("families"))).alias("wanted")
+    read = dirty.select("row", "found", "at", *parts).select("row", "found", "at", wanted)
+    each = durable(read.select("at", F.explode(F.array_distinct(F.flatten("wanted"))).alias("canon")))
     values = assign(each, key)
-    maps = each.join(values, "canon").groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "value"))).alias("_pii_map"))
-    pieces = F.split(F.col(text), ANY, -1)
-    new = F.zip_with(pieces, F.transform(found, lambda e: rendered(e, F.col("_pii_map"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    joined = dirty.join(maps, "_pii_row")
-    columns = [F.array_join(new, "").alias(text) if c == text else F.col(c) for c in docs.columns if c not in counts]
-    replaced = joined.select(*columns, *(F.size(found).cast("long").alias(c) for c in counts))
-    return replaced.union(clean.select(*(c for c in docs.columns if c not in counts), *(F.lit(0).cast("long").alias(c) for c in counts)))
+    maps = each.join(values, "canon").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("canon", "value"))).alias("values"))
+    joined = read.join(maps, "at")
+    said = F.zip_with("found", "wanted", lambda e, w: rendered(e["text"], e["kind"], w, F.col("values")))
+    pieces = F.split(F.col("row").getField(text), ANY, -1)
+    people = F.filter(F.map_keys("values"), lambda c: c.startswith("family:") | c.startswith("given_"))
+    named = F.map_filter("values", lambda c, v: c.startswith("family:") | c.startswith("given_"))
+    pieces = F.when(F.size(people) == 0, pieces).otherwise(F.transform(pieces, lambda p: _mentions(p, named)))
+    new = F.array_join(F.zip_with(pieces, said, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    columns = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept]
+    replaced = joined.select(*columns, *(F.size("found").cast("long").alias(c) for c in counts))
+    return replaced.union(clean)

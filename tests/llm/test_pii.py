@@ -91,3 +91,47 @@ def test_phones_differ_in_the_digits_written(spark):
     got = pii.assign(canons, KEY).collect()
     assert len({r.value for r in got}) == len(got) == 1600
     assert not {r.value for r in got} & {re.sub(r"\D", "", r.canon) for r in got}
+
+
+def test_many_labels_do_not_overflow(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * n + "com", "a." * n + "b@c", "-".join(["Mr. Aa", *["aa"] * n]), "1" * n, "x@" + "a." * 100 + "com is one"]
+    got = run(spark, texts)
+    assert len(got) == len(texts) and got[0].text == texts[0] and got[1].text == texts[1] and got[3].text == texts[3]
+    assert re.fullmatch(r"[a-z]@([a-z]\.){100}com is one", got[4].text)
+
+
+def test_full_formats_still_end(spark):
+    """Every address of a shape is taken: they grow. Every number of a format is: they change places."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mail = [f"{a}@{b}.co" for a in letters for b in letters]
+    got = run(spark, [" ".join(mail)])[0].text.split(" ")
+    assert len(set(got)) == 676 and not set(got) & set(mail)
+    domains = {m.split("@")[1]: g.split("@")[1] for m, g in zip(mail, got)}
+    assert len(set(domains.values())) == 26 and all(domains[m.split("@")[1]] == g.split("@")[1] for m, g in zip(mail, got))
+    canons = [f"phone:+7{n:03}" for n in range(1000)]
+    dealt = {r.canon: r.value for r in pii.assign(spark.createDataFrame([(c,) for c in canons], "canon string"), KEY).collect()}
+    assert len(dealt) == len(set(dealt.values())) == 1000 and all(v != c[7:] and v[0] == "7" for c, v in dealt.items())
+
+
+def test_people_without_a_title(spark):
+    text = "Mr. John Smith wrote. John Smith left; Smith returned. Dr. John Smith. Mr. John. Jane Doe called. SMITH's johnson"
+    got = run(spark, [text])[0].text
+    given, family = re.match(r"Mr\. (\w+) (\w+) wrote", got).groups()
+    want = text.replace("John ", f"{given} ").replace("John.", f"{given}.").replace("Smith", family).replace("SMITH", family.upper())
+    assert got == want and given.lower() in pii.GIVEN["m", "Latin"] and family != "Smith"
+
+
+def test_other_columns_of_any_name(spark):
+    names = "_pii_map _pii_row row found at wanted values givens canon n.m".split()
+    docs = spark.createDataFrame([(1, "ip 97.51.17.173", *names), (2, "none", *names)], ["doc_id", "text", *names])
+    got = {r[0]: r for r in pii.pseudonymise(docs, KEY).collect()}
+    assert list(got[1])[2:] == list(got[2])[2:] == names and got[1].text != "ip 97.51.17.173" and got[2].text == "none"
+
+
+def test_cards_of_fifteen_digits(spark):
+    got = run(spark, ["3782 822463 10005 and 3782-822463-10005"])[0].text
+    a, b = got.split(" and ")
+    digits = re.sub(r"\D", "", a)
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5}", a) and b == a.replace(" ", "-") and digits != "378282246310005"
+    assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
