@@ -4,8 +4,10 @@ A window is ``WINDOW`` consecutive words. Anchors are ``ANCHOR``-word grams hash
 at places in a difference cover modulo ``PERIOD``. For any two places there is a shift
 below the period that brings both into the cover, so two equal windows hold an equal
 anchor at equal shifts, and ``PERIOD - 1 + ANCHOR`` words are within a window. Anchors
-that occur in more than one text extend to the windows around them; these alone are
-grouped, by 128 bits of hash, to find the smallest document of each.
+that occur in more than one text are marked in a bit table of fixed size. They extend
+to the windows that hold them; these alone are grouped, by 128 bits of hash, to find
+the smallest document of each. A full table lets more windows through to the grouping
+and changes no result.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from pyspark.sql import functions as F
 from terrace.plans.durable import durable, maybe_broadcast
 
 WINDOW = 13
-PERIOD = 7
-COVER = (0, 1, 3)
+# A short period makes anchors nearly as long as windows, so few others repeat.
+PERIOD = 3
+COVER = (0, 1)
 ANCHOR = WINDOW - PERIOD + 1
-#: Up to so many repeated anchors (8 bytes each) are sent to all tasks; more are joined by a shuffle.
-SENT_ANCHORS = 4_000_000
-#: Up to so many texts with something to remove (about 100 bytes each) are broadcast; more are joined by a shuffle.
+#: Bits of the table of repeated anchors: 64 MB, whatever the size of the input.
+TABLE_BITS = 29
+#: A window in so many rows is hot: its smallest document is joined apart, by broadcast while the hot ones are few.
+HOT_ROWS = 5000
+#: Spans to remove are broadcast up to this size; larger ones are joined by a shuffle.
 SENT_BYTES = 48 << 20
 KEPT_WORDS = 400_000
-TABLE_BITS = 25
 
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -95,59 +99,48 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["anchor"])
 
 
-def _placed_anchors(batches):
-    """Anchors with their places: ``(doc_id, mark, anchor, place)``."""
-    hashes = WordHashes()
-    for batch in batches:
-        for i, text in enumerate(batch.column(0).to_pylist()):
-            words = hashes.of(text)
-            places = anchor_places(len(words))
-            own = [pa.repeat(batch.column(k)[i], len(places)) for k in (1, 2)]
-            columns = [*own, pa.array(grams(words, ANCHOR)[places]), pa.array(places.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "anchor", "place"])
+def _table(repeated: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of the ``anchor`` column, by the low bits of each; at most ``2 ** bits`` bits come to the driver."""
+    place = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
+    words = repeated.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(1 << max(bits - 6, 0), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint64)
+
 
+def _marked(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Which anchors have their bit set."""
+    place = anchors.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-def _windows_around(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold an anchor at one of ``places``."""
+
+def _repeated_starts(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Starts of the windows that hold a marked anchor."""
+    places = anchor_places(len(words))
+    places = places[_marked(table, grams(words, ANCHOR)[places])]
     starts = (places[:, None] - np.arange(PERIOD)[None, :]).ravel()
     return np.unique(starts[(starts >= 0) & (starts <= len(words) - WINDOW)])
 
 
-def _windows(repeated):
-    """Task: windows ``(w1, w2, doc_id, mark, start)`` around repeated anchors.
-
-    ``repeated`` is a broadcast sorted array of anchors, or None where each row brings its own places.
-    """
+def _windows(sent):
+    """Task: the windows that may repeat of each text that has some, ``(doc_id, mark, w1, w2, start)``, the last three arrays."""
 
     def run(batches):
-        hashes = WordHashes()
-        wanted = repeated.value if repeated is not None else None
-        if wanted is not None:  # most anchors are not wanted, which a table of their low bits shows sooner than the search
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[wanted & (len(table) - 1)] = True
+        hashes, table = WordHashes(), sent.value
         for batch in batches:
-            parts, rows = [], []
+            rows, parts = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = hashes.of(text)
-                if wanted is None:
-                    places = np.array(batch.column(3)[i].as_py(), np.int64)
-                else:
-                    places = anchor_places(len(words))
-                    own = grams(words, ANCHOR)[places]
-                    maybe = table[own & (len(table) - 1)]
-                    places, own = places[maybe], own[maybe]
-                    at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                    places = places[wanted[at] == own]
-                if not len(places):
-                    continue
-                starts = _windows_around(words, places)
-                parts.append((grams_at(words, starts, WINDOW), grams_at(words, starts, WINDOW, 1), starts.astype(np.int32)))
-                rows.append(np.full(len(starts), i))
-            if not parts:
-                continue
-            take = pa.array(np.concatenate(rows))
-            w1, w2, starts = (pa.array(np.concatenate(x)) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([w1, w2, batch.column(1).take(take), batch.column(2).take(take), starts], ["w1", "w2", "doc_id", "mark", "start"])
+                starts = _repeated_starts(words, table) if len(words) >= WINDOW else ()
+                if len(starts):
+                    rows.append(i)
+                    parts.append((grams_at(words, starts, WINDOW), grams_at(words, starts, WINDOW, 1), starts.astype(np.int32)))
+            if rows:
+                ends = np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32)
+                arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in zip(*parts)]
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *arrays], ["doc_id", "mark", "w1", "w2", "start"])
 
     return run
 
@@ -189,7 +182,14 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", sent_anchors: int = SENT_ANCHORS, sent_bytes: int = SENT_BYTES, keep_text: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    text: str = "text",
+    table_bits: int = TABLE_BITS,
+    hot_rows: int = HOT_ROWS,
+    sent_bytes: int = SENT_BYTES,
+    keep_text: bool = True,
+) -> DataFrame:
     """Remove each word in a window that also starts in a document of smaller ``doc_id``.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` of every row, and ``kept``, the
@@ -213,21 +213,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", sent_anchors: int = SENT
     texts = joined.where(~is_copy & F.col("doc_id").isNotNull()).select("text", "doc_id", "mark")
 
     anchors = texts.select("text").mapInArrow(_anchors, "anchor bigint")
-    repeated = durable(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    many = repeated.count()
-    schema = f"w1 bigint, w2 bigint, doc_id {doc_type}, mark bigint, start int"
-    if many <= sent_anchors:
-        sent = np.sort(repeated.toArrow().column(0).to_numpy()) if many else np.array([0], np.int64)
-        windows = texts.mapInArrow(_windows(docs.sparkSession.sparkContext.broadcast(sent)), schema)
-    else:
-        placed = texts.mapInArrow(_placed_anchors, f"doc_id {doc_type}, mark bigint, anchor bigint, place int").join(repeated, "anchor")
-        places = placed.groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
-        windows = texts.join(places, ["doc_id", "mark"]).select("text", "doc_id", "mark", "places").mapInArrow(_windows(None), schema)
-    firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    found = windows.join(firsts, ["w1", "w2"]).where("doc_id > first")
+    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sent = docs.sparkSession.sparkContext.broadcast(_table(repeated, table_bits))
+    schema = f"doc_id {doc_type}, mark bigint, w1 array<bigint>, w2 array<bigint>, start array<int>"
+    of_text = durable(texts.mapInArrow(_windows(sent), schema))
+    windows = of_text.select("doc_id", "mark", F.inline(F.arrays_zip("w1", "w2", "start")))
+    rows = F.count(F.lit(1)).alias("n")
+    firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), rows)
+    firsts = durable(firsts.where("first < last").drop("last"))
+    # Rows of a hot window never meet in one task: they are at most one in hot_rows, so that many windows' firsts are small.
+    hot = maybe_broadcast(firsts.where(F.col("n") >= hot_rows).select("w1", "w2", "first"), 64)
+    cold = firsts.where(F.col("n") < hot_rows).select("w1", "w2", "first")
+    keys = ["w1", "w2"]
+    found = windows.join(hot, keys).union(windows.join(hot.drop("first"), keys, "left_anti").join(cold, keys)).where("doc_id > first")
     starts = found.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))
     spans = durable(starts.mapInArrow(_spans, f"doc_id {doc_type}, mark bigint, spans array<int>"))
-    cut = joined.select("doc_id", "text", is_copy.alias("copy"), "mark").join(maybe_broadcast(spans, 128, sent_bytes), ["doc_id", "mark"], "left")
+    size = spans.agg(F.sum(F.size("spans") * 4 + 64)).first()[0] or 0
+    spans = F.broadcast(spans) if size <= sent_bytes else spans
+    cut = joined.select("doc_id", "text", is_copy.alias("copy"), "mark").join(spans, ["doc_id", "mark"], "left")
     out = cut.select("doc_id", "text", "copy", "spans").mapInArrow(
         _kept, f"doc_id {doc_type}, n_words bigint, n_removed bigint, kept binary, kept_sha256 string"
     )

@@ -39,11 +39,11 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("anchors", "size"), [(10**6, 10**8), (0, 0)])
-def test_against_brute_force(spark, anchors, size):
+@pytest.mark.parametrize(("bits", "hot", "size"), [(28, 5000, 10**8), (6, 3, 0)])
+def test_against_brute_force(spark, bits, hot, size):
     data = [(i, t, "s", 1) for i, t in rows()]
     docs = spark.createDataFrame(data, "doc_id bigint, text string, mark string, start int")
-    got = substrings.remove_repeats(docs, sent_anchors=anchors, sent_bytes=size).collect()
+    got = substrings.remove_repeats(docs, table_bits=bits, hot_rows=hot, sent_bytes=size).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows())
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
@@ -51,7 +51,7 @@ def test_against_brute_force(spark, anchors, size):
 def test_equal_windows_share_an_anchor():
     for i in range(substrings.PERIOD):
         for j in range(substrings.PERIOD):
-            assert any((i + d) % 7 in substrings.COVER and (j + d) % 7 in substrings.COVER for d in range(7))
+            assert any((i + d) % substrings.PERIOD in substrings.COVER and (j + d) % substrings.PERIOD in substrings.COVER for d in range(substrings.PERIOD))
     words = np.arange(1, 40, dtype=np.uint64)
     assert len(substrings.grams(words, 13)) == 27 and len(substrings.grams(words, 50)) == 0
 
