@@ -5,7 +5,7 @@ at places in a difference cover modulo ``PERIOD``. For any two places there is a
 below the period that brings both into the cover, so two equal windows hold an equal
 anchor at equal shifts, and ``PERIOD - 1 + ANCHOR`` words are within a window. Anchors
 that occur in more than one text are marked in a bit table of fixed size. They extend
-to the windows that hold them; these alone are grouped, by 128 bits of hash, to find
+to the windows that hold them; these alone are grouped, by 96 bits of hash, to find
 the smallest document of each. A full table lets more windows through to the grouping
 and changes no result.
 """
@@ -13,6 +13,7 @@ and changes no result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,11 @@ WINDOW = 13
 PERIOD = 3
 COVER = (0, 1)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bits of the table of repeated anchors: 64 MB, whatever the size of the input.
+#: Bits of the table of repeated anchors: 64 MB in a task, whatever the size of the input; it is sent packed.
 TABLE_BITS = 29
+#: Anchors meet in so many buckets, by their high bits; a task sends them in sorted runs of up to so many.
+BUCKET_BITS = 16
+RUN_ANCHORS = 4_000_000
 #: A window in so many rows is hot: its smallest document is joined apart, by broadcast while the hot ones are few.
 HOT_ROWS = 5000
 #: Spans to remove are broadcast up to this size; larger ones are joined by a shuffle.
@@ -88,15 +92,47 @@ def anchor_places(n_words: int) -> np.ndarray:
     return places[np.isin(places % PERIOD, COVER)]
 
 
+def _runs(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Anchors as one array for each bucket, sorted; one that is there more than once is kept twice."""
+    values, counts = np.unique(np.concatenate(found).view(np.uint64), return_counts=True)
+    values = np.repeat(values, np.minimum(counts, 2))
+    buckets, first = np.unique(values >> np.uint64(64 - BUCKET_BITS), return_index=True)
+    ends = pa.array(np.append(first, len(values)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))], ["bucket", "anchors"])
+
+
 def _anchors(batches):
-    """Anchors ``(anchor)`` of each text, each once."""
-    hashes = WordHashes()
+    """Anchors of the texts, of each text once: ``(bucket, anchors)``."""
+    hashes, found, n = WordHashes(), [], 0
     for batch in batches:
-        found = [np.zeros(0, np.int64)]
         for text in batch.column(0).to_pylist():
             words = hashes.of(text)
             found.append(np.unique(grams(words, ANCHOR)[anchor_places(len(words))]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["anchor"])
+            n += len(found[-1])
+            if n >= RUN_ANCHORS:
+                yield _runs(found)
+                found, n = [], 0
+    if n:
+        yield _runs(found)
+
+
+def _repeated(batches):
+    """Anchors that are there more than once; rows come bucket by bucket."""
+    bucket, runs = None, []
+
+    def ended():
+        values = np.sort(np.concatenate(runs))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(values[1:][values[1:] == values[:-1]]))], ["anchor"])
+
+    for batch in batches:
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            if runs and b != bucket:
+                yield ended()
+                runs = []
+            bucket = b
+            runs.append(batch.column(1)[i].values.to_numpy())
+    if runs:
+        yield ended()
 
 
 def _table(repeated: DataFrame, bits: int) -> np.ndarray:
@@ -127,15 +163,15 @@ def _windows(sent):
     """Task: the windows that may repeat of each text that has some, ``(doc_id, mark, w1, w2, start)``, the last three arrays."""
 
     def run(batches):
-        hashes, table = WordHashes(), sent.value
+        hashes, table = WordHashes(), np.frombuffer(zlib.decompress(sent.value), np.uint64)
         for batch in batches:
-            rows, parts = [], []
+            rows, parts = [], []  # a window's key has 96 bits: a long and an int
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = hashes.of(text)
                 starts = _repeated_starts(words, table) if len(words) >= WINDOW else ()
                 if len(starts):
                     rows.append(i)
-                    parts.append((grams_at(words, starts, WINDOW), grams_at(words, starts, WINDOW, 1), starts.astype(np.int32)))
+                    parts.append((grams_at(words, starts, WINDOW), (grams_at(words, starts, WINDOW, 1) >> 32).astype(np.int32), starts.astype(np.int32)))
             if rows:
                 ends = np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32)
                 arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in zip(*parts)]
@@ -212,12 +248,13 @@ def remove_repeats(
     is_copy: Column = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
     texts = joined.where(~is_copy & F.col("doc_id").isNotNull()).select("text", "doc_id", "mark")
 
-    anchors = texts.select("text").mapInArrow(_anchors, "anchor bigint")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sent = docs.sparkSession.sparkContext.broadcast(_table(repeated, table_bits))
-    schema = f"doc_id {doc_type}, mark bigint, w1 array<bigint>, w2 array<bigint>, start array<int>"
-    of_text = durable(texts.mapInArrow(_windows(sent), schema))
-    windows = of_text.select("doc_id", "mark", F.inline(F.arrays_zip("w1", "w2", "start")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = texts.select("text").mapInArrow(_anchors, "bucket int, anchors array<bigint>").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    table = _table(anchors.mapInArrow(_repeated, "anchor bigint"), table_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    schema = f"doc_id {doc_type}, mark bigint, w1 array<bigint>, w2 array<int>, start array<int>"
+    of_text = durable(texts.mapInArrow(_windows(sent), schema).withColumn("at", F.monotonically_increasing_id()))
+    windows = of_text.select("doc_id", "at", F.inline(F.arrays_zip("w1", "w2", "start")))
     rows = F.count(F.lit(1)).alias("n")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), rows)
     firsts = durable(firsts.where("first < last").drop("last"))
@@ -226,8 +263,9 @@ def remove_repeats(
     cold = firsts.where(F.col("n") < hot_rows).select("w1", "w2", "first")
     keys = ["w1", "w2"]
     found = windows.join(hot, keys).union(windows.join(hot.drop("first"), keys, "left_anti").join(cold, keys)).where("doc_id > first")
-    starts = found.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))
-    spans = durable(starts.mapInArrow(_spans, f"doc_id {doc_type}, mark bigint, spans array<int>"))
+    starts = found.groupBy("at").agg(F.collect_list("start").alias("starts"))
+    named = of_text.select("at", "doc_id", "mark").join(starts, "at").select("doc_id", "mark", "starts")
+    spans = durable(named.mapInArrow(_spans, f"doc_id {doc_type}, mark bigint, spans array<int>"))
     size = spans.agg(F.sum(F.size("spans") * 4 + 64)).first()[0] or 0
     spans = F.broadcast(spans) if size <= sent_bytes else spans
     cut = joined.select("doc_id", "text", is_copy.alias("copy"), "mark").join(spans, ["doc_id", "mark"], "left")
