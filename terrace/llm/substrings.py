@@ -30,8 +30,8 @@ COVER = (0, 1)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bits of the table of repeated anchors: 64 MB in a task, whatever the size of the input; it is sent packed.
 TABLE_BITS = 29
-#: Anchors meet in so many buckets, by their high bits; a task sends them in sorted runs of up to so many.
-BUCKET_BITS = 16
+#: Anchors meet in buckets by their high bits, one for so many bytes of text; a task sends them in sorted runs of up to so many.
+BUCKET_BYTES = 128 << 20
 RUN_ANCHORS = 4_000_000
 #: A window in so many rows is hot: its smallest document is joined apart, by broadcast while the hot ones are few.
 HOT_ROWS = 5000
@@ -92,28 +92,32 @@ def anchor_places(n_words: int) -> np.ndarray:
     return places[np.isin(places % PERIOD, COVER)]
 
 
-def _runs(found: list[np.ndarray]) -> pa.RecordBatch:
+def _runs(found: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """Anchors as one array for each bucket, sorted; one that is there more than once is kept twice."""
     values, counts = np.unique(np.concatenate(found).view(np.uint64), return_counts=True)
     values = np.repeat(values, np.minimum(counts, 2))
-    buckets, first = np.unique(values >> np.uint64(64 - BUCKET_BITS), return_index=True)
+    buckets, first = np.unique(values >> np.uint64(64 - bits), return_index=True)
     ends = pa.array(np.append(first, len(values)).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))], ["bucket", "anchors"])
 
 
-def _anchors(batches):
-    """Anchors of the texts, of each text once: ``(bucket, anchors)``."""
-    hashes, found, n = WordHashes(), [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = hashes.of(text)
-            found.append(np.unique(grams(words, ANCHOR)[anchor_places(len(words))]))
-            n += len(found[-1])
-            if n >= RUN_ANCHORS:
-                yield _runs(found)
-                found, n = [], 0
-    if n:
-        yield _runs(found)
+def _anchors(bits: int):
+    """Task: anchors of the texts, of each text once: ``(bucket, anchors)``."""
+
+    def run(batches):
+        hashes, found, n = WordHashes(), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = hashes.of(text)
+                found.append(np.unique(grams(words, ANCHOR)[anchor_places(len(words))]))
+                n += len(found[-1])
+                if n >= RUN_ANCHORS:
+                    yield _runs(found, bits)
+                    found, n = [], 0
+        if n:
+            yield _runs(found, bits)
+
+    return run
 
 
 def _repeated(batches):
@@ -249,7 +253,9 @@ def remove_repeats(
     texts = joined.where(~is_copy & F.col("doc_id").isNotNull()).select("text", "doc_id", "mark")
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = texts.select("text").mapInArrow(_anchors, "bucket int, anchors array<bigint>").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4 * tasks, size // BUCKET_BYTES).bit_length()
+    anchors = texts.select("text").mapInArrow(_anchors(bits), "bucket int, anchors array<bigint>").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     table = _table(anchors.mapInArrow(_repeated, "anchor bigint"), table_bits)
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
     schema = f"doc_id {doc_type}, mark bigint, w1 array<bigint>, w2 array<int>, start array<int>"
@@ -264,7 +270,8 @@ def remove_repeats(
     keys = ["w1", "w2"]
     found = windows.join(hot, keys).union(windows.join(hot.drop("first"), keys, "left_anti").join(cold, keys)).where("doc_id > first")
     starts = found.groupBy("at").agg(F.collect_list("start").alias("starts"))
-    named = of_text.select("at", "doc_id", "mark").join(starts, "at").select("doc_id", "mark", "starts")
+    # Repeated rows have the same starts.
+    named = of_text.select("at", "doc_id", "mark").join(starts, "at").dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "starts")
     spans = durable(named.mapInArrow(_spans, f"doc_id {doc_type}, mark bigint, spans array<int>"))
     size = spans.agg(F.sum(F.size("spans") * 4 + 64)).first()[0] or 0
     spans = F.broadcast(spans) if size <= sent_bytes else spans

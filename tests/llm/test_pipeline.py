@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 from terrace.llm import bpe, pii, quality
-from tests.llm import test_decontaminate, test_simhash
+from tests.llm import test_decontaminate, test_jaccard
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,9 +45,7 @@ def test_quality(spark, tables):
 
 def test_near_duplicates(tables):
     before, after = rows(tables[1]), rows(tables[2])
-    ids = list(before)
-    parts = test_simhash.components(ids, [test_simhash.brute(before[i].text) for i in ids])
-    assert set(after) == set(parts.values())
+    assert set(after) == test_jaccard.kept([(i, r.text) for i, r in before.items()])
     assert all(after[i] == before[i] for i in after)
 
 
