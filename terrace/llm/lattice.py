@@ -6,9 +6,10 @@ words and one end token. The vocabulary's own scores are the starting weights an
 as prior counts; the pieces' weights are then re-estimated by expectation
 maximisation on the distinct words of the training texts and their counts.
 
-Words repeat, so they are scored once each. Texts are dealt into chunks, each chunk
-receives the scores of just its own words, and no table of all words is ever in one
-place.
+Words repeat, so they are scored once each. A word that makes at least one in
+``SENT_SHARE`` of all tokens is sent to the tasks; there are at most so many. The
+others, none of which is frequent, are joined by word. Texts are never shuffled, and
+no table of all words is ever in one place.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from terrace.plans.durable import durable
 
 SPACE = "▁"  # marks the start of a word in the vocabulary
-CHUNK_BYTES = 4 << 20
+SENT_SHARE = 200_000
+#: Longer words are joined, so that what is sent is bounded in bytes too.
+SENT_WORD_BYTES = 64
 ROUNDS = 3
 #: Training words' prior: so many pieces, spread as the vocabulary's scores say.
 PRIOR_PIECES = 5000.0
@@ -148,15 +151,15 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def _count(batches):
-    """Counts of words, and 0 for words of held-out texts alone: ``(word, n)``."""
+    """Counts of words in training texts and in all: ``(word, n, m)``."""
     for batch in batches:
-        seen: Counter[bytes] = Counter()
-        others: set[bytes] = set()
+        seen: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
         for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (others.update if out else seen.update)(_words(text))
-        rest = [w for w in others if w not in seen]
-        words, counts = [*seen, *rest], [*seen.values(), *[0] * len(rest)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+            seen[out].update(_words(text))
+        train, held = seen
+        words = [*train, *(w for w in held if w not in train)]
+        counts = [train[w] for w in words], [train[w] + held[w] for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], ["word", "n", "m"])
 
 
 def fit(vocabulary: DataFrame, texts: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -194,7 +197,7 @@ def fit(vocabulary: DataFrame, texts: int, path: str, rounds: int = ROUNDS) -> n
     return weights(counts)
 
 
-def score(docs: DataFrame, path: str, text: str = "text", chunk_bytes: int = CHUNK_BYTES, rounds: int = ROUNDS, held=held_out) -> DataFrame:
+def score(docs: DataFrame, path: str, text: str = "text", sent_share: int = SENT_SHARE, rounds: int = ROUNDS, held=held_out) -> DataFrame:
     """Score every whole text with a model learned from the texts that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
@@ -209,59 +212,66 @@ def score(docs: DataFrame, path: str, text: str = "text", chunk_bytes: int = CHU
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     raw = docs.select("doc_id", F.col(text).cast("binary").alias("text"), held(F.col("doc_id")).alias("out"))
-    sums = raw.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("out")).alias("train")).first()
-    chunks = max(1, -(-(sums["size"] or 0) // chunk_bytes))
-    counted = raw.select("text", "out").mapInArrow(_count, "word binary, n bigint")
-    vocabulary = durable(counted.groupBy("word").agg(F.sum("n").alias("n")))
-    totals = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    n_train, distinct = (totals.n or 0) + sums.train, totals.v + bool(sums.train)
+    counted = raw.select("text", "out").mapInArrow(_count, "word binary, n bigint, m bigint")
+    vocabulary = durable(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    totals = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("m").alias("m")).first()
+    train = raw.where("not out").count()
+    n_train, distinct = (totals.n or 0) + train, totals.v + bool(train)
     over = n_train + (distinct + 1)
-    logs = fit(vocabulary, sums.train, path, rounds)
+    logs = fit(vocabulary, train, path, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(logs.tolist())
     ln10 = math.log(10.0)
 
     def weigh(batches):
         made, logs = pieces_of(path), sent.value
         for batch in batches:
-            base = np.log10((np.asarray(batch.column(1), np.float64) + 1) / over)
+            n = np.asarray(batch.column(1), np.float64)
             own = [forward(made.arcs(w.decode(errors="replace")), logs)[-1] / ln10 for w in batch.column(0).to_pylist()]
-            known = pa.array((np.asarray(batch.column(1)) > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), known, pa.array(base), pa.array(own, pa.float64())], ["word", "known", "base", "own"])
-
-    weighed = vocabulary.mapInArrow(weigh, "word binary, known boolean, base double, own double")
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = raw.select("doc_id", "text", "out", chunk).repartition("chunk")
-
-    def distinct_words(rows: pa.Table) -> pa.Table:
-        words = sorted(set().union(*(_words(t) for t in rows["text"].to_pylist())))
-        return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary())})
-
-    own_words = dealt.groupBy("chunk").applyInArrow(distinct_words, "chunk bigint, word binary")
-    slices = own_words.join(weighed, "word").select("chunk", "word", "known", "base", "own")
-    end_base, end_own = math.log10((sums.train + 1) / over), float(logs[-1]) / ln10
-    end_known = int(sums.train > 0)
-
-    def add_up(rows: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(words["word"].to_pylist())}
-        known, base, own = (np.append(np.asarray(words[c].combine_chunks()), 0) for c in ("known", "base", "own"))
-        n, k, b, o = [], [], [], []
-        for text in rows["text"].to_pylist():
-            at = np.array([place[w] for w in _words(text)], np.int64)
-            n.append(len(at) + 1)
-            k.append(int(known[at].sum()) + end_known)
-            b.append(float(base[at].sum()) + end_base)
-            o.append(float(own[at].sum()) + end_own)
-        return pa.table(
-            {
-                "doc_id": rows["doc_id"],
-                "held_out": rows["out"],
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(k, pa.int64()),
-                "base_score": pa.array(b, pa.float64()),
-                "score": pa.array(o, pa.float64()),
-            }
-        )
-
-    schema = f"doc_id {doc_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = dealt.groupBy("chunk").cogroup(slices.groupBy("chunk")).applyInArrow(add_up, schema)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+            columns = [pa.array(n > 0), pa.array(np.log10((n + 1) / over)), pa.array(own, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["word", "m", "known", "base", "own"])
+
+    weighed = durable(vocabulary.select("word", "n", "m").mapInArrow(weigh, "word binary, m bigint, known boolean, base double, own double"))
+    is_sent = (F.col("m") * sent_share >= F.lit(totals.m or 0)) & (F.octet_length("word") <= SENT_WORD_BYTES)
+    frequent = weighed.where(is_sent).select("word", "known", "base", "own").toArrow()
+    frequent = dict(zip(frequent["word"].to_pylist(), zip(*(frequent[c].to_pylist() for c in ("known", "base", "own")))))
+    scores = docs.sparkSession.sparkContext.broadcast(frequent)
+    end = int(train > 0), math.log10((train + 1) / over), float(logs[-1]) / ln10
+
+    def add_up(batches):
+        of = scores.value
+        for batch in batches:
+            sums, rest, times = [], [], []
+            for text in batch.column(2).to_pylist():
+                words = Counter(_words(text))
+                known, base, own = end
+                others = []
+                for word, k in words.items():
+                    if found := of.get(word):
+                        known += k * found[0]
+                        base += k * found[1]
+                        own += k * found[2]
+                    else:
+                        others.append(word)
+                sums.append((sum(words.values()) + 1, known, base, own))
+                rest.append(others)
+                times.append([words[w] for w in others])
+            n, known, base, own = zip(*sums) if sums else ((), (), (), ())
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
+            lists = [pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "word", "k"])
+
+    schema = f"doc_id {doc_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, own double, word array<binary>, k array<bigint>"
+    texts = durable(raw.select("doc_id", "out", "text").mapInArrow(add_up, schema).withColumn("at", F.monotonically_increasing_id()))
+    rare = texts.select("at", F.inline(F.arrays_zip("word", "k"))).join(weighed.where(~is_sent), "word")
+    more = rare.groupBy("at").agg(*(F.sum(F.col("k") * F.col(c).cast("double")).alias(f"more_{c}") for c in ("known", "base", "own")))
+    joined = texts.drop("word", "k").join(more, "at", "left")
+    total = lambda c, extra: F.col(c) + F.coalesce(F.col(extra), F.lit(0.0))
+    return joined.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        total("n_known", "more_known").cast("long").alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"),
+        total("base", "more_base").alias("base_score"),
+        total("own", "more_own").alias("score"),
+    )

@@ -48,23 +48,41 @@ def corpus():
     return [*rows, (300, None), (301, ""), (302, "THE \x0bthe THE"), (303, "x" * 5000), (304, "ing " * 9000), rows[3]]
 
 
-@pytest.mark.parametrize("chunk", [300, 1 << 22])
-def test_scores_against_brute_force(spark, chunk):
+def fitted(counts, texts):
+    """Log weights of the pieces by plain expectation maximisation over all words."""
+    made = lattice.pieces_of(PATH)
+    prior = np.append(made.prior * lattice.PRIOR_PIECES, 1.0)
+    sums = np.append(np.zeros(made.n), float(texts))
+    for step in range(lattice.ROUNDS + 1):
+        with np.errstate(divide="ignore"):
+            logs = np.log((sums + prior) / (sums + prior).sum()).tolist()
+        if step < lattice.ROUNDS:
+            sums = np.append(np.zeros(made.n), float(texts))
+            for word, n in counts.items():
+                if word is not None:
+                    lattice.expected_counts(made.arcs(word.decode(errors="replace")), logs, sums, n)
+    return logs
+
+
+@pytest.mark.parametrize("share", [20, 200_000])
+def test_scores_against_brute_force(spark, share):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, score int")
-    got = sorted(lattice.score(docs, PATH, chunk_bytes=chunk).collect(), key=lambda r: (r.doc_id, r.n_tokens))
+    got = sorted(lattice.score(docs, PATH, sent_share=share).collect(), key=lambda r: (r.doc_id, r.n_tokens))
     tokens = [((t or "").encode().lower().split() + [None], zlib.crc32(str(i).encode()) % 7 == 2, i) for i, t in rows]
     counts = Counter(w for ws, out, _ in tokens if not out for w in ws)
     n, v = sum(counts.values()), len(counts)
     tokens.sort(key=lambda x: (x[2], len(x[0])))
     assert len(got) == len(rows)
+    made, logs = lattice.pieces_of(PATH), fitted(counts, sum(not out for _, out, _ in tokens))
+    own = lambda w: (logs[-1] if w is None else lattice.forward(made.arcs(w.decode(errors="replace")), logs)[-1]) / math.log(10)
     for r, (ws, out, i) in zip(got, tokens):
         assert (r.doc_id, r.held_out, r.n_tokens, r.train_tokens) == (i, out, len(ws), n)
         assert r.n_known == sum(counts[w] > 0 for w in ws)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
-        assert math.isfinite(r.score) and r.score < 0
+        assert r.score == pytest.approx(sum(own(w) for w in ws))
     # The model learned: held-out prose is likelier under it than under the prior alone.
-    prior = {(r.doc_id, r.n_tokens): r.score for r in lattice.score(docs, PATH, chunk_bytes=chunk, rounds=0).collect()}
+    prior = {(r.doc_id, r.n_tokens): r.score for r in lattice.score(docs, PATH, sent_share=share, rounds=0).collect()}
     held = [r for r in got if r.held_out and r.doc_id < 200]
     assert sum(r.score for r in held) > sum(prior[r.doc_id, r.n_tokens] for r in held)
 
