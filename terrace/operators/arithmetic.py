@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions import formulas
 from terrace.functions.selection import Masking, Region, selected
 from terrace.plans.durable import maybe_broadcast
 
@@ -37,6 +38,16 @@ def evaluate(operands: dict[str, DataFrame], expression: str) -> DataFrame:
     return bound.select(*PLACE, F.expr(expression).cast("double").alias("z"))
 
 
+def calculate(operands: dict[str, DataFrame], formula: str) -> DataFrame:
+    """A formula (``terrace.functions.formulas``) over several fields of one shape, named by the keys of ``operands``; ``x`` and ``y`` are column and row."""
+    joined = None
+    for name, frame in operands.items():
+        own = frame.select(*PLACE, F.col("z").alias(name))
+        joined = own if joined is None else joined.join(own, PLACE)
+    values = {name: F.col(name) for name in operands} | {"x": F.col("col").cast("double"), "y": F.col("row").cast("double")}
+    return joined.select(*PLACE, formulas.column(formula, values).cast("double").alias("z"))
+
+
 def shapes(field: DataFrame) -> DataFrame:
     """``field_id, xres, yres`` of each field."""
     return field.groupBy("field_id").agg((F.max("col") + 1).alias("xres"), (F.max("row") + 1).alias("yres"))

@@ -138,3 +138,150 @@ def area_under(curves: DataFrame) -> DataFrame:
     order = Window.partitionBy("curve_id").orderBy("x", "i")
     step = (F.col("x") - F.lag("x").over(order)) * (F.col("y") + F.lag("y").over(order)) / 2
     return curves.select("curve_id", step.alias("s")).groupBy("curve_id").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("area"))
+
+
+# Parts of lines: samples from ``start`` up to, not including, ``stop``; the whole line without them.
+
+
+def _in_part(start: int | None, stop: int | None):
+    test = F.lit(True)
+    if start is not None:
+        test = test & (F.col("i") >= start)
+    return test & (F.col("i") < stop) if stop is not None else test
+
+
+def part(lines: DataFrame, start: int, stop: int) -> DataFrame:
+    """The samples of a part, counted anew."""
+    return lines.where(_in_part(start, stop)).select("line_id", (F.col("i") - start).alias("i"), "y")
+
+
+def changed(lines: DataFrame, value, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """``value``, a column over ``y`` and ``i``, instead of the samples of a part."""
+    return lines.select("line_id", "i", F.when(_in_part(start, stop), value).otherwise(F.col("y")).alias("y"))
+
+
+def fill(lines: DataFrame, value: float = 0.0, start: int | None = None, stop: int | None = None) -> DataFrame:
+    return changed(lines, F.lit(float(value)), start, stop)
+
+
+def add(lines: DataFrame, value: float, start: int | None = None, stop: int | None = None) -> DataFrame:
+    return changed(lines, F.col("y") + value, start, stop)
+
+
+def multiply(lines: DataFrame, value: float, start: int | None = None, stop: int | None = None) -> DataFrame:
+    return changed(lines, F.col("y") * value, start, stop)
+
+
+def threshold(lines: DataFrame, at: float, bottom: float = 0.0, top: float = 1.0, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """``bottom`` below ``at``, ``top`` from it on."""
+    return changed(lines, F.when(F.col("y") < at, bottom).otherwise(top), start, stop)
+
+
+def square_root(lines: DataFrame) -> DataFrame:
+    """Roots of the samples; negative ones become 0."""
+    return changed(lines, F.sqrt(F.greatest("y", F.lit(0.0))))
+
+
+def part_statistics(lines: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """A row for each line that has samples in the part: ``n, min, max, sum, mean, ra, rms, skew, kurtosis, tan_beta0, variation, median``.
+
+    Skew and excess kurtosis count n + 1 values; ``tan_beta0`` is the rms slope and
+    ``variation`` the sum of steps, in samples; ``median`` is element floor(n/2).
+    """
+    chosen = lines.where(_in_part(start, stop))
+    means = chosen.groupBy("line_id").agg(F.avg("y").alias("mean"))
+    step = F.col("y") - F.lag("y").over(_order())
+    known = chosen.withColumn("s", step).join(means, "line_id").withColumn("d", F.col("y") - F.col("mean"))
+    s2, s3, s4 = (F.sum(F.pow("d", F.lit(p))) for p in (2, 3, 4))
+    n = F.count("y")
+    return known.groupBy("line_id").agg(
+        n.alias("n"),
+        F.min("y").alias("min"),
+        F.max("y").alias("max"),
+        F.sum("y").alias("sum"),
+        F.first("mean").alias("mean"),
+        F.avg(F.abs("d")).alias("ra"),
+        F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"),
+        F.coalesce(F.try_divide(s3 * F.sqrt(n + 1), F.pow(s2, F.lit(1.5))), F.lit(0.0)).alias("skew"),
+        F.coalesce(F.try_divide(s4 * (n + 1), s2 * s2) - 3, F.lit(0.0)).alias("kurtosis"),
+        F.coalesce(F.sqrt(F.avg(F.col("s") * F.col("s"))), F.lit(0.0)).alias("tan_beta0"),
+        F.coalesce(F.sum(F.abs("s")), F.lit(0.0)).alias("variation"),
+        F.get(F.sort_array(F.collect_list("y")), F.floor(n / 2).cast("int")).alias("median"),
+    )
+
+
+def _binned(lines: DataFrame, bins: int | None) -> DataFrame:
+    extremes = lines.groupBy("line_id").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count("y").alias("n"))
+    default = F.greatest(F.floor(3.49 * F.cbrt(F.col("n").cast("double")) + 0.5), F.lit(2))
+    known = lines.join(extremes.withColumn("bins", (F.lit(bins) if bins else default).cast("int")), "line_id")
+    at = F.floor(F.try_divide(F.col("y") - F.col("low"), F.col("high") - F.col("low")) * F.col("bins"))
+    return known.withColumn("bin", F.coalesce(F.least(at, F.col("bins") - 1), F.lit(0)).cast("int"))
+
+
+def distribution(lines: DataFrame, bins: int | None = None) -> DataFrame:
+    """``line_id, bin, x, n, share``: equal bins from minimum to maximum; ``share`` is that of values up to the bin's end."""
+    width = (F.col("high") - F.col("low")) / F.col("bins")
+    counted = _binned(lines, bins).groupBy("line_id", "bin", "low", "high", "bins", F.col("n").alias("total")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("line_id").orderBy("bin"))
+    return counted.select("line_id", "bin", (F.col("low") + (F.col("bin") + 0.5) * width).alias("x"), "n", (upto / F.col("total")).alias("share"))
+
+
+def steps(lines: DataFrame) -> DataFrame:
+    """Differences of neighbouring samples as lines, for distributions of slopes."""
+    known = lines.select("line_id", (F.col("i") - 1).alias("i"), (F.col("y") - F.lag("y").over(_order())).alias("y"))
+    return known.where("y is not null")
+
+
+def modus(lines: DataFrame, bins: int | None = None) -> DataFrame:
+    """``line_id, modus``: mean of the samples in the fullest bin, the first of equals."""
+    binned = _binned(lines, bins)
+    sizes = binned.groupBy("line_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    return sizes.groupBy("line_id").agg(F.max_by("mean", F.struct("n", -F.col("bin"))).alias("modus"))
+
+
+def _lagged(lines: DataFrame, lags: int) -> DataFrame:
+    wide = lines.select("line_id", "y", F.array(F.col("y"), *(F.lead("y", k).over(_order()) for k in range(1, lags + 1))).alias("ahead"))
+    return wide.select("line_id", "y", F.posexplode("ahead").alias("lag", "other")).where("other is not null")
+
+
+def autocorrelation(lines: DataFrame, lags: int = 16) -> DataFrame:
+    """``line_id, lag, acf``: mean product of samples ``lag`` apart, the line less its mean."""
+    mean = lines.groupBy("line_id").agg(F.avg("y").alias("_m"))
+    centred = lines.join(mean, "line_id").withColumn("y", F.col("y") - F.col("_m"))
+    return _lagged(centred, lags).groupBy("line_id", "lag").agg(F.avg(F.col("y") * F.col("other")).alias("acf"))
+
+
+def height_difference(lines: DataFrame, lags: int = 16) -> DataFrame:
+    """``line_id, lag, hhcf``: mean squared difference of samples ``lag`` apart."""
+    return _lagged(lines, lags).groupBy("line_id", "lag").agg(F.avg((F.col("y") - F.col("other")) ** 2).alias("hhcf"))
+
+
+#: Weights of the samples at -1, 0, 1 and 2 by the place ``x`` between 0 and 1.
+KERNELS = {
+    "round": lambda x: (0 * x, (x < 0.5).cast("double"), (x >= 0.5).cast("double"), 0 * x),
+    "linear": lambda x: (0 * x, 1 - x, x, 0 * x),
+    "key": lambda x: ((-0.5 + (1 - x / 2) * x) * x, 1 + (-2.5 + 1.5 * x) * x * x, (0.5 + (2 - 1.5 * x) * x) * x, (-0.5 + x / 2) * x * x),
+    "schaum": lambda x: (-x * (x - 1) * (x - 2) / 6, (x * x - 1) * (x - 2) / 2, -x * (x + 1) * (x - 2) / 2, x * (x * x - 1) / 6),
+}
+
+
+def sample(lines: DataFrame, places: list[float], kind: str = "linear") -> DataFrame:
+    """``line_id, x, y``: values between samples by a kernel of four; lines are mirrored at their ends.
+
+    Places outside a line's samples give no row.
+    """
+    before, after, second = (F.lead("y", k).over(_order()) for k in (-1, 1, 2))
+    y = F.col("y")
+    around = lines.select(
+        "line_id",
+        "i",
+        F.coalesce(before, y).alias("a"),
+        y.alias("b"),
+        F.coalesce(after, y).alias("c"),
+        F.coalesce(second, after, before, y).alias("d"),
+        after.isNull().alias("last"),
+    )
+    wanted = F.array(*(F.struct(F.lit(float(p)).alias("x"), F.lit(int(p // 1)).alias("at")) for p in places))
+    hit = around.select("*", F.explode(F.filter(wanted, lambda p: p["at"] == F.col("i"))).alias("p")).where("not last or p.x = i")
+    weights = KERNELS[kind](F.col("p.x") - F.col("i"))
+    return hit.select("line_id", "p.x", sum((w * F.col(c) for w, c in zip(weights, "abcd")), F.lit(0.0)).alias("y"))

@@ -67,3 +67,21 @@ def nearest(queries: DataFrame, points: DataFrame, distance: float, k: int = 1)
     """The ``k`` nearest of ``points`` within ``distance`` of each query, ties to the smaller id."""
     rank = F.row_number().over(Window.partitionBy("surface_id", "left_id").orderBy("distance", "right_id"))
     return within(queries, points, distance).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def zero_mean(points: DataFrame) -> DataFrame:
+    """Values less their cloud's mean."""
+    mean = points.groupBy("surface_id").agg(F.avg("z").alias("_mean"))
+    return points.join(maybe_broadcast(mean, 32), "surface_id").withColumn("z", F.col("z") - F.col("_mean")).drop("_mean")
+
+
+def fix_zero(points: DataFrame) -> DataFrame:
+    """Values less their cloud's minimum."""
+    low = points.groupBy("surface_id").agg(F.min("z").alias("_low"))
+    return points.join(maybe_broadcast(low, 32), "surface_id").withColumn("z", F.col("z") - F.col("_low")).drop("_low")
+
+
+def from_field(field: DataFrame, masked: bool = False) -> DataFrame:
+    """The pixels, or the marked ones, as points at their centres."""
+    chosen = field.where("m > 0") if masked else field
+    return chosen.select(F.col("field_id").alias("surface_id"), (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), "z")

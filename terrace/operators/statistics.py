@@ -19,12 +19,19 @@ def upper_median(df: DataFrame, keys: list[str], value: str = "z", sorted_values
 
     A group's values are counted in bins between its extremes; the bin that holds the
     element becomes the new range, until few values or one are left in it. Large
-    groups are thus never sorted, nor brought to one task.
+    groups are thus never sorted, nor brought to one task. Infinite values are set
+    aside by their rank; nulls and NaN do not count.
     """
     data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
-    size = F.count(F.lit(1))
-    todo = durable(data.groupBy(*keys).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), size.alias("n")).withColumn("rank", F.floor(F.col("n") / 2)))
-    done = todo.limit(0).select(*keys, F.col("low").alias("median"))
+    size, endless = F.count(F.lit(1)), float("inf")
+    finite = F.when(F.abs("_v") < endless, F.col("_v"))
+    below, above = F.count_if(F.col("_v") == -endless).alias("below"), F.count_if(F.col("_v") == endless).alias("above")
+    sizes = data.groupBy(*keys).agg(F.min(finite).alias("low"), F.max(finite).alias("high"), size.alias("n"), below, above).withColumn("rank", F.floor(F.col("n") / 2))
+    edge = F.when(F.col("rank") < F.col("below"), -endless).when(F.col("rank") >= F.col("n") - F.col("above"), endless)
+    sizes = durable(sizes.withColumn("edge", edge))
+    done = sizes.where("edge is not null").select(*keys, F.col("edge").alias("median"))
+    inner = F.col("n") - F.col("below") - F.col("above")
+    todo = sizes.where("edge is null").select(*keys, "low", "high", inner.alias("n"), (F.col("rank") - F.col("below")).alias("rank"))
     while True:
         single = F.col("low") == F.col("high")
         done = done.union(todo.where(single).select(*keys, "low"))
@@ -36,7 +43,8 @@ def upper_median(df: DataFrame, keys: list[str], value: str = "z", sorted_values
         if todo.isEmpty():
             return done
         inside = data.join(maybe_broadcast(todo, 128), keys).where("_v between low and high")
-        at = F.least(F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * _BINS), F.lit(_BINS - 1))
+        half = lambda c: F.col(c) / 2  # noqa: E731  the range of two halves never overflows
+        at = F.least(F.floor((half("_v") - half("low")) / (half("high") - half("low")) * _BINS), F.lit(_BINS - 1))
         bins = inside.groupBy(*keys, at.alias("bin")).agg(size.alias("here"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.first("rank").alias("rank"))
         before = F.coalesce(F.sum("here").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         hit = bins.withColumn("before", before).where("rank >= before and rank < before + here")

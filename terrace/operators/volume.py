@@ -82,3 +82,37 @@ def clusters(brick: DataFrame, k: int, seed: int = 1) -> DataFrame:
     vectors = rows.withColumn("features", array_to_vector("_p"))
     model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("brick_id", "row", "col", "cluster")
+
+
+def part(brick: DataFrame, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
+    """A box of the volume, its axes counted anew; corner and size are by level, row and column."""
+    inside = [F.col(a).between(at, at + n - 1) for a, at, n in zip(_AXES, low, size)]
+    return brick.where(inside[0] & inside[1] & inside[2]).select("brick_id", *((F.col(a) - at).alias(a) for a, at in zip(_AXES, low)), "w")
+
+
+def resample(brick: DataFrame, levels: int) -> DataFrame:
+    """The volume with another number of levels over the same extent, each from the old level that holds its middle."""
+    size = brick.groupBy("brick_id").agg((F.max("lev") + 1).alias("_n"))
+    wanted = size.select("brick_id", "_n", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_new"))
+    sources = wanted.select("brick_id", F.col("_new"), F.floor((F.col("_new") + 0.5) * F.col("_n") / levels).cast("int").alias("lev"))
+    return brick.join(F.broadcast(sources) if sources.limit(100_001).count() <= 100_000 else sources, ["brick_id", "lev"]).select("brick_id", F.col("_new").alias("lev"), "row", "col", "w")
+
+
+def value_at(brick: DataFrame, lev: int, row: int, col: int) -> DataFrame:
+    return brick.where((F.col("lev") == lev) & (F.col("row") == row) & (F.col("col") == col)).select("brick_id", "w")
+
+
+def extremes(brick: DataFrame) -> DataFrame:
+    """``brick_id, n, min, max``."""
+    return brick.groupBy("brick_id").agg(F.count("w").alias("n"), F.min("w").alias("min"), F.max("w").alias("max"))
+
+
+def changed(brick: DataFrame, value: Column) -> DataFrame:
+    """``value``, over ``w`` and the places, in every cell; a constant fills, 0 clears."""
+    return brick.withColumn("w", value.cast("double"))
+
+
+def calibrated(brick: DataFrame, axis: DataFrame) -> DataFrame:
+    """``brick`` with ``value``, the calibrated place of each level; ``axis`` is a line ``line_id, i, y`` for each brick."""
+    at = axis.select(F.col("line_id").alias("brick_id"), F.col("i").alias("lev"), F.col("y").alias("value"))
+    return brick.join(at, ["brick_id", "lev"], "left")

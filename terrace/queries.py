@@ -598,3 +598,5 @@ register(
     "stream_windows", lambda spark, sf_dir: streaming.run_available(spark, sf_dir, "events.parquet", "1 day").withColumn("start", F.unix_timestamp("start")),
     f"select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(value) as n, {rounded('sum(value)', 'total')}, {rounded('min(value)', 'low')}, {rounded('max(value)', 'high')} from events group by all",
 )
+
+from terrace import queries_more as _more  # noqa: E402, F401  registers its queries here too

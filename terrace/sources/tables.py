@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from terrace.plans.durable import durable
 from terrace.plans.indexing import row_index
 
+#: The grid of each table that a session has read, numbered and written once.
+_GRIDS: dict[tuple[str, str], DataFrame] = {}
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -26,6 +28,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as a square field with a second operand ``q`` and a mask ``m``; the incomplete last row is left out."""
+    session = (spark.sparkContext.applicationId, sf_dir)
+    if session not in _GRIDS:
+        _GRIDS[session] = _grid(spark, sf_dir)
+    return _GRIDS[session]
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select(*KEY, "l_quantity", "l_discount")
     n = rows.count()
     width = max(1, round(n**0.5))
