@@ -5,7 +5,7 @@ from __future__ import annotations
 from enum import Enum
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,8 @@ def selected(region: Region | None = None, masking: Masking = Masking.IGNORE, ma
     if masking is Masking.EXCLUDE:
         return chosen & (F.col(mask) < 1)
     return chosen
+
+
+def chosen(field: DataFrame, region: Region | None = None, masking: Masking = Masking.IGNORE) -> DataFrame:
+    """The pixels of a region, in or out of the mask: what a statistic of a part is taken over."""
+    return field.where(selected(region, masking))

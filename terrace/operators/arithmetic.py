@@ -120,3 +120,24 @@ def renormalize(field: DataFrame, width: float = 1.0, offset: float = 0.0) -> Da
 def invert_values(field: DataFrame) -> DataFrame:
     """Values reflected about their field's mean."""
     return per_field(field, F.avg("z").alias("_mean")).withColumn("z", 2 * F.col("_mean") - F.col("z")).drop("_mean")
+
+
+def log_scale(field: DataFrame) -> DataFrame:
+    """Logarithms of the values above the minimum, in thousandths of the range: what a logarithmic presentation shows."""
+    known = per_field(field, F.min("z").alias("_low"), F.max("z").alias("_high"))
+    part = F.try_divide(F.col("z") - F.col("_low"), F.col("_high") - F.col("_low"))
+    return known.withColumn("z", F.log1p(1000.0 * F.coalesce(part, F.lit(0.0)))).drop("_low", "_high")
+
+
+def to_volume(field: DataFrame, levels: int) -> DataFrame:
+    """A volume ``brick_id, lev, row, col, w``: 1 up to the level that each pixel's height reaches between the extremes, 0 above."""
+    known = per_field(field, F.min("z").alias("_low"), F.max("z").alias("_high"))
+    reached = F.floor(F.coalesce(F.try_divide(F.col("z") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * (levels - 1))
+    every = known.select(F.col("field_id").alias("brick_id"), "row", "col", reached.alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lev"))
+    return every.select("brick_id", "lev", "row", "col", (F.col("lev") <= F.col("_r")).cast("double").alias("w"))
+
+
+def layers_to_volume(fields: DataFrame, order: list) -> DataFrame:
+    """Fields of one shape as the levels of one volume, in the order of their ids."""
+    places = F.create_map(*(F.lit(v) for k, f in enumerate(order) for v in (f, k)))
+    return fields.where(F.col("field_id").isin(*order)).select(F.lit(0).alias("brick_id"), places[F.col("field_id")].alias("lev"), "row", "col", F.col("z").alias("w"))

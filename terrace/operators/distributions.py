@@ -122,3 +122,14 @@ def minkowski(field: DataFrame, levels: int = 16) -> DataFrame:
         F.try_divide(s["touched"] - s["pair"], pairs).alias("boundary"),
         ((s["pixel"] - s["pair"] + s["square"]) / F.col("_n")).alias("euler"),
     )
+
+
+def angular_average(field: DataFrame, col: float, row: float, step: float = 1.0) -> DataFrame:
+    """``field_id, bin, n, z``: mean value of the pixels whose distance from a place is in ``[bin, bin + 1)`` steps."""
+    at = F.floor(F.hypot(F.col("col") - col, F.col("row") - row) / step).cast("int")
+    return field.groupBy("field_id", at.alias("bin")).agg(F.count("z").alias("n"), F.avg("z").alias("z"))
+
+
+def of_quantity(grains: DataFrame, quantity: str, bins: int | None = None) -> DataFrame:
+    """Histogram of a quantity of the grains (``grains.quantities``)."""
+    return histogram(grains.select("field_id", F.col(quantity).cast("double").alias("z")), bins)

@@ -155,3 +155,33 @@ def derivative(field: DataFrame, direction: str = "x", step: float = 1.0) -> Dat
     before, after = F.lag("z").over(w), F.lead("z").over(w)
     span = (F.when(before.isNull(), 0).otherwise(1) + F.when(after.isNull(), 0).otherwise(1)) * step
     return field.select(*PLACE, F.coalesce(F.try_divide(F.coalesce(after, F.col("z")) - F.coalesce(before, F.col("z")), span), F.lit(0.0)).alias("z"))
+
+
+def slope(field: DataFrame) -> DataFrame:
+    """``field_id, row, col, slope, direction`` by central differences, one-sided at the border; the direction points downhill."""
+    x, y = derivative(field, "x").select(*PLACE, F.col("z").alias("_x")), derivative(field, "y").select(*PLACE, F.col("z").alias("_y"))
+    return x.join(y, PLACE).select(*PLACE, F.hypot("_x", "_y").alias("slope"), F.atan2(-F.col("_y"), -F.col("_x")).alias("direction"))
+
+
+def total(field: DataFrame, across: str, down: str) -> DataFrame:
+    """Length of the two kernels' results, as ``prewitt_x`` and ``prewitt_y``."""
+    x, y = kernel3(field, across), kernel3(field, down).select(*PLACE, F.col("z").alias("_y"))
+    return x.join(y, PLACE).withColumn("z", F.hypot("z", "_y")).drop("_y")
+
+
+def kuwahara(field: DataFrame) -> DataFrame:
+    """Edge-keeping smoothing: the mean of that 3 by 3 square, of the four with the pixel at a corner, of least variance.
+
+    The first of equal ones counts, in the order of rows and columns; pixels nearer than two to the border stay.
+    """
+    across = Window.partitionBy("field_id", "row").orderBy("col")
+    down = Window.partitionBy("field_id", "col").orderBy("row")
+    z = F.col("z")
+    rows = field.withColumns({"_s": sum((F.lag("z", k).over(across) for k in (1, -1)), z), "_q": sum((F.lag(z * z, k).over(across) for k in (1, -1)), z * z)})
+    squares = rows.withColumns({f"_{c}{c}": sum((F.lag(f"_{c}", k).over(down) for k in (1, -1)), F.col(f"_{c}")) for c in "sq"})
+    square = F.struct((F.col("_qq") / 9 - (F.col("_ss") / 9) ** 2).alias("v"), (F.col("_ss") / 9).alias("m"))
+    sides = squares.withColumn("_v", F.when(F.col("_ss").isNotNull(), square)).withColumns({"_l": F.lag("_v").over(across), "_r": F.lead("_v").over(across)})
+    corners = sides.withColumns({"_a": F.lag("_l").over(down), "_b": F.lag("_r").over(down), "_c": F.lead("_l").over(down), "_d": F.lead("_r").over(down)})
+    four = F.array(*(F.struct(F.col(f"_{c}.v").alias("v"), F.lit(i).alias("i"), F.col(f"_{c}.m").alias("m")) for i, c in enumerate("abcd")))
+    full = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col("_c").isNotNull() & F.col("_d").isNotNull()
+    return corners.select(*PLACE, F.when(full, F.array_min(four)["m"]).otherwise(z).alias("z"))

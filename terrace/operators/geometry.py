@@ -129,3 +129,61 @@ def column_of(field: DataFrame, col: int) -> DataFrame:
 
 def row_of(field: DataFrame, row: int) -> DataFrame:
     return field.where(F.col("row") == row).select(F.col("field_id").alias("line_id"), F.col("col").alias("i"), F.col("z").alias("y"))
+
+
+def line_of(field: DataFrame, at: int, by: str = "row", start: int = 0, stop: int | None = None) -> DataFrame:
+    """A row or column, or a part of it, as a line."""
+    along = "col" if by == "row" else "row"
+    inside = (F.col(along) >= start) & (F.lit(True) if stop is None else F.col(along) < stop)
+    return field.where((F.col(by) == at) & inside).select(F.col("field_id").alias("line_id"), (F.col(along) - start).alias("i"), F.col("z").alias("y"))
+
+
+def put_line(field: DataFrame, lines: DataFrame, at: int, by: str = "row", start: int = 0) -> DataFrame:
+    """``field`` with a line's samples in a row or column, from ``start`` on."""
+    along = "col" if by == "row" else "row"
+    new = lines.select(F.col("line_id").alias("field_id"), F.lit(at).alias(by), (F.col("i") + start).cast("int").alias(along), F.col("y").alias("_y"))
+    return field.join(new, PLACE, "left").withColumn("z", F.coalesce("_y", "z")).drop("_y")
+
+
+def in_circle(col: int, row: int, radius: float) -> Column:
+    """Whether a pixel lies within ``radius`` of a pixel."""
+    dx, dy = F.col("col") - col, F.col("row") - row
+    return dx * dx + dy * dy <= radius * radius
+
+
+def extract(field: DataFrame, inside: Column) -> DataFrame:
+    """``field_id, row, col, z`` of the pixels of a shape."""
+    return field.where(inside).select(*PLACE, "z")
+
+
+def put_back(field: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``field`` with the values of ``pixels`` where there are some."""
+    new = pixels.select(*PLACE, F.col("z").alias("_new"))
+    return field.join(new, PLACE, "left").withColumn("z", F.coalesce("_new", "z")).drop("_new")
+
+
+def size_of(field: DataFrame, inside: Column) -> DataFrame:
+    """``field_id, n``: pixels of a shape."""
+    return field.where(inside).groupBy("field_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fill_shape(field: DataFrame, inside: Column, value: float) -> DataFrame:
+    return field.withColumn("z", F.when(inside, float(value)).otherwise(F.col("z")))
+
+
+def on_area(field: DataFrame, region: Region, of) -> DataFrame:
+    """``field`` with an area replaced by what ``of`` makes of it; ``of`` sees the area alone, as a field of its own."""
+    done = of(crop(field, region)).select("field_id", (F.col("row") + region.row).alias("row"), (F.col("col") + region.col).alias("col"), "z")
+    return put_back(field, done)
+
+
+def transpose(field: DataFrame) -> DataFrame:
+    """Rows and columns exchanged."""
+    return field.withColumns({"row": F.col("col"), "col": F.col("row")})
+
+
+def roll(field: DataFrame, back: bool = False) -> DataFrame:
+    """Quadrants exchanged, so that what was at (0, 0) stands in the middle; ``back`` undoes it."""
+    known = per_field(field, (F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    half = lambda n: F.floor((F.col(n) + (1 if back else 0)) / 2)
+    return known.withColumns({"col": ((F.col("col") + half("_w")) % F.col("_w")).cast("int"), "row": ((F.col("row") + half("_h")) % F.col("_h")).cast("int")}).drop("_w", "_h")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.arithmetic import PLACE, per_field
 from terrace.operators.components import connected_components
+from terrace.operators.statistics import upper_median
 from terrace.plans.durable import durable
 
 
@@ -153,3 +154,117 @@ def extrema(field: DataFrame, maxima: bool = True) -> DataFrame:
     rows = rows.withColumn("line", F.greatest("side", "s"))
     around = rows.select(*PLACE, "z", "s", F.greatest("side", F.lag("line").over(down), F.lead("line").over(down)).alias("around"))
     return around.where("around is null or s > around").select(*PLACE, "z")
+
+
+def more_quantities(field: DataFrame, grains: DataFrame) -> DataFrame:
+    """A row for each grain: ``median``, ``volume_min`` (over the minimum), ``half_area`` (pixels above half height),
+    ``slope_x``, ``slope_y``, ``theta``, ``phi`` (of the fitted plane), and the axes and angle of the ellipse of equal second moments.
+
+    The median is element floor(n/2). A pixel counts as a square, which adds 1/12 to
+    each second moment. A grain without a plane of its own has slope 0.
+    """
+    joined = grains.join(field.select(*PLACE, "z"), PLACE)
+    key = ["field_id", "grain"]
+    means = joined.groupBy(*key).agg(F.avg("col").alias("_x"), F.avg("row").alias("_y"), F.avg("z").alias("_z"), F.min("z").alias("_low"), F.max("z").alias("_high"))
+    d = joined.join(means, key).withColumns({"x": F.col("col") - F.col("_x"), "y": F.col("row") - F.col("_y"), "h": F.col("z") - F.col("_z")})
+    xx, xy, yy, xz, yz = (F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "xy", "yy", "xh", "yh"))
+    half = F.count_if(F.col("z") >= (F.col("_low") + F.col("_high")) / 2)
+    sums = d.groupBy(*key).agg(F.count("z").alias("n"), xx.alias("xx"), xy.alias("xy"), yy.alias("yy"), xz.alias("xz"), yz.alias("yz"), F.sum(F.col("z") - F.col("_low")).alias("volume_min"), half.alias("half_area"))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    solve = lambda p: F.when(det > 1e-9 * F.col("n"), p / F.nullif(det, F.lit(0.0))).otherwise(0.0)
+    bx, by = solve(F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")), solve(F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy"))
+    flat = sums.withColumns({"slope_x": bx, "slope_y": by, "u": F.col("xx") / F.col("n") + 1 / 12, "v": F.col("yy") / F.col("n") + 1 / 12, "c": F.col("xy") / F.col("n")})
+    root = F.sqrt(((F.col("u") - F.col("v")) / 2) ** 2 + F.col("c") * F.col("c"))
+    mid = (F.col("u") + F.col("v")) / 2
+    # Axes of an ellipse of these moments, scaled to the grain's area.
+    big, small = F.sqrt(mid + root), F.sqrt(mid - root)
+    scale = F.sqrt(F.col("n") / (F.pi() * big * small))
+    angle = F.atan2(2 * F.col("c"), F.col("u") - F.col("v")) / 2
+    named = flat.select(
+        *key,
+        "volume_min",
+        "half_area",
+        "slope_x",
+        "slope_y",
+        F.atan(F.hypot("slope_x", "slope_y")).alias("theta"),
+        F.atan2("slope_y", "slope_x").alias("phi"),
+        (big * scale).alias("ellipse_major"),
+        (small * scale).alias("ellipse_minor"),
+        angle.alias("ellipse_angle"),
+    )
+    return named.join(upper_median(joined, key), key)
+
+
+def boundary_values(field: DataFrame, grains: DataFrame) -> DataFrame:
+    """``field_id, grain, boundary_min, boundary_max``: extremes of the pixels that have a neighbour outside, or stand at the border."""
+    mine = grains.join(field.select(*PLACE, "z"), PLACE)
+    across = Window.partitionBy("field_id", "row", "grain").orderBy("col")
+    down = Window.partitionBy("field_id", "col", "grain").orderBy("row")
+    near = [(F.lag("col").over(across), F.col("col") - 1), (F.lead("col").over(across), F.col("col") + 1), (F.lag("row").over(down), F.col("row") - 1), (F.lead("row").over(down), F.col("row") + 1)]
+    inner = [F.coalesce(found == wanted, F.lit(False)) for found, wanted in near]
+    edge = mine.withColumn("_in", inner[0] & inner[1] & inner[2] & inner[3]).where("not _in")
+    return edge.groupBy("field_id", "grain").agg(F.min("z").alias("boundary_min"), F.max("z").alias("boundary_max"))
+
+
+def radii(grains: DataFrame) -> DataFrame:
+    """``field_id, grain, mean_radius``: mean distance of the outer pixel edges' middles from the grain's centre."""
+    centre = grains.groupBy("field_id", "grain").agg(F.avg("col").alias("_x"), F.avg("row").alias("_y"))
+    steps = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (0, -1), (1, 0), (-1, 0))))
+    sides = grains.withColumn("_s", F.explode(steps))
+    looked = sides.select("field_id", "grain", (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), "_s")
+    outer = looked.join(grains.select(*PLACE), PLACE, "left_anti").join(centre, ["field_id", "grain"])
+    x, y = F.col("col") - F.col("_s.dc") / 2 - F.col("_x"), F.col("row") - F.col("_s.dr") / 2 - F.col("_y")
+    return outer.groupBy("field_id", "grain").agg(F.avg(F.hypot(x, y)).alias("mean_radius"))
+
+
+def at(grains: DataFrame, row: int, col: int) -> DataFrame:
+    """``field_id, grain`` of the grain that holds a pixel."""
+    return grains.where((F.col("row") == row) & (F.col("col") == col)).select("field_id", "grain")
+
+
+def remove_at(mask: DataFrame, grains: DataFrame, row: int, col: int) -> DataFrame:
+    """The grain that holds a pixel unmarked."""
+    return select(mask, grains, grains.select("field_id", "grain").distinct().join(at(grains, row, col), ["field_id", "grain"], "left_anti"))
+
+
+def extract_at(mask: DataFrame, grains: DataFrame, row: int, col: int) -> DataFrame:
+    """Only the grain that holds a pixel left marked."""
+    return select(mask, grains, at(grains, row, col))
+
+
+def remove_by_number(mask: DataFrame, grains: DataFrame, number: int) -> DataFrame:
+    return select(mask, grains, grains.where(F.col("grain") != number).select("field_id", "grain").distinct())
+
+
+def remove_by_height(field: DataFrame, grains: DataFrame, height: float, below: bool = False) -> DataFrame:
+    """Grains unmarked of which some value lies above (or below) ``height``."""
+    joined = grains.join(field.select(*PLACE, "z"), PLACE)
+    test = F.min("z") >= height if below else F.max("z") <= height
+    return select(field, grains, joined.groupBy("field_id", "grain").agg(test.alias("keep")).where("keep"))
+
+
+def autocrop(mask: DataFrame, symmetric: bool = False) -> DataFrame:
+    """``field_id, left, top, width, height``: the smallest box of all marked pixels; with ``symmetric`` the field's centre stays."""
+    whole = mask.groupBy("field_id").agg((F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    box = mask.where("m > 0").groupBy("field_id").agg(F.min("col").alias("x0"), F.max("col").alias("x1"), F.min("row").alias("y0"), F.max("row").alias("y1"))
+    both = box.join(whole, "field_id")
+    if symmetric:
+        x, y = F.least("x0", F.col("_w") - 1 - F.col("x1")), F.least("y0", F.col("_h") - 1 - F.col("y1"))
+        both = both.withColumns({"x0": x, "x1": F.col("_w") - 1 - x, "y0": y, "y1": F.col("_h") - 1 - y})
+    return both.select("field_id", F.col("x0").alias("left"), F.col("y0").alias("top"), (F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height"))
+
+
+def mark_range(field: DataFrame, low: float, high: float) -> DataFrame:
+    """Pixels of values from ``low`` to ``high`` marked."""
+    return field.withColumn("m", F.col("z").between(low, high).cast("double"))
+
+
+def distance(mask: DataFrame, steps: int) -> DataFrame:
+    """``field_id, row, col, z``: steps over pixel edges from each marked pixel to the nearest unmarked one, up to ``steps``; 0 outside.
+
+    The border counts as marked, as in ``shrink``.
+    """
+    now = mask.select(*PLACE, (F.col("m") > 0).cast("double").alias("m"), (F.col("m") > 0).cast("double").alias("z"))
+    for _ in range(steps - 1):
+        now = shrink(now).withColumn("z", F.col("z") + F.col("m"))
+    return now.select(*PLACE, "z")

@@ -157,3 +157,29 @@ def interpolate_masked(field: DataFrame) -> DataFrame:
     between = F.col("_l.z") + (F.col("_r.z") - F.col("_l.z")) * part
     filled = F.when(F.col("m") <= 0, F.col("z")).otherwise(F.coalesce(between, "_l.z", "_r.z", "z"))
     return near.select(*PLACE, filled.alias("z"))
+
+
+def correct_average(field: DataFrame, unmasked: bool = True) -> DataFrame:
+    """Marked pixels replaced by the mean of the unmarked ones, or of all."""
+    source = F.when(F.col("m") <= 0, F.col("z")) if unmasked else F.col("z")
+    known = per_field(field, F.avg(source).alias("_mean"))
+    return known.withColumn("z", F.when(F.col("m") > 0, F.coalesce("_mean", "z")).otherwise(F.col("z"))).drop("_mean")
+
+
+def tilt(field: DataFrame, bx: float, by: float) -> DataFrame:
+    """A plane of these slopes subtracted."""
+    return field.withColumn("z", F.col("z") - bx * F.col("col") - by * F.col("row"))
+
+
+def level_three(field: DataFrame, places: list[tuple[int, int]]) -> DataFrame:
+    """The plane through the values at three pixels (column, row) subtracted."""
+    (x1, y1), (x2, y2), (x3, y3) = places
+    at = lambda x, y: F.max(F.when((F.col("col") == x) & (F.col("row") == y), F.col("z")))
+    known = per_field(field, at(x1, y1).alias("_1"), at(x2, y2).alias("_2"), at(x3, y3).alias("_3"))
+    det = (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)
+    if not det:
+        raise ValueError("three pixels in one line define no plane")
+    p, q = F.col("_2") - F.col("_1"), F.col("_3") - F.col("_1")
+    bx, by = (p * (y3 - y1) - q * (y2 - y1)) / det, (q * (x2 - x1) - p * (x3 - x1)) / det
+    plane = F.col("_1") + bx * (F.col("col") - x1) + by * (F.col("row") - y1)
+    return known.withColumn("z", F.col("z") - plane).drop("_1", "_2", "_3")

@@ -7,9 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators import geometry
+from terrace.operators.arithmetic import per_field
 
-def _lagged(field: DataFrame, lags: int, centre: bool) -> DataFrame:
-    """Per lag: sum of products, sum of squared differences and number of pairs, in one pass over sorted rows."""
+
+def _lagged(field: DataFrame, lags: int, centre: bool, by: str) -> DataFrame:
+    """Per lag: sum of products, sum of squared differences and number of pairs, in one pass over sorted rows, or columns."""
+    if by == "col":
+        field = geometry.transpose(field)
     z = F.col("z") - F.avg("z").over(Window.partitionBy("field_id", "row")) if centre else F.col("z")
     order = Window.partitionBy("field_id", "row").orderBy("col")
     centred = field.select("field_id", "row", "col", z.alias("z"))
@@ -27,14 +32,14 @@ def _lagged(field: DataFrame, lags: int, centre: bool) -> DataFrame:
     return wide.groupBy("field_id").agg(F.array(*sums).alias("_all")).select("field_id", F.explode("_all").alias("_e")).select("field_id", "_e.*").where("n > 0")
 
 
-def autocorrelation(field: DataFrame, lags: int = 16) -> DataFrame:
-    """``field_id, lag, acf``: mean product of pixels ``lag`` columns apart, rows less their means."""
-    return _lagged(field, lags, True).select("field_id", "lag", (F.col("products") / F.col("n")).alias("acf"))
+def autocorrelation(field: DataFrame, lags: int = 16, by: str = "row") -> DataFrame:
+    """``field_id, lag, acf``: mean product of pixels ``lag`` columns apart, rows less their means; ``by="col"`` exchanges both."""
+    return _lagged(field, lags, True, by).select("field_id", "lag", (F.col("products") / F.col("n")).alias("acf"))
 
 
-def height_difference(field: DataFrame, lags: int = 16) -> DataFrame:
-    """``field_id, lag, hhcf``: mean squared difference of pixels ``lag`` columns apart."""
-    return _lagged(field, lags, False).select("field_id", "lag", (F.col("squares") / F.col("n")).alias("hhcf"))
+def height_difference(field: DataFrame, lags: int = 16, by: str = "row") -> DataFrame:
+    """``field_id, lag, hhcf``: mean squared difference of pixels ``lag`` columns apart; ``by="col"``: rows apart."""
+    return _lagged(field, lags, False, by).select("field_id", "lag", (F.col("squares") / F.col("n")).alias("hhcf"))
 
 
 WINDOWS = {
@@ -113,3 +118,83 @@ def box_counting(field: DataFrame) -> DataFrame:
         out = part if out is None else out.union(part)
         low_high = boxes.select("field_id", F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c"), "lo", "hi")
     return out
+
+
+def autocorrelation_2d(field: DataFrame, reach: int = 4) -> DataFrame:
+    """``field_id, dx, dy, acf``: mean product of pixels (dx, dy) apart, less the field's mean, for shifts of up to ``reach``.
+
+    Half of the plane is computed, the other half is its mirror image.
+    """
+    mean = per_field(field.select("field_id", "row", "col", "z"), F.avg("z").alias("_m"))
+    centred = mean.select("field_id", "row", "col", (F.col("z") - F.col("_m")).alias("z"))
+    down = Window.partitionBy("field_id", "col").orderBy("row")
+    across = Window.partitionBy("field_id", "row").orderBy("col")
+    rows = centred.select("*", *(F.lead("z", dy).over(down).alias(f"d{dy}") for dy in range(1, reach + 1))).withColumnRenamed("z", "d0")
+    shifts = [(dx, dy) for dy in range(reach + 1) for dx in range(-reach, reach + 1) if dy or dx >= 0]
+    wide = rows.select("field_id", F.col("d0").alias("z"), *(F.lead(f"d{dy}", dx).over(across).alias(f"s{k}") for k, (dx, dy) in enumerate(shifts)))
+    sums = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.avg(F.col("z") * F.col(f"s{k}")).alias("acf")) for k, (dx, dy) in enumerate(shifts)))
+    half = wide.groupBy("field_id").agg(sums.alias("_s")).select("field_id", F.explode("_s").alias("s")).select("field_id", "s.*").where("acf is not null")
+    other = half.where("dx != 0 or dy != 0").select("field_id", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), "acf")
+    return half.union(other)
+
+
+def radial_autocorrelation(field: DataFrame, reach: int = 4) -> DataFrame:
+    """``field_id, lag, n, acf``: the two-dimensional function averaged over shifts of rounded length ``lag`` up to ``reach``."""
+    lag = F.floor(F.hypot("dx", "dy") + 0.5).cast("int")
+    rows = autocorrelation_2d(field, reach).select("field_id", lag.alias("lag"), "acf").where(F.col("lag") <= reach)
+    return rows.groupBy("field_id", "lag").agg(F.count("acf").alias("n"), F.avg("acf").alias("acf"))
+
+
+def transform_2d(field: DataFrame, inverse: bool = False) -> DataFrame:
+    """Unitary two-dimensional Fourier transform, rows and then columns: ``field_id, row, col, re, im``; the inverse reads these and gives ``z`` too."""
+    once = row_transform(field, inverse)
+    turned = geometry.transpose(once).select("field_id", "row", "col", "re", "im")
+    return geometry.transpose(_complex_rows(turned, inverse))
+
+
+def _complex_rows(field: DataFrame, inverse: bool) -> DataFrame:
+    def transform(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("col")
+        values = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        f = (np.fft.ifft if inverse else np.fft.fft)(values, norm="ortho")
+        out = {"field_id": key[0], "row": key[1], "col": np.arange(len(f)), "re": f.real, "im": f.imag}
+        return pd.DataFrame(out | ({"z": f.real} if inverse else {}))
+
+    kind = field.schema["field_id"].dataType.simpleString()
+    schema = f"field_id {kind}, row int, col int, re double, im double" + (", z double" if inverse else "")
+    return field.groupBy("field_id", "row").applyInPandas(transform, schema)
+
+
+def radial_spectrum(field: DataFrame) -> DataFrame:
+    """``field_id, bin, n, psdf``: mean power of the two-dimensional transform over frequencies of rounded length ``bin``, the mean left out."""
+    known = per_field(transform_2d(centred(field)), (F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    signed = lambda c, n: F.when(F.col(c) * 2 > F.col(n), F.col(c) - F.col(n)).otherwise(F.col(c))
+    at = F.floor(F.hypot(signed("col", "_w").cast("double"), signed("row", "_h").cast("double")) + 0.5).cast("int")
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    return known.select("field_id", at.alias("bin"), power.alias("p")).where("bin > 0").groupBy("field_id", "bin").agg(F.count("p").alias("n"), F.avg("p").alias("psdf"))
+
+
+def centred(field: DataFrame) -> DataFrame:
+    """``field`` less its mean."""
+    return per_field(field.select("field_id", "row", "col", "z"), F.avg("z").alias("_m")).withColumn("z", F.col("z") - F.col("_m")).drop("_m")
+
+
+def haar_rows(field: DataFrame, direction: str = "x") -> DataFrame:
+    """One Haar level along rows (``x``) or columns (``y``): ``field_id, row, col, low, high`` for each pair of pixels; an odd last pixel is left out."""
+    along = "col" if direction == "x" else "row"
+    other = "row" if direction == "x" else "col"
+    pick = lambda k: F.max(F.when(F.col(along) % 2 == k, F.col("z")))
+    pairs = field.groupBy("field_id", other, F.floor(F.col(along) / 2).cast("int").alias("pair")).agg(pick(0).alias("a"), pick(1).alias("b")).where("b is not null")
+    half = lambda c: (c / float(np.sqrt(2.0)))
+    return pairs.select("field_id", F.col(other), F.col("pair").alias(along), half(F.col("a") + F.col("b")).alias("low"), half(F.col("a") - F.col("b")).alias("high"))
+
+
+def weighted_correlation(left: DataFrame, right: DataFrame, weight: str = "weight") -> DataFrame:
+    """``field_id, score``: Pearson correlation of two fields of one shape under the weights in a column of ``left``."""
+    w, a, b = F.col(weight), F.col("z"), F.col("_o")
+    pairs = left.join(right.select("field_id", "row", "col", F.col("z").alias("_o")), ["field_id", "row", "col"])
+    total = F.sum(w)
+    means = pairs.groupBy("field_id").agg((F.sum(w * a) / total).alias("_ma"), (F.sum(w * b) / total).alias("_mb"))
+    d = pairs.join(F.broadcast(means) if means.limit(1001).count() <= 1000 else means, "field_id")
+    da, db = a - F.col("_ma"), b - F.col("_mb")
+    return d.groupBy("field_id").agg(F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da) * F.sum(w * db * db))).alias("score"))

@@ -141,3 +141,36 @@ def outliers(field: DataFrame, times: float = 3.0) -> DataFrame:
     """``field`` with mask ``m`` of the pixels further than ``times`` the rms from the mean."""
     known = per_field(field, F.avg("z").alias("_mean"), F.stddev_pop("z").alias("_rms"))
     return known.withColumn("m", (F.abs(F.col("z") - F.col("_mean")) > times * F.col("_rms")).cast("double")).drop("_mean", "_rms")
+
+
+def outliers_between(field: DataFrame, below: float, above: float) -> DataFrame:
+    """``field`` with mask ``m`` of the pixels more than ``below`` rms under or ``above`` rms over the mean."""
+    known = per_field(field, F.avg("z").alias("_mean"), F.stddev_pop("z").alias("_rms"))
+    d = F.col("z") - F.col("_mean")
+    test = (d < -below * F.col("_rms")) | (d > above * F.col("_rms"))
+    return known.withColumn("m", test.cast("double")).drop("_mean", "_rms")
+
+
+def distances(field: DataFrame, segments: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``field_id, k, dx, dy, length, angle, dz`` of segments between pixels (column, row, column, row); the angle counts upwards."""
+    ends = field.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(segments)], "k int, x1 int, y1 int, x2 int, y2 int")
+    read = field.select("field_id", "row", "col", "z")
+    pixel = lambda i: read.toDF("field_id" if i == 1 else "_f", f"y{i}", f"x{i}", f"z{i}")
+    both = pixel(1).join(F.broadcast(ends), ["x1", "y1"]).join(pixel(2), ["x2", "y2"]).where("field_id = _f")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return both.select("field_id", "k", dx.alias("dx"), dy.alias("dy"), F.hypot(dx.cast("double"), dy.cast("double")).alias("length"), F.atan2(-dy, dx).alias("angle"), (F.col("z2") - F.col("z1")).alias("dz"))
+
+
+def read_values(field: DataFrame, places: list[tuple[int, int]], radius: int = 1) -> DataFrame:
+    """``field_id, k, n, z``: mean of the pixels within ``radius`` of each place (column, row)."""
+    spots = field.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(places)], "k int, _x int, _y int")
+    near = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius))
+    wanted = spots.select("k", "_x", "_y", F.explode(near).alias("d")).select("k", (F.col("_x") + F.col("d.dx")).alias("col"), (F.col("_y") + F.col("d.dy")).alias("row"))
+    return field.join(F.broadcast(wanted), ["row", "col"]).groupBy("field_id", "k").agg(F.count("z").alias("n"), F.avg("z").alias("z"))
+
+
+def grainwise_rms(field: DataFrame, grains: DataFrame) -> DataFrame:
+    """``field_id, rms``: rms of the grains' pixels, each grain less its own mean."""
+    joined = grains.join(field.select("field_id", "row", "col", "z"), ["field_id", "row", "col"])
+    sums = joined.groupBy("field_id", "grain").agg(F.count("z").alias("n"), F.var_pop("z").alias("v"))
+    return sums.groupBy("field_id").agg(F.sqrt(F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("rms"))
