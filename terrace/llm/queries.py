@@ -82,5 +82,31 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
 }
 
+_SPACED = r"[^\x20\x09-\x0D]+"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: DuckDB equivalents of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substrings": f"""
+with w as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as ws from documents),
+t as (select rid, doc_id, ws, unnest(range(len(ws) - 12)) as s from w where len(ws) >= 13),
+k as materialized (select rid, doc_id, s, array_to_string(ws[s + 1:s + 13], ' ') as win from t),
+f as (select win, min(doc_id) as first from k group by win),
+g as (select distinct rid, s + d as p from (select k.rid, k.s from k join f on f.win = k.win where k.doc_id > f.first), unnest(range(13)) u(d)),
+e as (select rid, unnest(ws) as word, unnest(range(len(ws))) as p from w),
+r as (select e.rid, string_agg(word, ' ' order by e.p) as kept, count(*) as n from e left join g on g.rid = e.rid and g.p = e.p where g.p is null group by e.rid)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(r.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join r on r.rid = w.rid""",
+    "op8_decontaminate": f"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWERED.format('text')}, '{_PLAIN}') as ws from documents),
+i as (select item_id, regexp_extract_all({_LOWERED.format('text')}, '{_PLAIN}') as ws from benchmark),
+iw as (select item_id, ws, least(len(ws), 10) as size, unnest(range(greatest(len(ws) - 9, 1))) as s from i where len(ws) > 0),
+v as materialized (select distinct item_id, size, array_to_string(ws[s + 1:s + size], ' ') as win from iw),
+sizes as (select distinct size from v),
+dw as (select rid, ws, size, unnest(range(len(ws) - size + 1)) as s from d, sizes where len(ws) >= size),
+m as materialized (select dw.rid, dw.s, dw.size, v.item_id from dw join v on v.size = dw.size and v.win = array_to_string(dw.ws[dw.s + 1:dw.s + dw.size], ' ')),
+h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s + size)) as p from m) group by rid),
+n as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, cast(item_id as varchar) as item from m) group by rid)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on h.rid = d.rid left join n on n.rid = d.rid""",
+}

@@ -1,0 +1,18 @@
+"""Registered queries that SQL can express, against DuckDB."""
+
+import duckdb
+import pytest
+
+from terrace.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
