@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.plans.durable import maybe_broadcast
+from terrace.plans.durable import durable, maybe_broadcast
 
 
 def extent(points: DataFrame) -> DataFrame:
@@ -64,9 +64,25 @@ def within(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, distance: float, k: int = 1) -> DataFrame:
-    """The ``k`` nearest of ``points`` within ``distance`` of each query, ties to the smaller id."""
+    """``surface_id, left_id, right_id, distance, rank``: the ``k`` nearest of ``points`` of each query, ties to the smaller id.
+
+    ``distance`` is the first radius searched; it doubles for the queries that have
+    found fewer than ``k``, until they have them or all points of their cloud.
+    """
     rank = F.row_number().over(Window.partitionBy("surface_id", "left_id").orderBy("distance", "right_id"))
-    return within(queries, points, distance).withColumn("rank", rank).where(F.col("rank") <= k)
+    sizes = durable(points.groupBy("surface_id").agg(F.count(F.lit(1)).alias("n")))
+    todo = durable(queries.select("surface_id", "pt_id", "x", "y").join(maybe_broadcast(sizes, 32), "surface_id"))
+    done = None
+    while not todo.isEmpty():
+        found = durable(within(todo, points, distance).withColumn("rank", rank).where(F.col("rank") <= k))
+        counts = found.groupBy("surface_id", F.col("left_id").alias("pt_id")).agg(F.count(F.lit(1)).alias("has"))
+        full = counts.join(todo.select("surface_id", "pt_id", "n"), ["surface_id", "pt_id"]).where(F.col("has") >= F.least(F.lit(k), "n")).select("surface_id", "pt_id")
+        full = durable(full.distinct())
+        part = found.join(full.withColumnRenamed("pt_id", "left_id"), ["surface_id", "left_id"], "left_semi")
+        done = part if done is None else done.union(part)
+        todo = durable(todo.join(full, ["surface_id", "pt_id"], "left_anti"))
+        distance *= 2
+    return done if done is not None else within(queries, points, distance).withColumn("rank", rank)
 
 
 def zero_mean(points: DataFrame) -> DataFrame:

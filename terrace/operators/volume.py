@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.plans.durable import durable
+
 _AXES = ("lev", "row", "col")
 
 
@@ -73,15 +75,20 @@ def arithmetic(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
 
 
 def clusters(brick: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """``brick_id, row, col, cluster``: k-means of the profiles, by Spark's own distributed one."""
+    """``brick_id, row, col, cluster``: k-means of the profiles of each volume by itself, by Spark's own distributed one."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     profile = F.transform(F.array_sort(F.collect_list(F.struct("lev", "w"))), lambda e: e["w"])
     rows = brick.groupBy("brick_id", "row", "col").agg(profile.alias("_p"))
-    vectors = rows.withColumn("features", array_to_vector("_p"))
-    model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select("brick_id", "row", "col", "cluster")
+    vectors = durable(rows.select("brick_id", "row", "col", array_to_vector("_p").alias("features")))
+    out = vectors.select("brick_id", "row", "col", F.lit(0).alias("cluster")).limit(0)
+    # One model a volume: each is fitted by all tasks together.
+    for (brick_id,) in vectors.select("brick_id").distinct().collect():
+        own = vectors.where(F.col("brick_id") == brick_id)
+        model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(own)
+        out = out.union(model.transform(own).select("brick_id", "row", "col", "cluster"))
+    return out
 
 
 def part(brick: DataFrame, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:

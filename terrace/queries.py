@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from terrace import streaming
 from terrace.functions.selection import Masking, Region
 from terrace.operators import arithmetic, distributions, filters, geometry, grains, levelling, lines, points, spatial, statistics, tips, volume
+from terrace.plans.durable import durable
 from terrace.sources import synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +361,7 @@ register(
 )
 register(
     "scars", cells(lambda f: levelling.scars(f, 0.5).withColumn("z", F.col("m"))),
-    f"""with {PX}, t as (select *, lag(z) over w1 a, lead(z) over w1 b from px window w1 as (partition by c order by r)), g as (select sqrt(avg((z - a)**2)) s from t)
+    f"""with {PX}, t as materialized (select *, lag(z) over w1 a, lead(z) over w1 b from px window w1 as (partition by c order by r)), g as materialized (select sqrt(avg((z - a)**2)) s from t)
     select {CELL}, {rounded('case when a is null or b is null then 0 when z - greatest(a, b) > 0.5 * s or least(a, b) - z > 0.5 * s then 1 else 0 end', 'z')} from t, g""",
 )
 register(
@@ -536,8 +537,14 @@ def grain_sql(select: str) -> str:
     return f"with recursive {PX}{GRAINS} {select}"
 
 
+#: The grains of each field that queries share, numbered and written once.
+_NUMBERED: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
 def numbered(f: DataFrame) -> DataFrame:
-    return grains.number(f)
+    if id(f) not in _NUMBERED:  # the field is kept with its grains, so its id stays its own
+        _NUMBERED[id(f)] = f, durable(grains.number(f))
+    return _NUMBERED[id(f)][1]
 
 
 register("grain_numbers", on_grid(numbered), grain_sql('select cast(0 as bigint) as field_id, r as "row", c as col, g as grain from gr'))

@@ -104,10 +104,10 @@ register("put_row_part", cells(lambda f: geometry.put_line(f, geometry.line_of(f
 register("put_column_part", cells(lambda f: geometry.put_line(f, geometry.line_of(f, 4, "col", 3, 11), 9, "col", 6)), f"{_PUT_SQL} px.c = 9 and px.r between 6 and 13 and o.c = 4 and o.r = px.r - 3")
 _ELLIPSE = f"{INSIDE} and ((c - 5 + 0.5) * 0.1::double - 1)**2 + ((r - 3 + 0.5) * (2.0::double / 15) - 1)**2 <= 1"
 _CIRCLE = "(c - 20)**2 + (r - 15)**2 <= 6.5::double**2"
-for _name, _shape, _test in (("ellipse", AREA.ellipse(), _ELLIPSE), ("circle", geometry.in_circle(20, 15, 6.5), _CIRCLE)):
-    register(f"{_name}_extract", cells(lambda f, s=_shape: geometry.extract(f, s)), pixels("z", where=f"where {_test}"))
-    register(f"{_name}_size", on_grid(lambda f, s=_shape: geometry.size_of(f, s)), f"with {PX} select {FIELD}, count(*) as n from px where {_test}")
-    register(f"{_name}_put_back", cells(lambda f, s=_shape: geometry.put_back(f, geometry.extract(second(f), s))), pixels(f"case when {_test} then q else z end"))
+for _name, _shape, _test in (("ellipse", AREA.ellipse, _ELLIPSE), ("circle", lambda: geometry.in_circle(20, 15, 6.5), _CIRCLE)):
+    register(f"{_name}_extract", cells(lambda f, s=_shape: geometry.extract(f, s())), pixels("z", where=f"where {_test}"))
+    register(f"{_name}_size", on_grid(lambda f, s=_shape: geometry.size_of(f, s())), f"with {PX} select {FIELD}, count(*) as n from px where {_test}")
+    register(f"{_name}_put_back", cells(lambda f, s=_shape: geometry.put_back(f, geometry.extract(second(f), s()))), pixels(f"case when {_test} then q else z end"))
 register("fill_circle", cells(lambda f: geometry.fill_shape(f, geometry.in_circle(20, 15, 6.5), -1.0)), pixels(f"case when {_CIRCLE} then -1 else z end"))
 register("transpose", cells(geometry.transpose), f"with {PX} select {FIELD}, c as \"row\", r as col, {rounded('z', 'z')} from px")
 register("roll", cells(geometry.roll), f"with {PX} select {FIELD}, (r + h // 2) % h as \"row\", (c + w // 2) % w as col, {rounded('z', 'z')} from px")

@@ -23,8 +23,9 @@ def run_available(spark: SparkSession, folder: str, name: str, every: str = "1 h
     """Stream the Parquet file ``name`` of ``folder`` through ``windowed`` until all is read, and return the windows.
 
     State and results are in the shared checkpoint folder, so a restart goes on where
-    it was. A window is written once no row for it can come; a complete first pass
-    ends every window through the ``complete`` mode.
+    it was. Every batch adds the windows that it changed in a folder of its own, which
+    a repeated batch replaces; of a window the last version counts. The state keeps
+    only windows that the watermark has not passed.
     """
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -32,8 +33,10 @@ def run_available(spark: SparkSession, folder: str, name: str, every: str = "1 h
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
 
-    query = windowed(stream, every).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = windowed(stream, every).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    versions = spark.read.parquet(f"{at}/out")
+    last = F.max_by(F.struct("n", "total", "low", "high"), "batch").alias("last")
+    return versions.groupBy("start", "event_type").agg(last).select("start", "event_type", "last.*")

@@ -70,3 +70,29 @@ def test_level_three_needs_a_triangle_and_area_keeps_the_rest(spark):
         levelling.level_three(f, [(0, 0), (1, 1), (2, 2)])
     done = array(geometry.on_area(f, Region(1, 1, 3, 2), lambda part: arithmetic.fill(part, -1.0)))
     assert (done[1:3, 1:4] == -1).all() and (done == -1).sum() == 6
+
+
+def test_nearest_finds_all_that_there_are(spark):
+    from terrace.operators import points
+
+    rng = np.random.default_rng(5)
+    xy = rng.uniform(0, 1, (40, 2)).tolist() + [[900.0, 900.0]]
+    cloud = spark.createDataFrame([(0, i, *p) for i, p in enumerate(xy)] + [(1, 0, 5.0, 5.0)], "surface_id int, pt_id int, x double, y double")
+    asked = cloud.where("pt_id % 20 = 0")
+    got = {}
+    for r in points.nearest(asked, cloud, 0.01, 3).collect():
+        got.setdefault((r.surface_id, r.left_id), []).append((r.rank, r.right_id))
+    for i in (0, 20, 40):
+        order = sorted(range(41), key=lambda j: (np.hypot(xy[i][0] - xy[j][0], xy[i][1] - xy[j][1]), j))[:3]
+        assert [j for _, j in sorted(got[0, i])] == order
+    assert got[1, 0] == [(1, 0)]
+
+
+def test_clusters_of_each_volume_alone(spark):
+    from terrace.operators import volume
+
+    rows = [(b, lev, 0, c, float(b * 1000 + (c % 2) * 10)) for b in (0, 1) for lev in range(3) for c in range(6)]
+    got = volume.clusters(spark.createDataFrame(rows, "brick_id int, lev int, row int, col int, w double"), 2).collect()
+    for b in (0, 1):
+        of = {r.col: r.cluster for r in got if r.brick_id == b}
+        assert len(of) == 6 and of[0] == of[2] == of[4] != of[1] == of[3] == of[5]
