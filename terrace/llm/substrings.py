@@ -92,17 +92,35 @@ def anchor_places(n_words: int) -> np.ndarray:
     return places[np.isin(places % PERIOD, COVER)]
 
 
+def _high(bits: int) -> int:
+    """Bits of an anchor above its 32 low ones that are kept, for ``bits`` bits of bucket: 48 in all, or more where buckets need them."""
+    return max(16, bits)
+
+
+def _shortened(anchors: np.ndarray, bits: int) -> np.ndarray:
+    return anchors.view(np.uint64) >> np.uint64(32 - _high(bits))
+
+
 def _runs(found: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Anchors as one array for each bucket, sorted; one that is there more than once is kept twice."""
-    values, counts = np.unique(np.concatenate(found).view(np.uint64), return_counts=True)
+    """Shortened anchors, sorted: for each bucket the low halves, and how many there are of each high one.
+
+    An anchor that is there more than once is kept twice.
+    """
+    values, counts = np.unique(_shortened(np.concatenate(found), bits), return_counts=True)
     values = np.repeat(values, np.minimum(counts, 2))
-    buckets, first = np.unique(values >> np.uint64(64 - bits), return_index=True)
-    ends = pa.array(np.append(first, len(values)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))], ["bucket", "anchors"])
+    high = (values >> np.uint64(32)).astype(np.int64)
+    of_high = np.bincount(high, minlength=1 << _high(bits)).astype(np.int32)
+    of_bucket = of_high.reshape(1 << bits, -1)
+    sizes = of_bucket.sum(axis=1)
+    there = np.flatnonzero(sizes)
+    ends = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+    low = pa.ListArray.from_arrays(ends(sizes[there]), pa.array(values.astype(np.uint32).view(np.int32)))
+    many = pa.ListArray.from_arrays(ends(np.full(len(there), of_bucket.shape[1])), pa.array(of_bucket[there].ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), low, many], ["bucket", "low", "sizes"])
 
 
 def _anchors(bits: int):
-    """Task: anchors of the texts, of each text once: ``(bucket, anchors)``."""
+    """Task: anchors of the texts, of each text once: ``(bucket, low, sizes)``."""
 
     def run(batches):
         hashes, found, n = WordHashes(), [], 0
@@ -120,23 +138,28 @@ def _anchors(bits: int):
     return run
 
 
-def _repeated(batches):
-    """Anchors that are there more than once; rows come bucket by bucket."""
-    bucket, runs = None, []
+def _repeated(bits: int):
+    """Task: shortened anchors that are there more than once; rows come bucket by bucket."""
 
-    def ended():
+    def ended(runs):
         values = np.sort(np.concatenate(runs))
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(values[1:][values[1:] == values[:-1]]))], ["anchor"])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64))], ["anchor"])
 
-    for batch in batches:
-        for i, b in enumerate(batch.column(0).to_pylist()):
-            if runs and b != bucket:
-                yield ended()
-                runs = []
-            bucket = b
-            runs.append(batch.column(1)[i].values.to_numpy())
-    if runs:
-        yield ended()
+    def run(batches):
+        bucket, runs = None, []
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if runs and b != bucket:
+                    yield ended(runs)
+                    runs = []
+                bucket = b
+                low, sizes = (batch.column(k)[i].values.to_numpy() for k in (1, 2))
+                high = np.repeat(np.arange(len(sizes), dtype=np.uint64) + np.uint64(b * len(sizes)), sizes)
+                runs.append((high << np.uint64(32)) | low.view(np.uint32).astype(np.uint64))
+        if runs:
+            yield ended(runs)
+
+    return run
 
 
 def _table(repeated: DataFrame, bits: int) -> np.ndarray:
@@ -150,20 +173,20 @@ def _table(repeated: DataFrame, bits: int) -> np.ndarray:
 
 
 def _marked(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Which anchors have their bit set."""
-    place = anchors.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    """Which shortened anchors have their bit set."""
+    place = anchors & np.uint64(64 * len(table) - 1)
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _repeated_starts(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _repeated_starts(words: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Starts of the windows that hold a marked anchor."""
     places = anchor_places(len(words))
-    places = places[_marked(table, grams(words, ANCHOR)[places])]
+    places = places[_marked(table, _shortened(grams(words, ANCHOR)[places], bits))]
     starts = (places[:, None] - np.arange(PERIOD)[None, :]).ravel()
     return np.unique(starts[(starts >= 0) & (starts <= len(words) - WINDOW)])
 
 
-def _windows(sent):
+def _windows(sent, bits: int):
     """Task: the windows that may repeat of each text that has some, ``(doc_id, mark, w1, w2, start)``, the last three arrays."""
 
     def run(batches):
@@ -172,7 +195,7 @@ def _windows(sent):
             rows, parts = [], []  # a window's key has 96 bits: a long and an int
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = hashes.of(text)
-                starts = _repeated_starts(words, table) if len(words) >= WINDOW else ()
+                starts = _repeated_starts(words, table, bits) if len(words) >= WINDOW else ()
                 if len(starts):
                     rows.append(i)
                     parts.append((grams_at(words, starts, WINDOW), (grams_at(words, starts, WINDOW, 1) >> 32).astype(np.int32), starts.astype(np.int32)))
@@ -254,12 +277,12 @@ def remove_repeats(
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4 * tasks, size // BUCKET_BYTES).bit_length()
-    anchors = texts.select("text").mapInArrow(_anchors(bits), "bucket int, anchors array<bigint>").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    table = _table(anchors.mapInArrow(_repeated, "anchor bigint"), table_bits)
+    bits = min(max(4 * tasks, size // BUCKET_BYTES).bit_length(), 24)
+    anchors = texts.select("text").mapInArrow(_anchors(bits), "bucket int, low array<int>, sizes array<int>").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    table = _table(anchors.mapInArrow(_repeated(bits), "anchor bigint"), table_bits)
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
     schema = f"doc_id {doc_type}, mark bigint, w1 array<bigint>, w2 array<int>, start array<int>"
-    of_text = durable(texts.mapInArrow(_windows(sent), schema).withColumn("at", F.monotonically_increasing_id()))
+    of_text = durable(texts.mapInArrow(_windows(sent, bits), schema).withColumn("at", F.monotonically_increasing_id()))
     windows = of_text.select("doc_id", "at", F.inline(F.arrays_zip("w1", "w2", "start")))
     rows = F.count(F.lit(1)).alias("n")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), rows)
