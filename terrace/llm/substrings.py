@@ -32,7 +32,7 @@ ANCHOR = WINDOW - PERIOD + 1
 TABLE_BITS = 29
 #: Anchors meet in buckets by their high bits, one for so many bytes of text; a task sends them in sorted runs of up to so many.
 BUCKET_BYTES = 128 << 20
-RUN_ANCHORS = 4_000_000
+RUN_ANCHORS = 1_000_000
 #: A window in so many rows is hot: its smallest document is joined apart, by broadcast while the hot ones are few.
 HOT_ROWS = 5000
 #: Spans to remove are broadcast up to this size; larger ones are joined by a shuffle.
@@ -106,8 +106,11 @@ def _runs(found: list[np.ndarray], bits: int) -> pa.RecordBatch:
 
     An anchor that is there more than once is kept twice.
     """
-    values, counts = np.unique(_shortened(np.concatenate(found), bits), return_counts=True)
-    values = np.repeat(values, np.minimum(counts, 2))
+    values = _shortened(np.concatenate(found), bits)
+    values.sort()
+    keep = np.ones(len(values), bool)
+    keep[2:] = values[2:] != values[:-2]
+    values = values[keep]
     high = (values >> np.uint64(32)).astype(np.int64)
     of_high = np.bincount(high, minlength=1 << _high(bits)).astype(np.int32)
     of_bucket = of_high.reshape(1 << bits, -1)
