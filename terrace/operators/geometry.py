@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -187,3 +188,61 @@ def roll(field: DataFrame, back: bool = False) -> DataFrame:
     known = per_field(field, (F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
     half = lambda n: F.floor((F.col(n) + (1 if back else 0)) / 2)
     return known.withColumns({"col": ((F.col("col") + half("_w")) % F.col("_w")).cast("int"), "row": ((F.col("row") + half("_h")) % F.col("_h")).cast("int")}).drop("_w", "_h")
+
+
+def warp(field: DataFrame, x: Column, y: Column) -> DataFrame:
+    """The field read, bilinearly, at place (``x``, ``y``) for each of its pixels.
+
+    ``x`` and ``y`` are columns over ``row``, ``col`` and the field's size ``_xres``,
+    ``_yres``. Places off the field get its minimum; the half pixel at its edge is
+    mirrored; pixels without value have no weight. Every pixel asks the at most four
+    around its place for their values, in one join on places and one aggregation.
+    """
+    size = F.col("_xres"), F.col("_yres")
+    known = per_field(field.select(*PLACE, "z"), (F.max("col") + 1).alias("_xres"), (F.max("row") + 1).alias("_yres"), F.min("z").alias("_low"))
+    at = known.select(*PLACE, "_xres", "_yres", "_low", x.alias("_x"), y.alias("_y"))
+    inside = F.col("_x").between(0, size[0]) & F.col("_y").between(0, size[1])
+    corners = F.array(*(F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a in (0, 1) for b in (0, 1)))
+    near = at.where(inside).select("*", F.inline(corners))
+
+    def part(place: str, step: str) -> Column:
+        over = F.col(place) - F.floor(place)
+        return F.when(F.col(step) == 1, over).otherwise(1 - over)
+
+    def mirrored(place: str, step: str, n: Column) -> Column:
+        i = F.pmod(F.floor(place) + F.col(step), 2 * n)
+        return F.when(i < n, i).otherwise(2 * n - 1 - i).cast("int")
+
+    asked = near.select(
+        "field_id", F.col("row").alias("_row"), F.col("col").alias("_col"), (part("_x", "_a") * part("_y", "_b")).alias("_w"),
+        mirrored("_y", "_b", size[1]).alias("row"), mirrored("_x", "_a", size[0]).alias("col"),
+    ).where("_w > 0")
+    found = asked.join(field.select(*PLACE, "z").where("z is not null"), PLACE).groupBy("field_id", "_row", "_col")
+    values = found.agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("_v")).toDF(*PLACE, "_v")
+    return at.join(values, PLACE, "left").select(*PLACE, F.coalesce("_v", "_low").alias("z"))
+
+
+def rotate(field: DataFrame, angle: float) -> DataFrame:
+    """The field turned about its middle by ``angle`` radians, in its own frame; see ``warp``."""
+    sin, cos = math.sin(angle), math.cos(angle)
+    mx, my = (F.col("_xres") - 1) / 2, (F.col("_yres") - 1) / 2
+    dx, dy = F.col("col") - mx, F.col("row") - my
+    return warp(field, dx * cos - dy * sin + mx, dx * sin + dy * cos + my)
+
+
+def affine(field: DataFrame, matrix: Sequence[float], shift: Sequence[float] = (0.0, 0.0)) -> DataFrame:
+    """The field read at x = a col + b row + shift, y = c col + d row + shift for the matrix (a, b, c, d); see ``warp``."""
+    a, b, c, d = (float(v) for v in matrix)
+    col, row = F.col("col"), F.col("row")
+    return warp(field, a * col + b * row + float(shift[0]), c * col + d * row + float(shift[1]))
+
+
+def undrift(field: DataFrame, per_row: float) -> DataFrame:
+    """Rows moved back by a steady drift of ``per_row`` columns a row; see ``warp``."""
+    return affine(field, (1, per_row, 0, 1))
+
+
+def shift(field: DataFrame, columns: int, rows: int, value: float = 0.0, of: str = "z") -> DataFrame:
+    """Column ``of`` moved by whole pixels within the field's frame; pixels that nothing moves to get ``value``."""
+    moved = field.select("field_id", (F.col("row") + rows).alias("row"), (F.col("col") + columns).alias("col"), F.col(of).alias("_v"), F.lit(True).alias("_has"))
+    return field.select(*PLACE).join(moved, PLACE, "left").select(*PLACE, F.when(F.col("_has"), F.col("_v")).otherwise(value).alias(of))

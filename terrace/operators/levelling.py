@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.selection import Masking, Region, selected
 from terrace.operators.arithmetic import PLACE, per_field
+from terrace.operators.filters import median
 from terrace.plans.durable import maybe_broadcast
 
 
@@ -96,23 +97,40 @@ def _rows_median(values: Column) -> Column:
     return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
 
 
-def align_rows(field: DataFrame, method: str = "median", masking: Masking = Masking.IGNORE) -> DataFrame:
-    """Rows put in line by their ``mean``, ``median``, ``midrange``, or by the median of differences of neighbour rows (``differences``).
+def _trimmed(rows: DataFrame, value: Column, share: float) -> DataFrame:
+    """``field_id, row, _mean``: the mean of each row's values less ``share`` of them at either end; one or two in the middle always stay."""
+    keys = ["field_id", "row"]
+    ranked = rows.select(*keys, value.alias("_v")).where("_v is not null")
+    ranked = ranked.withColumns({"_p": F.row_number().over(Window.partitionBy(*keys).orderBy("_v")), "_n": F.count("_v").over(Window.partitionBy(*keys))})
+    cut = F.least(F.floor(F.col("_n") * share + 0.5), F.floor((F.col("_n") - 1) / 2))
+    return ranked.where((F.col("_p") > cut) & (F.col("_p") <= F.col("_n") - cut)).groupBy(*keys).agg(F.avg("_v").alias("_mean"))
+
+
+def align_rows(field: DataFrame, method: str = "median", masking: Masking = Masking.IGNORE, trim: float = 0.05) -> DataFrame:
+    """Rows put in line by their ``mean``, ``median``, ``midrange`` or ``trimmed_mean``, or by the median or trimmed mean of differences of neighbour rows (``differences``, ``trimmed_differences``).
+
+    Trimmed means leave out the part ``trim`` of a row's values at either end.
 
     Shifts are centred, so that the field's mean shift is zero; rows without chosen
     pixels stay. A row's pixels are gathered in one task, never the field's.
     """
     keys = ["field_id", "row"]
-    if method == "differences":
+    if method in ("differences", "trimmed_differences"):
         below = field.select("field_id", (F.col("row") + 1).alias("row"), "col", F.col("z").alias("_above"), *(["m"] if masking is not Masking.IGNORE else []))
         if masking is not Masking.IGNORE:
             below = below.where(selected(None, masking)).drop("m")
         pairs = field.where(selected(None, masking)).join(below, PLACE)
-        steps = pairs.groupBy(*keys).agg(_rows_median(F.col("z") - F.col("_above")).alias("_step"))
+        rise = F.col("z") - F.col("_above")
+        if method == "differences":
+            steps = pairs.groupBy(*keys).agg(_rows_median(rise).alias("_step"))
+        else:
+            steps = _trimmed(pairs, rise, trim).withColumnRenamed("_mean", "_step")
         rows = field.select(*keys).distinct().join(steps, keys, "left")
         # One number a row of the field.
         upto = Window.partitionBy("field_id").orderBy("row")
         shifts = rows.select(*keys, F.coalesce(F.sum("_step").over(upto), F.lit(0.0)).alias("_shift"))
+    elif method == "trimmed_mean":
+        shifts = _trimmed(field.where(selected(None, masking)), F.col("z"), trim).withColumnRenamed("_mean", "_shift")
     else:
         z = F.col("z")
         of = {"mean": F.avg(z), "median": _rows_median(z), "midrange": (F.min(z) + F.max(z)) / 2}[method]
@@ -183,3 +201,39 @@ def level_three(field: DataFrame, places: list[tuple[int, int]]) -> DataFrame:
     bx, by = (p * (y3 - y1) - q * (y2 - y1)) / det, (q * (x2 - x1) - p * (x3 - x1)) / det
     plane = F.col("_1") + bx * (F.col("col") - x1) + by * (F.col("row") - y1)
     return known.withColumn("z", F.col("z") - plane).drop("_1", "_2", "_3")
+
+
+def facet_slopes(field: DataFrame) -> DataFrame:
+    """``field_id, bx, by``: the slope that most facets share, by weights that fall with the square of a facet's steepness.
+
+    A facet is a square of four pixels. Fields of fewer than four facets have slope zero.
+    """
+    across = Window.partitionBy("field_id", "row").orderBy("col")
+    down = Window.partitionBy("field_id", "col").orderBy("row")
+    left = F.lag("z").over(across)
+    pairs = field.select(*PLACE, (F.col("z") - left).alias("_d"), (F.col("z") + left).alias("_s"))
+    vx, vy = (F.col("_d") + F.lag("_d").over(down)) / 2, (F.col("_s") - F.lag("_s").over(down)) / 2
+    facets = pairs.select("field_id", vx.alias("vx"), vy.alias("vy")).where("vx is not null and vy is not null")
+    steep = F.col("vx") ** 2 + F.col("vy") ** 2
+    weighed = per_field(facets, F.avg(steep).alias("_mean"), F.count(F.lit(1)).alias("_n")).where("_n >= 4")
+    weight = F.exp(-F.coalesce(F.try_divide(steep, F.col("_mean") / 20), F.lit(0.0)))
+    sums = weighed.groupBy("field_id").agg(*(F.try_divide(F.sum(F.col(v) * weight), F.sum(weight)).alias(b) for v, b in (("vx", "bx"), ("vy", "by"))))
+    known = field.select("field_id").distinct().join(sums, "field_id", "left")
+    return known.select("field_id", *(F.coalesce(b, F.lit(0.0)).alias(b) for b in ("bx", "by")))
+
+
+def level_facet(field: DataFrame, rounds: int = 1) -> DataFrame:
+    """The field tilted so that its commonest facets lie flat; each round starts from the last one's result."""
+    out = field.select(*PLACE, "z")
+    for _ in range(rounds):
+        sized = per_field(out, (F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+        both = sized.join(maybe_broadcast(facet_slopes(out), 32), "field_id")
+        plane = F.col("bx") * (F.col("col") - F.col("_w") / 2) + F.col("by") * (F.col("row") - F.col("_h") / 2)
+        out = both.select(*PLACE, (F.col("z") - plane).alias("z"))
+    return out
+
+
+def level_local_median(field: DataFrame, size: int) -> DataFrame:
+    """Each pixel less the upper median of the window around it."""
+    local = median(field, size).withColumnRenamed("z", "_local")
+    return field.join(local, PLACE).select(*PLACE, (F.col("z") - F.col("_local")).alias("z"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators import geometry
 from terrace.operators.arithmetic import per_field
+from terrace.operators.filters import patches
 
 
 def _lagged(field: DataFrame, lags: int, centre: bool, by: str) -> DataFrame:
@@ -198,3 +199,57 @@ def weighted_correlation(left: DataFrame, right: DataFrame, weight: str = "weigh
     d = pairs.join(F.broadcast(means) if means.limit(1001).count() <= 1000 else means, "field_id")
     da, db = a - F.col("_ma"), b - F.col("_mb")
     return d.groupBy("field_id").agg(F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da) * F.sum(w * db * db))).alias("score"))
+
+
+def wavelet_rows(field: DataFrame, order: int = 4, direction: str = "x") -> DataFrame:
+    """One level of a Daubechies wavelet transform of 2 or 4 coefficients along rows (``x``) or columns (``y``).
+
+    ``field_id, row, col, low, high`` for each pair of pixels; a line closes upon itself
+    and its odd last pixel is left out.
+    """
+    root = np.sqrt(3.0)
+    taps = {2: np.array([1.0, 1.0]) / np.sqrt(2.0), 4: np.array([1 + root, 3 + root, 3 - root, 1 - root]) / (4 * np.sqrt(2.0))}[order]
+    along, other = ("col", "row") if direction == "x" else ("row", "col")
+    n = F.col("_n") - F.col("_n") % 2
+    line = Window.partitionBy("field_id", other)
+    even = per_field(field.select("field_id", "row", "col", "z"), (F.max(along) + 1).alias("_n")).where(F.col(along) < n)
+    # What follows the last pixel is the line's beginning.
+    starts = [F.max(F.when(F.col(along) == j, F.col("z"))).over(line) for j in range(max(order - 2, 0))]
+    start = F.array(*starts) if starts else F.array().cast("array<double>")
+    after = [F.coalesce(F.lead("z", i).over(line.orderBy(along)), F.get(start, (F.col(along) + i - n).cast("int"))) if i else F.col("z") for i in range(order)]
+    low = sum((a * float(t) for a, t in zip(after, taps)), F.lit(0.0))
+    high = sum((a * float(t) * (-1.0) ** i for i, (a, t) in enumerate(zip(after, taps[::-1]))), F.lit(0.0))
+    out = even.select("field_id", "row", "col", low.alias("low"), high.alias("high")).where(F.col(along) % 2 == 0)
+    return out.withColumn(along, F.floor(F.col(along) / 2).cast("int"))
+
+
+def correlation_map(field: DataFrame, kernel: list[float], width: int, height: int) -> DataFrame:
+    """Pearson correlation, as ``z``, of the window around each pixel with a kernel of odd sides, given row by row.
+
+    -1 where the window leaves the field, 0 where the window or the kernel is constant.
+    """
+    own = np.asarray(kernel, float)
+    own = own - own.mean()
+    rms = float(np.sqrt((own**2).mean()))
+    if len(own) != width * height or width % 2 == 0 or height % 2 == 0:
+        raise ValueError("the kernel must have width * height values and odd sides")
+    patch, n = F.col("patch"), float(width * height)
+    mean = F.aggregate(patch, F.lit(0.0), lambda s, v: s + v) / n
+    known = patches(field, width, height).withColumn("_mean", mean)
+    dev = F.transform(patch, lambda v: v - F.col("_mean"))
+    squares = F.aggregate(dev, F.lit(0.0), lambda s, v: s + v * v) / n
+    product = F.aggregate(F.zip_with(dev, F.array(*(F.lit(float(k)) for k in own)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / n
+    score = F.coalesce(F.try_divide(product, F.sqrt(squares) * rms), F.lit(0.0))
+    return known.select("field_id", "row", "col", F.when(F.size("patch") == int(n), score).otherwise(-1.0).alias("z"))
+
+
+def hough_lines(mask: DataFrame, angles: int = 90) -> DataFrame:
+    """``field_id, angle, distance, votes``: how many marked pixels lie on each straight line.
+
+    A line's normal has the angle ``angle`` * pi / ``angles``; its distance from the
+    first pixel is in whole pixels. Votes are summed before they are shuffled.
+    """
+    marks = mask.where("m > 0").select("field_id", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("angle"))
+    theta = F.col("angle") * (np.pi / angles)
+    at = F.floor(F.col("col") * F.cos(theta) + F.col("row") * F.sin(theta) + 0.500001)
+    return marks.groupBy("field_id", "angle", at.alias("distance")).agg(F.count(F.lit(1)).alias("votes"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators import levelling
 from terrace.plans.durable import durable
 
 _AXES = ("lev", "row", "col")
@@ -15,8 +18,22 @@ def _kept(along: str) -> list[str]:
 
 
 def reduce_along(brick: DataFrame, along: str, how: str) -> DataFrame:
-    """A plane of ``min, max, sum, mean, rms, range, minpos, maxpos`` along an axis; the first place of equal extremes."""
+    """A plane of a statistic along an axis; the first place of equal extremes.
+
+    Statistics: ``min, max, sum, mean, rms, range, minpos, maxpos``, ``median`` (the upper
+    one), ``variation`` (the sum of absolute steps), and about the profile's own mean
+    ``ra``, ``skew`` and excess ``kurtosis``, null where all values are equal.
+    """
     w, at = F.col("w"), F.col(along)
+    if how == "variation":
+        step = F.abs(w - F.lag(w).over(Window.partitionBy(*_kept(along)).orderBy(at)))
+        return brick.select(*_kept(along), step.alias("_step")).groupBy(*_kept(along)).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("z"))
+    if how in ("ra", "skew", "kurtosis"):
+        d = F.col("_d")
+        moved = brick.select(*_kept(along), (w - F.avg(w).over(Window.partitionBy(*_kept(along)))).alias("_d"))
+        square = F.avg(d * d)
+        of = {"ra": F.avg(F.abs(d)), "skew": F.try_divide(F.avg(d * d * d), F.pow(square, F.lit(1.5))), "kurtosis": F.try_divide(F.avg(d * d * d * d), square * square) - 3}[how]
+        return moved.groupBy(*_kept(along)).agg(of.alias("z"))
     of = {
         "min": F.min(w),
         "max": F.max(w),
@@ -24,6 +41,7 @@ def reduce_along(brick: DataFrame, along: str, how: str) -> DataFrame:
         "mean": F.avg(w),
         "rms": F.stddev_pop(w),
         "range": F.max(w) - F.min(w),
+        "median": F.get(F.sort_array(F.collect_list(w)), F.floor(F.count(w) / 2).cast("int")),
         "minpos": F.min_by(at, F.struct(w, at)).cast("double"),
         "maxpos": F.max_by(at, F.struct(w, -at)).cast("double"),
     }[how]
@@ -123,3 +141,46 @@ def calibrated(brick: DataFrame, axis: DataFrame) -> DataFrame:
     """``brick`` with ``value``, the calibrated place of each level; ``axis`` is a line ``line_id, i, y`` for each brick."""
     at = axis.select(F.col("line_id").alias("brick_id"), F.col("i").alias("lev"), F.col("y").alias("value"))
     return brick.join(at, ["brick_id", "lev"], "left")
+
+
+def _as_fields(brick: DataFrame) -> DataFrame:
+    """Each level of each volume as a field of its own."""
+    return brick.select(F.struct("brick_id", "lev").alias("field_id"), "row", "col", F.col("w").alias("z"))
+
+
+def _as_volume(fields: DataFrame) -> DataFrame:
+    return fields.select("field_id.brick_id", "field_id.lev", "row", "col", F.col("z").alias("w"))
+
+
+def level_planes(brick: DataFrame) -> DataFrame:
+    """Each level less its own least-squares plane."""
+    return _as_volume(levelling.level_plane(_as_fields(brick)))
+
+
+def each_level(brick: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Any operator on fields applied to every level at once; ``field_id`` is a struct of volume and level there."""
+    return _as_volume(of(_as_fields(brick)))
+
+
+def zero_at(brick: DataFrame, lev: int) -> DataFrame:
+    """Each profile less its value at a level; null where it has none there."""
+    base = F.max(F.when(F.col("lev") == lev, F.col("w"))).over(Window.partitionBy("brick_id", "row", "col"))
+    return brick.withColumn("w", F.col("w") - base)
+
+
+def difference_along(brick: DataFrame, along: str = "lev") -> DataFrame:
+    """Each voxel's step to the next one along an axis; the last ones have no row."""
+    ahead = F.lead("w").over(Window.partitionBy(*_kept(along)).orderBy(along))
+    return brick.withColumn("w", ahead - F.col("w")).where("w is not null")
+
+
+def running_sum(brick: DataFrame, along: str = "lev") -> DataFrame:
+    """Sums from an axis' beginning up to each voxel."""
+    return brick.withColumn("w", F.sum("w").over(Window.partitionBy(*_kept(along)).orderBy(along)))
+
+
+def centre_along(brick: DataFrame, along: str = "lev") -> DataFrame:
+    """A plane of the mean place along an axis, weighted by values over the profile's least one; null for constant profiles."""
+    over = F.col("w") - F.min("w").over(Window.partitionBy(*_kept(along)))
+    weighed = brick.select(*_kept(along), along, over.alias("_k"))
+    return weighed.groupBy(*_kept(along)).agg(F.try_divide(F.sum(F.col(along) * F.col("_k")), F.sum("_k")).alias("z"))

@@ -1,12 +1,14 @@
 """Operators of ``queries_more`` and ``queries_fields`` that SQL cannot express, and edge cases."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import array, field
 
 from terrace.functions import formulas
-from terrace.operators import arithmetic, geometry, grains, lines, spatial, statistics
+from terrace.operators import arithmetic, geometry, grains, levelling, lines, spatial, statistics, volume
 
 
 def test_two_dimensional_transform(spark):
@@ -96,3 +98,64 @@ def test_clusters_of_each_volume_alone(spark):
     for b in (0, 1):
         of = {r.col: r.cluster for r in got if r.brick_id == b}
         assert len(of) == 6 and of[0] == of[2] == of[4] != of[1] == of[3] == of[5]
+
+
+def values_of(sheet):
+    return {(r.row, r.col): r.z for r in sheet.collect()}
+
+
+def test_warps_of_known_fields(spark):
+    sheet = field(spark, np.array([[3 * j + i for j in range(6)] for i in range(6)], float))
+    assert values_of(geometry.rotate(sheet, 0.0)) == values_of(sheet)
+    turned = values_of(geometry.rotate(sheet, math.pi))
+    assert all(abs(z - (3 * (5 - j) + 5 - i)) < 1e-9 for (i, j), z in turned.items() if 0 < i < 5 and 0 < j < 5)
+    assert values_of(geometry.shift(sheet, 0, 0)) == values_of(sheet)
+    empty = sheet.limit(0)
+    assert geometry.rotate(empty, 0.3).count() == 0 and geometry.shift(empty, 1, 1).count() == 0
+
+
+def test_warp_gives_pixels_without_value_no_weight(spark):
+    sheet = field(spark, np.array([[1, 2, 3]], float)).withColumn("z", F.when(F.col("col") != 1, F.col("z")))
+    half = values_of(geometry.affine(sheet, (1, 0, 0, 1), (0.5, 0)))
+    assert half[(0, 0)] == 1 and half[(0, 1)] == 3
+
+
+def test_wavelet_keeps_energy_and_ignores_an_odd_pixel(spark):
+    sheet = field(spark, np.array([[(7 * i + j * j) % 11 for j in range(9)] for i in range(3)], float))
+    out = spatial.wavelet_rows(sheet, 4).collect()
+    kept = sum(((7 * i + j * j) % 11) ** 2 for i in range(3) for j in range(8))
+    assert len(out) == 12 and abs(sum(r.low**2 + r.high**2 for r in out) - kept) < 1e-9
+
+
+def test_facets_of_a_plane_are_flat_after_levelling(spark):
+    flat = levelling.level_facet(field(spark, np.array([[2 * j - 5 * i for j in range(5)] for i in range(4)], float)), 2)
+    z = list(values_of(flat).values())
+    assert max(z) - min(z) < 1e-9
+    one = field(spark, np.full((1, 1), 4.0))
+    assert values_of(levelling.level_facet(one)) == {(0, 0): 4.0}
+
+
+def test_trimmed_rows_ignore_a_spike(spark):
+    sheet = field(spark, np.array([[0] * 9 + [1000], [5] * 10], float))
+    out = values_of(levelling.align_rows(sheet, "trimmed_mean", trim=0.1))
+    assert out[(0, 0)] == out[(1, 0)] == 2.5
+    out = values_of(levelling.align_rows(sheet, "trimmed_differences", trim=0.1))
+    assert out[(0, 0)] == out[(1, 0)]
+
+
+def test_correlation_map_of_a_constant_field_is_zero_inside(spark):
+    out = values_of(spatial.correlation_map(field(spark, np.ones((3, 4))), [0, 1, 0, 1, 2, 1, 0, 1, 0], 3, 3))
+    assert {k for k, z in out.items() if z == 0} == {(1, 1), (1, 2)} and out[(0, 0)] == -1
+
+
+def test_hough_finds_the_marked_line(spark):
+    mask = field(spark, np.array([[1 if i == 3 else 0 for _ in range(20)] for i in range(8)], float)).select("field_id", "row", "col", F.col("z").alias("m"))
+    best = spatial.hough_lines(mask, 18).orderBy(F.desc("votes"), "angle", "distance").first()
+    assert (best.angle, best.distance, best.votes) == (9, 3, 20)
+
+
+def test_profile_statistics_of_one_level(spark):
+    one = spark.createDataFrame([(0, 0, 1, 2, 5.0)], "brick_id int, lev int, row int, col int, w double")
+    got = {how: volume.reduce_along(one, "lev", how).first().z for how in ("ra", "skew", "kurtosis", "median", "variation")}
+    assert got == {"ra": 0.0, "skew": None, "kurtosis": None, "median": 5.0, "variation": 0.0}
+    assert volume.zero_at(one, 3).first().w is None and volume.level_planes(one).first().w == 0.0
