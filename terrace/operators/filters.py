@@ -24,6 +24,12 @@ KERNELS = {
     "laplace": (0, 1, 0, 1, -4, 1, 0, 1, 0),
 }
 
+# 5 by 5 kernels, row by row, with the number that divides them.
+KERNELS_5 = {
+    "laplace_gauss": ((1, -12, 3, -12, 1, -12, 78, 167, 78, -12, 3, 167, -902, 167, 3, -12, 78, 167, 78, -12, 1, -12, 3, -12, 1), 1),
+    "dechecker": ((0, 1, -2, 1, 0, 1, -8, 16, -8, 1, -2, 16, 112, 16, -2, 1, -8, 16, -8, 1, 0, 1, -2, 1, 0), 144),
+}
+
 
 def _across(size: int):
     return Window.partitionBy("field_id", "row").orderBy("col").rowsBetween(-((size - 1) // 2), size // 2)
@@ -133,6 +139,12 @@ def kernel3(field: DataFrame, name: str) -> DataFrame:
     return convolve(field, KERNELS[name], 3, 3)
 
 
+def kernel5(field: DataFrame, name: str) -> DataFrame:
+    """One of the named 5 by 5 kernels: ``laplace_gauss`` for edges, ``dechecker`` against patterns of single pixels."""
+    kernel, divisor = KERNELS_5[name]
+    return convolve(field, [k / divisor for k in kernel], 5, 5)
+
+
 def gradient(field: DataFrame, kind: str = "sobel") -> DataFrame:
     """Size of the gradient by Sobel's or Prewitt's kernels."""
     both = kernel3(field, f"{kind}_x").join(kernel3(field, f"{kind}_y").withColumnRenamed("z", "_y"), PLACE)

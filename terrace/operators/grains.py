@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators import filters
 from terrace.operators.arithmetic import PLACE, per_field
 from terrace.operators.components import connected_components
 from terrace.operators.statistics import upper_median
@@ -139,6 +140,16 @@ def mark_by_threshold(field: DataFrame, share: float, below: bool = False) -> Da
     return known.withColumn("m", test.cast("double")).drop("_low", "_high")
 
 
+def mark_slopes(field: DataFrame, share: float, below: bool = False) -> DataFrame:
+    """``field_id, row, col, z, m``: the size of the gradient by Sobel's kernels, marked by ``mark_by_threshold``."""
+    return mark_by_threshold(durable(filters.gradient(field)), share, below)
+
+
+def mark_curvature(field: DataFrame, share: float, below: bool = False) -> DataFrame:
+    """``field_id, row, col, z, m``: the Laplacian, marked by ``mark_by_threshold``."""
+    return mark_by_threshold(durable(filters.kernel3(field, "laplace")), share, below)
+
+
 def coverage(mask: DataFrame) -> DataFrame:
     """``field_id, marked, share``."""
     marked = F.count_if(F.col("m") > 0)

@@ -140,6 +140,18 @@ def area_under(curves: DataFrame) -> DataFrame:
     return curves.select("curve_id", step.alias("s")).groupBy("curve_id").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("area"))
 
 
+def density_of_states(curves: DataFrame, least: float = 1e-15) -> DataFrame:
+    """Normalised conductance ``|dy/dx * x/y|`` of current over voltage, from each point and the one before it, counted anew.
+
+    Points without a step in ``x``, or with ``y`` of no size, give no row; ``least`` is the limit of both.
+    """
+    order = Window.partitionBy("curve_id").orderBy("i")
+    known = curves.withColumns({"_dx": F.col("x") - F.lag("x").over(order), "_dy": F.col("y") - F.lag("y").over(order)})
+    kept = known.where((F.abs("_dx") >= least) & (F.abs("y") >= least))
+    value = F.abs(F.col("_dy") / F.col("_dx") * (F.col("x") / F.col("y")))
+    return kept.select("curve_id", (F.row_number().over(order) - 1).alias("i"), "x", value.alias("y"))
+
+
 # Parts of lines: samples from ``start`` up to, not including, ``stop``; the whole line without them.
 
 
