@@ -17,9 +17,9 @@ _SQUARE = f"""with {PX}, sz as (select any_value(w) w, any_value(h) h, cast(floo
 _BLOCKS = f"""{_SQUARE}, v as (select l, r // (1 << l) a, c // (1 << l) b, var_pop(z) v from sq, (select unnest(range(1, k)) l from sz) group by all),
   s as (select l, l * ln(2) x, ln(sum(v) / (1 << (2 * (k - l)))) y from v, sz where greatest(a, b) < (1 << (k - l)) - 1 group by l, k)"""
 _HERON = "sqrt(greatest(({a} + {b} + {c}) * ({b} + {c} - {a}) * ({a} + {c} - {b}) * ({a} + {b} - {c}), 0)) / 4"
-_FACES = f"""{_SQUARE}, st as (select (1 << k) / (max(z) - min(z)) f from sq, sz group by k), g as (select l, r, c, z * f h, 1 << (k - l) s from sq, st, (select k, unnest(range(k + 1)) l from sz) where r % (1 << (k - l)) = 0 and c % (1 << (k - l)) = 0),
-  q as (select p.l, sqrt(p.s * p.s + (p.h - u.h) ** 2) a, sqrt(p.s * p.s + (p.h - v.h) ** 2) b, sqrt(p.s * p.s + (v.h - w.h) ** 2) c, sqrt(p.s * p.s + (u.h - w.h) ** 2) d, sqrt(2 * p.s * p.s + (v.h - u.h) ** 2) e
-    from g p join g u on u.l = p.l and u.r = p.r and u.c = p.c + p.s join g v on v.l = p.l and v.r = p.r + p.s and v.c = p.c join g w on w.l = p.l and w.r = p.r + p.s and w.c = p.c + p.s),
+_FACES = f"""{_SQUARE}, st as (select (1 << k) / (max(z) - min(z)) f from sq, sz group by k), g as materialized (select l, r, c, z * f h, 1 << (k - l) s from sq, st, (select k, unnest(range(k + 1)) l from sz) where r % (1 << (k - l)) = 0 and c % (1 << (k - l)) = 0),
+  n as (select *, lead(h) over (partition by l, r order by c) u, lead(h) over (partition by l, c order by r) v from g), p as (select *, lead(u) over (partition by l, c order by r) w from n),
+  q as (select l, sqrt(s * s + (h - u) ** 2) a, sqrt(s * s + (h - v) ** 2) b, sqrt(s * s + (v - w) ** 2) c, sqrt(s * s + (u - w) ** 2) d, sqrt(2 * s * s + (v - u) ** 2) e from p where w is not null),
   s as (select l, (l - k) * ln(2) x, ln(sum({_HERON.format(a='a', b='b', c='e')} + {_HERON.format(a='c', b='d', c='e')})) y from q, sz group by l, k)"""
 for _name, _of, _x, _y, _sql in (
     ("partitioning", fractals.partitioning, "log_size", "log_variance", _BLOCKS),
