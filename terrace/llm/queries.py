@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, decontaminate, lattice, licenses, neighbours, pii, quality, simhash, substrings, urls
+from terrace.llm import bpe, conversations, decontaminate, lattice, licenses, mixing, neighbours, pii, quality, simhash, spelling, substrings, urls
 
 # Fixed values of the queries.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,6 +69,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair_report(rows, conversations.damage(rows))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -80,6 +93,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
+    "op11_mixing": op11_mixing,
+    "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -109,4 +125,16 @@ h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(s, s
 n as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, cast(item_id as varchar) as item from m) group by rid)
 select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h on h.rid = d.rid left join n on n.rid = d.rid""",
+    "op11_mixing": f"""
+with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::bigint as size from documents),
+g as (select source, sum(size)::bigint as ss from d group by source),
+r as (select *, ([3, 1, 2])[1 + (row_number() over (order by source is null, source) - 1) % 3]::double as w from g),
+o as (select *, row_number() over x as j, sum(ss) over x - ss as a, sum(w) over x - w as b from r window x as (order by ss / w, source is null, source rows unbounded preceding)),
+c as (select o.*, (1.5::double * (select sum(ss) from r) - 2.0::double * a) / ((select sum(w) from r) - b) as lam from o),
+l as (select lam from c where not (w * lam > 2.0::double * ss) order by j limit 1),
+t as (select source, ss, least(w * lam, 2.0::double * ss) as target, ('0x' || substr(md5('mixing:' || coalesce(source, '')), 1, 5))::bigint as u from r, l),
+e as (select *, case when ss > 0 then floor(target / ss * 1099511627776::double)::hugeint else 0::hugeint end as rate from t),
+p as (select d.*, row_number() over (partition by source order by size, substr(md5(coalesce(doc_id::varchar, '')), 1, 8), coalesce(doc_id::varchar, '')) as k from d)
+select doc_id, size, ss as source_size, target, size * (((k * rate + u * 1048576) // 1099511627776) - (((k - 1) * rate + u * 1048576) // 1099511627776))::bigint as taken
+from p join e on e.source is not distinct from p.source""",
 }
