@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.arithmetic import per_field
 from terrace.operators.statistics import with_neighbours
+from terrace.plans.durable import durable, maybe_broadcast
 
 
 def bin_count(n: int | Column, factor: float = 3.49) -> Column:
@@ -133,3 +136,60 @@ def angular_average(field: DataFrame, col: float, row: float, step: float = 1.0)
 def of_quantity(grains: DataFrame, quantity: str, bins: int | None = None) -> DataFrame:
     """Histogram of a quantity of the grains (``grains.quantities``)."""
     return histogram(grains.select("field_id", F.col(quantity).cast("double").alias("z")), bins)
+
+
+def _levels(n: int, factor: float) -> int:
+    """Halvings of the range that a number of values can tell apart, 50 at most."""
+    return min(50, math.floor(factor * math.log2(n) + 1e-12)) if n >= 2 else 0
+
+
+def entropy_at_scales(field: DataFrame, columns: tuple[str, ...] = ("z",), halvings: int | None = None) -> DataFrame:
+    """``field_id, level, width, entropy``: entropy of the values with their range cut into 2^level bins, for every level.
+
+    With two columns the cloud of both is cut along each of them: 4^level boxes of area
+    ``width``. The entropy is of the density: a level more takes ln 2 off for each column once all
+    values stand apart. Values are counted once in the finest bins, whose numbers less
+    their last bits are the bins of every coarser level; the top bins hold the maximum.
+    Fields of one value, or with a column of equal values, have no rows; nulls and NaN do not count.
+    """
+    known = field
+    for c in columns:
+        known = known.where(F.col(c).isNotNull() & ~F.isnan(c))
+    ends = [e for c in columns for e in (F.min(c).alias(f"_low_{c}"), F.max(c).alias(f"_high_{c}"))]
+    sizes = durable(known.groupBy("field_id").agg(F.count(F.lit(1)).alias("_n"), *ends))
+    spans = [F.col(f"_high_{c}") - F.col(f"_low_{c}") for c in columns]
+    for span in spans:
+        sizes = sizes.where(span > 0)
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    deepest = halvings if halvings is not None else _levels(most, 3.0 / len(columns))
+    own = F.least(F.floor(F.lit(3.0 / len(columns)) * F.log2("_n") + 1e-12), F.lit(50)) if halvings is None else F.lit(halvings)
+    joined = known.join(maybe_broadcast(sizes, 64), "field_id")
+    parts = float(1 << deepest)
+    places = [F.least(F.floor((F.col(c) - F.col(f"_low_{c}")) / span * parts).cast("long"), F.lit((1 << deepest) - 1)) for c, span in zip(columns, spans)]
+    names = [f"_p{i}" for i in range(len(columns))]
+    finest = durable(joined.select("field_id", *(p.alias(n) for p, n in zip(places, names))).groupBy("field_id", *names).agg(F.count(F.lit(1)).alias("_k")))
+    at = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
+    coarse = finest.select("field_id", "_k", *names, at.alias("level"))
+    coarse = coarse.select("field_id", "_k", "level", *(F.expr(f"shiftright({n}, {deepest} - level)").alias(n) for n in names))
+    bins = coarse.groupBy("field_id", "level", *names).agg(F.sum("_k").alias("_k"))
+    sums = bins.groupBy("field_id", "level").agg(F.sum(F.col("_k") * F.log(F.col("_k").cast("double"))).alias("_s"))
+    area = spans[0] if len(spans) == 1 else spans[0] * spans[1]
+    width = area / F.pow(F.lit(2.0), F.col("level") * len(columns))
+    value = F.log("_n") + F.log(width) - F.col("_s") / F.col("_n")
+    named = sums.join(maybe_broadcast(sizes.withColumn("_own", own), 72), "field_id").where(F.col("level") <= F.col("_own"))
+    return named.select("field_id", F.col("level").cast("int").alias("level"), width.alias("width"), value.alias("entropy"))
+
+
+def entropy_2d(field: DataFrame, columns: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """``field_id, entropy``: that of the level from which on the entropy at scales changes least, over three levels.
+
+    Levels from the first on count whose changes to both sides differ; of equal ones the coarsest.
+    """
+    scales = entropy_at_scales(field, columns)
+    order = Window.partitionBy("field_id").orderBy("level")
+    before, after = F.lag("entropy").over(order), F.lead("entropy").over(order)
+    change = F.abs(F.col("entropy") - before) + F.abs(after - F.col("entropy"))
+    mean = (before + F.col("entropy") + after) / 3
+    rated = scales.select("field_id", "level", change.alias("_c"), mean.alias("_m")).where("_c is not null")
+    best = rated.groupBy("field_id").agg(F.min(F.struct("_c", "level", "_m")).alias("_b"))
+    return best.select("field_id", F.col("_b._m").alias("entropy"))

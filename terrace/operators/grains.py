@@ -14,33 +14,48 @@ from terrace.operators import filters
 from terrace.operators.arithmetic import PLACE, per_field
 from terrace.operators.components import connected_components
 from terrace.operators.statistics import upper_median
-from terrace.plans.durable import durable
+from terrace.plans.durable import durable, maybe_broadcast
+from terrace.plans.indexing import row_index
 
 
-def _components(mask: DataFrame) -> DataFrame:
-    """``field_id, row, col, first``: marked pixels with (row, col) of their grain's first pixel in scan order."""
+def _runs(mask: DataFrame) -> DataFrame:
+    """``field_id, row, start, stop, node``: marked pixels of a row that follow one another, each run with a number of its own."""
     order = Window.partitionBy("field_id", "row").orderBy("col")
-    marked = mask.where("m > 0").select(*PLACE)
     # Columns of a run differ from their rank by the same number.
-    start = F.min("col").over(Window.partitionBy("field_id", "row", "_run"))
-    runs = marked.withColumn("_run", F.col("col") - F.row_number().over(order)).withColumn("_start", start)
-    node = F.struct("field_id", "row", F.col("_start").alias("col"))
-    runs = durable(runs.select(*PLACE, node.alias("node")))
-    above = runs.select("field_id", (F.col("row") + 1).alias("row"), "col", F.col("node").alias("above"))
-    edges = runs.join(above, PLACE).select(F.col("node").alias("src"), F.col("above").alias("dst")).distinct()
-    found = connected_components(edges)
-    first = F.coalesce("component", "node")
-    return durable(runs.join(found, "node", "left").select(*PLACE, first["row"].alias("first_row"), first["col"].alias("first_col")))
-
-
-def number(mask: DataFrame) -> DataFrame:
-    """``field_id, row, col, grain``: marked pixels with their grain's number, from 1 in the order of first pixels."""
-    parts = _components(mask)
-    firsts = parts.select("field_id", "first_row", "first_col").distinct()
-    # One row a grain, of one field.
-    place = F.row_number().over(Window.partitionBy("field_id").orderBy("first_row", "first_col"))
-    names = firsts.withColumn("grain", place)
-    return parts.join(names, ["field_id", "first_row", "first_col"]).select(*PLACE, "grain")
+    marked = mask.where("m > 0").select(*PLACE, (F.col("col") - F.row_number().over(order)).alias("_run"))
+    return durable(marked.groupBy("field_id", "row", "_run").agg(F.min("col").alias("start"), F.max("col").alias("stop")).drop("_run").withColumn("node", F.monotonically_increasing_id()))
+
+
+def _touching(runs: DataFrame, corners: bool) -> DataFrame:
+    """``src, dst``: runs of neighbouring rows that share a column, or only touch at a corner.
+
+    Of two such runs the later start lies in the other one, so each run need only look
+    at the last run of the other row that starts no later than itself.
+    """
+    own = runs.select("field_id", "row", "start", "stop", "node", F.lit(0).alias("side"))
+    both = own.union(runs.select("field_id", F.col("row") + 1, "start", "stop", "node", F.lit(1)))
+    order = Window.partitionBy("field_id", "row").orderBy("start", "side")
+    run = F.struct("stop", "node")
+    seen = [F.last(F.when(F.col("side") == side, run), True).over(order) for side in (0, 1)]
+    met = both.withColumns({"_0": seen[0], "_1": seen[1]}).withColumn("_o", F.when(F.col("side") == 0, F.col("_1")).otherwise(F.col("_0")))
+    return met.where(F.col("_o.stop") >= F.col("start") - int(corners)).select(F.col("node").alias("src"), F.col("_o.node").alias("dst"))
+
+
+def number(mask: DataFrame, corners: bool = False) -> DataFrame:
+    """``field_id, row, col, grain``: marked pixels with their grain's number, from 1 in the order of first pixels.
+
+    Grains hold together over edges, with ``corners`` over corners too.
+    """
+    runs = _runs(mask)
+    found = connected_components(_touching(runs, corners))
+    parts = durable(runs.join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component", "node"))
+    firsts = parts.groupBy("field_id", "part").agg(F.min(F.struct("row", "start")).alias("_first"))
+    # One row a grain, numbered over all fields, less those of the fields before.
+    ranked = row_index(firsts.select("field_id", "part", F.col("_first.row").alias("_row"), F.col("_first.start").alias("_col")), ["field_id", "_row", "_col"], "_k")
+    before = ranked.groupBy("field_id").agg(F.min("_k").alias("_before"))
+    names = ranked.join(maybe_broadcast(before, 32), "field_id").select("field_id", "part", (F.col("_k") - F.col("_before") + 1).alias("grain"))
+    named = parts.join(maybe_broadcast(names, 40), ["field_id", "part"])
+    return named.select("field_id", "row", F.explode(F.sequence("start", "stop")).alias("col"), "grain")
 
 
 def quantities(field: DataFrame, grains: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:

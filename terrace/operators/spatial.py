@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators import geometry
 from terrace.operators.arithmetic import per_field
 from terrace.operators.filters import patches
+from terrace.plans.lines import Line, map_lines
 
 
 def _lagged(field: DataFrame, lags: int, centre: bool, by: str) -> DataFrame:
@@ -54,37 +54,36 @@ WINDOWS = {
 def power_spectrum(field: DataFrame, window: str = "hann", step: float = 1.0) -> DataFrame:
     """``field_id, bin, k, psdf``: power spectral density along rows, averaged over them.
 
-    Rows go to tasks one by one and come back as spectra, which are averaged by
-    partial aggregation. The window keeps the row's mean square.
+    Rows come back as spectra, which are averaged by partial aggregation; a row must fit
+    in a task. The window keeps the row's mean square.
     """
 
-    def spectrum(key, rows: pd.DataFrame) -> pd.DataFrame:
-        z = rows.sort_values("col")["z"].to_numpy()
+    def spectrum(line: Line) -> Line:
+        z = line["z"]
         w = WINDOWS[window](len(z))
         f = np.fft.rfft((z - z.mean()) * w / np.sqrt((w**2).mean()))
-        p = np.abs(f) ** 2 * step / (2 * np.pi * len(z))
-        return pd.DataFrame({"field_id": key[0], "bin": np.arange(len(p)), "k": 2 * np.pi * np.arange(len(p)) / (len(z) * step), "p": p})
+        bins = np.arange(len(f))
+        return {"bin": bins, "k": 2 * np.pi * bins / (len(z) * step), "p": np.abs(f) ** 2 * step / (2 * np.pi * len(z))}
 
-    kind = field.schema["field_id"].dataType.simpleString()
-    of_rows = field.select("field_id", "row", "col", "z").groupBy("field_id", "row").applyInPandas(spectrum, f"field_id {kind}, bin int, k double, p double")
+    of_rows = map_lines(field, ["field_id", "row"], ["col"], ["z"], spectrum, "bin int, k double, p double")
     return of_rows.groupBy("field_id", "bin").agg(F.first("k").alias("k"), F.avg("p").alias("psdf"))
 
 
-def row_transform(field: DataFrame, inverse: bool = False) -> DataFrame:
-    """Unitary Fourier transform of each row: ``field_id, row, col, re, im``; the inverse reads ``re`` and ``im`` and gives ``z`` too."""
+def _transformed(field: DataFrame, real: bool, inverse: bool) -> DataFrame:
+    """Unitary transform of each row, of ``z`` or of ``re`` and ``im``; a row must fit in a task."""
+
+    def transform(line: Line) -> Line:
+        values = line["z"] if real else line["re"] + 1j * line["im"]
+        f = (np.fft.ifft if inverse else np.fft.fft)(values, norm="ortho")
+        return {"col": np.arange(len(f)), "re": f.real, "im": f.imag}
 
-    def transform(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("col")
-        if inverse:
-            f = np.fft.ifft(rows["re"].to_numpy() + 1j * rows["im"].to_numpy(), norm="ortho")
-        else:
-            f = np.fft.fft(rows["z"].to_numpy(), norm="ortho")
-        out = {"field_id": key[0], "row": key[1], "col": np.arange(len(f)), "re": f.real, "im": f.imag}
-        return pd.DataFrame(out | ({"z": f.real} if inverse else {}))
+    out = map_lines(field, ["field_id", "row"], ["col"], ["z"] if real else ["re", "im"], transform, "col int, re double, im double")
+    return out.withColumn("z", F.col("re")) if inverse else out
 
-    kind = field.schema["field_id"].dataType.simpleString()
-    schema = f"field_id {kind}, row int, col int, re double, im double" + (", z double" if inverse else "")
-    return field.groupBy("field_id", "row").applyInPandas(transform, schema)
+
+def row_transform(field: DataFrame, inverse: bool = False) -> DataFrame:
+    """Unitary Fourier transform of each row: ``field_id, row, col, re, im``; the inverse reads ``re`` and ``im`` and gives ``z`` too."""
+    return _transformed(field, not inverse, inverse)
 
 
 def haar_level(field: DataFrame) -> DataFrame:
@@ -148,22 +147,8 @@ def radial_autocorrelation(field: DataFrame, reach: int = 4) -> DataFrame:
 
 def transform_2d(field: DataFrame, inverse: bool = False) -> DataFrame:
     """Unitary two-dimensional Fourier transform, rows and then columns: ``field_id, row, col, re, im``; the inverse reads these and gives ``z`` too."""
-    once = row_transform(field, inverse)
-    turned = geometry.transpose(once).select("field_id", "row", "col", "re", "im")
-    return geometry.transpose(_complex_rows(turned, inverse))
-
-
-def _complex_rows(field: DataFrame, inverse: bool) -> DataFrame:
-    def transform(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("col")
-        values = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-        f = (np.fft.ifft if inverse else np.fft.fft)(values, norm="ortho")
-        out = {"field_id": key[0], "row": key[1], "col": np.arange(len(f)), "re": f.real, "im": f.imag}
-        return pd.DataFrame(out | ({"z": f.real} if inverse else {}))
-
-    kind = field.schema["field_id"].dataType.simpleString()
-    schema = f"field_id {kind}, row int, col int, re double, im double" + (", z double" if inverse else "")
-    return field.groupBy("field_id", "row").applyInPandas(transform, schema)
+    turned = geometry.transpose(row_transform(field, inverse)).select("field_id", "row", "col", "re", "im")
+    return geometry.transpose(_transformed(turned, False, inverse))
 
 
 def radial_spectrum(field: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ PX = """px as materialized (
   select cast(k // w as bigint) r, cast(k % w as bigint) c, z, q, m, w, n // w as h from (
     select l_extendedprice z, l_quantity q, case when l_discount > 0.05 then 1.0 else 0.0 end::double m,
       row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 k, n, w
-    from lineitem, (select count(*) n, cast(round(sqrt(count(*))) as bigint) w from lineitem))
+    from lineitem, (select n, case when 8 * d >= floor(sqrt(n)) then d else cast(round(sqrt(n)) as bigint) end w from
+      (select n, (select max(d) from range(1, 100000) u(d) where d * d <= n and n % d = 0) d from (select count(*) n from lineitem))))
   where k < (n // w) * w)"""
 CELL = 'cast(0 as bigint) as field_id, r as "row", c as col'
 
@@ -395,8 +396,6 @@ register(
     f"""with {PX}, sz as (select s from (select 2**unnest(range(1, 20)) s), (select max(greatest(r, c)) big from px) where s <= greatest(2, 2**(length(bin(big + 1)) - 2)))
     select cast(0 as bigint) as field_id, {whole('s', 'size')}, {rounded('sum(x) / s', 'ranges', 2)} from (select s, max(z) - min(z) x from px, sz group by s, floor(r / s), floor(c / s)) group by s""", digits=2,
 )
-register("power_spectrum", on_grid(spatial.power_spectrum), digits=2)
-register("row_transform", on_grid(spatial.row_transform))
 register("row_transform_round_trip", cells(lambda f: spatial.row_transform(spatial.row_transform(f), inverse=True)), pixels("z"))
 
 # --- lines
@@ -537,14 +536,8 @@ def grain_sql(select: str) -> str:
     return f"with recursive {PX}{GRAINS} {select}"
 
 
-#: The grains of each field that queries share, numbered and written once.
-_NUMBERED: dict[int, tuple[DataFrame, DataFrame]] = {}
-
-
 def numbered(f: DataFrame) -> DataFrame:
-    if id(f) not in _NUMBERED:  # the field is kept with its grains, so its id stays its own
-        _NUMBERED[id(f)] = f, durable(grains.number(f))
-    return _NUMBERED[id(f)][1]
+    return durable(grains.number(f))
 
 
 register("grain_numbers", on_grid(numbered), grain_sql('select cast(0 as bigint) as field_id, r as "row", c as col, g as grain from gr'))
@@ -606,4 +599,4 @@ register(
     f"select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(value) as n, {rounded('sum(value)', 'total')}, {rounded('min(value)', 'low')}, {rounded('max(value)', 'high')} from events group by all",
 )
 
-from terrace import queries_fields as _fields, queries_more as _more, queries_scaling as _scaling, queries_transforms as _transforms  # noqa: E402, F401  they register their queries here too
+from terrace import queries_fields as _fields, queries_more as _more, queries_regions as _regions, queries_scaling as _scaling, queries_transforms as _transforms  # noqa: E402, F401  they register their queries here too

@@ -184,8 +184,6 @@ register("read_values", on_grid(lambda f: statistics.read_values(f, [(5, 6), (0,
 # --- transforms
 
 register("transform_2d_round_trip", cells(lambda f: spatial.transform_2d(spatial.transform_2d(f), True)), pixels("z"))
-register("transform_2d", on_grid(spatial.transform_2d), digits=3)
-register("radial_spectrum", on_grid(spatial.radial_spectrum), digits=1)
 for _axis, _along, _other in (("x", "c", "r"), ("y", "r", "c")):
     register(
         f"haar_{_axis}", on_grid(lambda f, a=_axis: spatial.haar_rows(f, a)),

@@ -11,14 +11,13 @@ curve      ``curve_id, i, x, y``
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.plans.durable import durable
 from terrace.plans.indexing import row_index
 
-#: The grid of each table that a session has read, numbered and written once.
-_GRIDS: dict[tuple[str, str], DataFrame] = {}
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -26,29 +25,31 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as a square field with a second operand ``q`` and a mask ``m``; the incomplete last row is left out."""
-    session = (spark.sparkContext.applicationId, sf_dir)
-    if session not in _GRIDS:
-        _GRIDS[session] = _grid(spark, sf_dir)
-    return _GRIDS[session]
+def grid_width(n: int) -> int:
+    """Columns of a field of ``n`` pixels: the largest divisor of n up to its root, so that all rows are whole.
 
+    Where all of them are under an eighth of the root the width is the root, and what does not fill a
+    row of pixels is left out.
+    """
+    root = math.isqrt(n)
+    divisor = next((d for d in range(root, 0, -1) if n % d == 0), 1)
+    return divisor if 8 * divisor >= root else max(1, round(n**0.5))
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a nearly square field with a second operand ``q`` and a mask ``m``; its numbered rows are written once for a call."""
     rows = _read(spark, sf_dir, "lineitem").select(*KEY, "l_quantity", "l_discount")
     n = rows.count()
-    width = max(1, round(n**0.5))
+    width = grid_width(n)
     k = F.col("k")
     placed = row_index(rows, KEY).where(k < n // width * width)
-    return durable(
-        placed.select(
-            F.lit(0).alias("field_id"),
-            F.floor(k / width).cast("int").alias("row"),
-            (k % width).cast("int").alias("col"),
-            F.col("l_extendedprice").alias("z"),
-            F.col("l_quantity").alias("q"),
-            F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0).alias("m"),
-        )
+    return placed.select(
+        F.lit(0).alias("field_id"),
+        F.floor(k / width).cast("int").alias("row"),
+        (k % width).cast("int").alias("col"),
+        F.col("l_extendedprice").alias("z"),
+        F.col("l_quantity").alias("q"),
+        F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0).alias("m"),
     )
 
 
