@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators import grains as grain_ops
 from terrace.operators.arithmetic import PLACE
-from terrace.plans.durable import durable, maybe_broadcast
+from terrace.plans.durable import durable, maybe_broadcast, written
 from terrace.plans.lines import Line, map_lines
 
 #: Pixels of a grain that one task may solve: eight arrays of so many doubles.
@@ -117,7 +117,7 @@ def _spread(system: DataFrame, tile: int, precision: float) -> DataFrame:
     scale = durable(system.groupBy(*key).agg((F.max(F.abs("b")) * precision).alias("least")))
     state = durable(_by_tile(system.select(*PLACE, "grain", "degree", F.lit(0.0).alias("x"), F.col("b").alias("r")), "r", tile).withColumn("p", F.col("y")))
     ends = durable(_totals(state).join(scale, key))
-    for _ in range(100_000):
+    for turn in range(100_000):
         if ends.where("worst > least").isEmpty():
             return state.select(*PLACE, "x")
         rho = maybe_broadcast(ends.select(*key, "rho"), 64)
@@ -128,7 +128,9 @@ def _spread(system: DataFrame, tile: int, precision: float) -> DataFrame:
         moved = state.join(maybe_broadcast(step, 64), key)
         moved = moved.withColumns({"x": F.col("x") + F.col("step") * F.col("p"), "r": F.col("r") - F.col("step") * F.col("q")}).drop("step", "q")
         state = durable(_by_tile(moved, "r", tile))
-        new = durable(_totals(state).withColumnRenamed("rho", "new").join(rho, key).join(scale, key))
+        if turn % 2 == 1:
+            state = written(state)
+        new = written(_totals(state).withColumnRenamed("rho", "new").join(rho, key).join(scale, key))
         ratio = maybe_broadcast(new.select(*key, F.coalesce(F.try_divide("new", "rho"), F.lit(0.0)).alias("ratio")), 64)
         state = state.join(ratio, key).withColumn("p", F.col("y") + F.col("ratio") * F.col("p")).drop("ratio")
         ends = new.select(*key, F.col("new").alias("rho"), "worst", "least")
@@ -154,5 +156,5 @@ def fill(field: DataFrame, local: int = LOCAL, tile: int = TILE, precision: floa
     solved = map_lines(few, key, ["row", "col"], ["row", "col", "degree", "b"], solve, "row int, col int, x double").select(*PLACE, "x")
     large = sizes.where(F.col("n") > local).select(*key)
     if not large.isEmpty():
-        solved = solved.union(_spread(durable(system.join(maybe_broadcast(large, 32), key)), tile, precision))
+        solved = solved.union(_spread(written(system.join(maybe_broadcast(large, 32), key)), tile, precision))
     return field.join(solved, PLACE, "left").select(*PLACE, F.when(F.col("m") > 0, F.coalesce("x", F.lit(0.0))).otherwise(F.col("z")).alias("z"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.arithmetic import PLACE
 from terrace.operators.components import connected_components
-from terrace.plans.durable import durable, maybe_broadcast
+from terrace.plans.durable import durable, maybe_broadcast, written
 from terrace.plans.indexing import row_index
 
 _BOTTOM = ["bottom_row", "bottom_col"]
@@ -113,8 +113,8 @@ def merge_shallow(parts: DataFrame, depth: float = 0.0) -> DataFrame:
         for side in "ab":
             edges = edges.join(names.select("field_id", F.col("part").alias(side), F.col("new").alias(f"new_{side}")), ["field_id", side])
         kept = edges.where("new_a != new_b").groupBy("field_id", F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
-        edges = durable(kept.agg(F.min("height").alias("height")))
-        lows = durable(renamed.where("part = new").select("field_id", "part", "low"))
+        edges = written(kept.agg(F.min("height").alias("height")))
+        lows = written(renamed.where("part = new").select("field_id", "part", "low"))
     table = maybe_broadcast(became.select("field_id", F.col("first").alias("_first"), F.col("part").alias("_part")), 60)
     joined = parts.withColumn("_first", bottom).join(table, ["field_id", "_first"])
     return joined.select(*PLACE, "z", F.col("_part.bottom_row").alias("bottom_row"), F.col("_part.bottom_col").alias("bottom_col"))

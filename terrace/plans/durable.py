@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a table in the shared checkpoint folder: for the rounds of a loop.
+
+    A checkpoint keeps the size that the optimiser guessed, for a join the product of both
+    sides', so in a loop the guess's digits double in every round until planning takes
+    longer than the work. A table has the size of its files; one in every few rounds is enough.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of the already computed ``df`` if its rows fit in ``limit`` bytes.
 
