@@ -67,8 +67,11 @@ def nearest(queries: DataFrame, points: DataFrame, distance: float, k: int = 1)
     """``surface_id, left_id, right_id, distance, rank``: the ``k`` nearest of ``points`` of each query, ties to the smaller id.
 
     ``distance`` is the first radius searched; it doubles for the queries that have
-    found fewer than ``k``, until they have them or all points of their cloud.
+    found fewer than ``k``, until they have them or all points of their cloud. Null, NaN
+    and infinite coordinates are near nothing: such points are never found, such queries have no rows.
     """
+    usable = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    queries, points = queries.where(usable), durable(points.where(usable))
     rank = F.row_number().over(Window.partitionBy("surface_id", "left_id").orderBy("distance", "right_id"))
     sizes = durable(points.groupBy("surface_id").agg(F.count(F.lit(1)).alias("n")))
     todo = durable(queries.select("surface_id", "pt_id", "x", "y").join(maybe_broadcast(sizes, 32), "surface_id"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, edges, frequency, laplace, matching, spatial, watershed
+from terrace.operators import distances, distributions, edges, fitting, frequency, laplace, matching, points, spatial, triangulation, watershed
 from terrace.plans.durable import durable
-from terrace.queries import _MIRROR3, CELL, PX, cells, on_grid, register, rounded, second, weighted, whole
+from terrace.queries import _MIRROR3, CELL, PX, _parts, cells, on_grid, register, rounded, second, weighted, whole
+from terrace.sources import tables
 
 # --- distances
 
@@ -197,3 +198,55 @@ register(
     "entropy_2d", on_grid(lambda f: distributions.entropy_2d(f, ("z", "q"))),
     f"with {_CLOUD}, ch as (select lv, abs(h - lag(h) over o) + abs(lead(h) over o - h) d, (lag(h) over o + h + lead(h) over o) / 3 m from en window o as (order by lv)) select cast(0 as bigint) as field_id, {rounded('m', 'entropy')} from ch where d is not null order by d, lv limit 1",
 )
+
+# --- triangles of scattered points: parts by price and size
+
+_PT = "pt as materialized (select p_partkey k, p_retailprice x, p_size::double y from part), pl as materialized (select x, y, min(k) k, avg(x + 2 * y) z from pt group by x, y)"
+# Corners of the hull stand at an end of their row of sizes; a side is a pair of them with all others to its left and none on the line beyond.
+_SIDES = f"""{_PT}, ed as materialized (select min(x) x, y from pl group by y union select max(x), y from pl group by y),
+  sd as materialized (select a.x ax, a.y ay, b.x tx, b.y ty from ed a, ed b, ed p where (a.x, a.y) <> (b.x, b.y) group by all
+    having min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) >= 0
+      and count(*) filter ((b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) and ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) < 0 or (p.x - b.x) * (a.x - b.x) + (p.y - b.y) * (a.y - b.y) < 0)) = 0),
+  ou as (select count(*) n from (select distinct pl.x, pl.y from pl join sd on (tx - ax) * (pl.y - ay) = (ty - ay) * (pl.x - ax)))"""
+
+
+def _cloud(spark, sf_dir):
+    return _parts(spark, sf_dir).withColumn("z", F.col("x") + 2 * F.col("y"))
+
+
+def _triangle_sums(spark, sf_dir):
+    """Number and area of the triangles: all points but those of the border make two, and together they are the convex hull."""
+    made = triangulation.delaunay(_cloud(spark, sf_dir))
+    twice = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    return made.groupBy("surface_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(twice) / 2).alias("area"))
+
+
+register(
+    "delaunay_sums", _triangle_sums,
+    f"with {_SIDES} select cast(0 as bigint) as surface_id, {whole('2 * (select count(*) from pl) - 2 - any_value(ou.n)', 'n')}, {rounded('sum(ax * ty - tx * ay) / 2', 'area', 2)} from sd, ou", digits=2,
+)
+register("delaunay_triangles", lambda spark, sf_dir: triangulation.delaunay(_cloud(spark, sf_dir)).select("surface_id", "a", "b", "c"))
+register(
+    "raster_triangulated", lambda spark, sf_dir: triangulation.interpolate(_cloud(spark, sf_dir), 40, 30),
+    f"""with {_SIDES}, bx as (select min(x) x0, (max(x) - min(x)) / 40 dx, min(y) y0, (max(y) - min(y)) / 30 dy from pl),
+    gr as (select i, j, x0 + (j + 0.5) * dx x, y0 + (i + 0.5) * dy y from bx, unnest(range(30)) a(i), unnest(range(40)) b(j))
+    select cast(0 as bigint) as field_id, i as "row", j as col, {rounded('any_value(x + 2 * y)', 'z')} from gr, sd group by i, j having min((tx - ax) * (y - ay) - (ty - ay) * (x - ax)) >= 0""",
+)
+register(
+    "points_nearest", lambda spark, sf_dir: points.nearest(_parts(spark, sf_dir).where("pt_id % 100 = 0"), _parts(spark, sf_dir), 2.0, 3),
+    f"""with {_PT}, d as (select a.k left_id, b.k right_id, sqrt((a.x - b.x)**2 + (a.y - b.y)**2) d from pt a, pt b where a.k % 100 = 0), r as (select *, row_number() over (partition by left_id order by d, right_id) n from d)
+    select cast(0 as bigint) as surface_id, left_id, right_id, {rounded('d', 'distance')}, n as rank from r where n <= 3""",
+)
+
+# --- fits
+
+register(
+    "fit_line", lambda spark, sf_dir: fitting.fit_curves(tables.curves(spark, sf_dir), "line").select("curve_id", "a", "b", "n", "rms"),
+    f"""with cv as (select o_orderpriority curve_id, datediff('day', date '1992-01-01', o_orderdate::date)::double x, o_totalprice y from orders), f as (select curve_id, regr_intercept(y, x) a, regr_slope(y, x) b from cv group by curve_id)
+    select curve_id, {rounded('any_value(a)', 'a', 2)}, {rounded('any_value(b)', 'b', 2)}, count(*) as n, {rounded('sqrt(avg((y - a - b * x)**2))', 'rms', 2)} from cv join f using (curve_id) group by curve_id""", digits=2,
+)
+register(
+    "fit_plane", on_grid(lambda f: fitting.fit_shape(f.drop("m"), "plane").select("field_id", "z0", "bx", "by")),
+    f"""with {PX}, mm as (select avg(c) mc, avg(r) mr, avg(z) mz from px), t as (select sum((c - mc) * (z - mz)) / sum((c - mc)**2) u, sum((r - mr) * (z - mz)) / sum((r - mr)**2) v from px, mm)
+    select cast(0 as bigint) as field_id, {rounded('mz - u * mc - v * mr', 'z0', 2)}, {rounded('u', 'bx', 2)}, {rounded('v', 'by', 2)} from mm, t""", digits=2,
+)
