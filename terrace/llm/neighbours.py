@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by collision counting.
 
-Vectors are projected on ``PROJECTIONS`` random directions. In a block of vectors each
+Vectors are projected on random directions, as many as they have dimensions and
+``PROJECTIONS`` at least: the more dimensions, the less the nearest differ from the others in distance. In a block of vectors each
 direction has its own array sorted by projection. A query widens a window around its
 own projection in every array, level by level (virtual rehashing), and counts for each
 vector in how many windows it lies. Vectors that reach the collision threshold are
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Directions at least; vectors of more dimensions have as many as dimensions.
 PROJECTIONS = 64
 #: Part of the directions in which a vector must collide to be verified.
 THRESHOLD = 0.6
@@ -75,7 +77,8 @@ class BlockIndex:
 
 
 def _directions(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS)).astype(np.float32)
+    """Directions for vectors of ``dim`` dimensions and the one that lifting adds."""
+    return np.random.default_rng(SEED).standard_normal((dim + 1, max(PROJECTIONS, dim))).astype(np.float32)
 
 
 def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -101,10 +104,10 @@ def search_block(queries, query_ids, vectors, ids, k: int, share: float = VERIFI
     longest vector. A query leaves out a range that is too short to hold a better one
     than the ``k`` it has.
     """
-    directions = _directions(queries.shape[1] + 1)
+    directions = _directions(queries.shape[1])
     norms = np.linalg.norm(queries, axis=1)
     projected = np.c_[queries / norms[:, None], np.zeros(len(queries))].astype(np.float32) @ directions
-    lengths, need = np.linalg.norm(vectors, axis=1), int(np.ceil(THRESHOLD * PROJECTIONS))
+    lengths, need = np.linalg.norm(vectors, axis=1), int(np.ceil(THRESHOLD * directions.shape[1]))
     best = [(np.zeros(0, ids.dtype), np.zeros(0)) for _ in queries]
     worst = np.full(len(queries), -np.inf)
     for part in length_ranges(lengths):

@@ -82,3 +82,19 @@ def test_recall_with_skewed_lengths(spark, skew):
     got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, df.where("vec_id % 40 = 0")).collect()}
     want = brute(list(range(4000)), vectors.astype(np.float64), range(0, 4000, 40), 20)
     assert sum((q, i) in got for q, v in want.items() for i, _ in v) >= 0.9 * 20 * len(want)
+
+
+@pytest.mark.parametrize("dim, spread, copies", [(256, 0.0, 1), (768, 0.0, 1), (256, 0.3, 1), (384, 0.0, 2)])
+def test_recall_in_many_dimensions(dim, spread, copies):
+    """At least 0.9 of the nearest, or of others just as near, where vectors have more dimensions than the query table's."""
+    random = np.random.default_rng(dim)
+    vectors = random.standard_normal((4096 // copies, dim))
+    vectors = np.tile(vectors / np.linalg.norm(vectors, axis=1)[:, None], (copies, 1)) * random.lognormal(0, spread, 4096)[:, None]
+    ids, wanted = np.arange(4096), vectors[:40]
+    query, found, _ = neighbours.search_block(wanted, ids[:40], vectors, ids, 20)
+    hits = 0
+    for i in range(40):
+        scores = (vectors * wanted[i]).sum(axis=1)
+        scores[i] = -np.inf
+        hits += (scores[found[query == i]] >= np.sort(scores)[-20] - 1e-12).sum()
+    assert hits >= 0.9 * 40 * 20
