@@ -585,15 +585,20 @@ register(
 
 # --- generators and streams
 
-register(
-    "synthetic_waves", lambda spark, sf_dir: synthetic.waves(spark, 60, 40, 12.0, 9.0, 2.0),
-    f'select cast(0 as bigint) as field_id, i as "row", j as col, {rounded("2 * sin(2 * pi() * j / 12) * sin(2 * pi() * i / 9)", "z")} from unnest(range(40)) a(i), unnest(range(60)) b(j)',
-)
-register(
-    "synthetic_chessboard", lambda spark, sf_dir: synthetic.chessboard(spark, 30, 20, 4, 3.0),
-    f'select cast(0 as bigint) as field_id, i as "row", j as col, {rounded("case when (j // 4 + i // 4) % 2 = 0 then 3 else 0 end", "z")} from unnest(range(20)) a(i), unnest(range(30)) b(j)',
-)
-register("synthetic_noise", lambda spark, sf_dir: synthetic.white_noise(spark, 100, 80, 2.0, 7))
+def shaped(of: Callable[[SparkSession, int, int], DataFrame]) -> Query:
+    """A generator over as many columns and rows of pixels as ``lineitem`` fills."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+        width = tables.grid_width(n)
+        return of(spark, width, n // width)
+
+    return query
+
+
+register("synthetic_waves", shaped(lambda spark, w, h: synthetic.waves(spark, w, h, 12.0, 9.0, 2.0)), pixels("2 * sin(2 * pi() * c / 12) * sin(2 * pi() * r / 9)"))
+register("synthetic_chessboard", shaped(lambda spark, w, h: synthetic.chessboard(spark, w, h, 4, 3.0)), pixels("case when (c // 4 + r // 4) % 2 = 0 then 3 else 0 end"))
+register("synthetic_noise", shaped(lambda spark, w, h: synthetic.white_noise(spark, w, h, 2.0, 7)))
 register(
     "stream_windows", lambda spark, sf_dir: streaming.run_available(spark, sf_dir, "events.parquet", "1 day").withColumn("start", F.unix_timestamp("start")),
     f"select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(value) as n, {rounded('sum(value)', 'total')}, {rounded('min(value)', 'low')}, {rounded('max(value)', 'high')} from events group by all",

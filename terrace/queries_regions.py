@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, edges, fitting, frequency, laplace, matching, points, spatial, triangulation, watershed
+from terrace.operators import distances, distributions, edges, fitting, frequency, laplace, matching, peaks, points, spatial, tips, triangulation, watershed
 from terrace.plans.durable import durable
 from terrace.queries import _MIRROR3, CELL, PX, _parts, cells, on_grid, register, rounded, second, weighted, whole
 from terrace.sources import tables
@@ -250,3 +250,21 @@ register(
     f"""with {PX}, mm as (select avg(c) mc, avg(r) mr, avg(z) mz from px), t as (select sum((c - mc) * (z - mz)) / sum((c - mc)**2) u, sum((r - mr) * (z - mz)) / sum((r - mr)**2) v from px, mm)
     select cast(0 as bigint) as field_id, {rounded('mz - u * mc - v * mr', 'z0', 2)}, {rounded('u', 'bx', 2)}, {rounded('v', 'by', 2)} from mm, t""", digits=2,
 )
+
+# --- peaks, circles, tips
+
+register("field_peaks", on_grid(lambda f: peaks.maxima(f, 50, 4.0, 90000.0)))
+_RING = ", ".join(f"({r}, {c})" for r, c in peaks.ring(5))
+register(
+    "hough_circles", cells(lambda f: peaks.hough_circles(f, 5)),
+    f"""with {PX}, rg(dr, dc) as (values {_RING}), vt as (select r + dr r, c + dc c, count(*) n from px, rg where m > 0 group by 1, 2)
+    select cast(0 as bigint) as field_id, px.r as "row", px.c as col, {rounded('coalesce(n, 0)', 'z')} from px left join vt on vt.r = px.r and vt.c = px.c""",
+)
+
+
+def _blind(field):
+    tip = tips.blind_estimate(field, 3)
+    return field.sparkSession.createDataFrame([(i // 3, i % 3, h) for i, h in enumerate(tip)], "row int, col int, z double")
+
+
+register("tip_blind", on_grid(_blind))
