@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.statistics import upper_median
 
 def _order():
     return Window.partitionBy("line_id").orderBy("i")
@@ -206,7 +207,7 @@ def part_statistics(lines: DataFrame, start: int | None = None, stop: int | None
     known = chosen.withColumn("s", step).join(means, "line_id").withColumn("d", F.col("y") - F.col("mean"))
     s2, s3, s4 = (F.sum(F.pow("d", F.lit(p))) for p in (2, 3, 4))
     n = F.count("y")
-    return known.groupBy("line_id").agg(
+    numbers = known.groupBy("line_id").agg(
         n.alias("n"),
         F.min("y").alias("min"),
         F.max("y").alias("max"),
@@ -218,8 +219,8 @@ def part_statistics(lines: DataFrame, start: int | None = None, stop: int | None
         F.coalesce(F.try_divide(s4 * (n + 1), s2 * s2) - 3, F.lit(0.0)).alias("kurtosis"),
         F.coalesce(F.sqrt(F.avg(F.col("s") * F.col("s"))), F.lit(0.0)).alias("tan_beta0"),
         F.coalesce(F.sum(F.abs("s")), F.lit(0.0)).alias("variation"),
-        F.get(F.sort_array(F.collect_list("y")), F.floor(n / 2).cast("int")).alias("median"),
     )
+    return numbers.join(upper_median(chosen, ["line_id"], "y"), "line_id", "left")
 
 
 def _binned(lines: DataFrame, bins: int | None) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators import levelling
-from terrace.plans.durable import durable
+from terrace.operators.statistics import upper_median
+from terrace.plans.durable import durable, maybe_broadcast, written
 
 _AXES = ("lev", "row", "col")
 
@@ -92,21 +93,37 @@ def arithmetic(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
     return both.select(*keys, value.alias("w"))
 
 
-def clusters(brick: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """``brick_id, row, col, cluster``: k-means of the profiles of each volume by itself, by Spark's own distributed one."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    profile = F.transform(F.array_sort(F.collect_list(F.struct("lev", "w"))), lambda e: e["w"])
-    rows = brick.groupBy("brick_id", "row", "col").agg(profile.alias("_p"))
-    vectors = durable(rows.select("brick_id", "row", "col", array_to_vector("_p").alias("features")))
-    out = vectors.select("brick_id", "row", "col", F.lit(0).alias("cluster")).limit(0)
-    # One model a volume: each is fitted by all tasks together.
-    for (brick_id,) in vectors.select("brick_id").distinct().collect():
-        own = vectors.where(F.col("brick_id") == brick_id)
-        model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(own)
-        out = out.union(model.transform(own).select("brick_id", "row", "col", "cluster"))
-    return out
+def clusters(brick: DataFrame, k: int, seed: int = 1, rounds: int = 100, centre: str = "mean") -> DataFrame:
+    """``brick_id, row, col, cluster``: profiles of every volume in ``k`` groups, by k-means, or with ``centre="median"`` by k-medians.
+
+    All volumes go at once: a round is one pass that gives each profile its nearest centre
+    (by squared differences; medians: by absolute ones; of equal ones the first) and one
+    aggregation for the new centres. It ends when no profile moves, or after
+    ``rounds``. The first centres are the profiles of ``k`` pixels drawn by a hash
+    of their place; a group that no profile is nearest to keeps its centre.
+    """
+    medians = centre == "median"
+    profile = F.transform(F.array_sort(F.collect_list(F.struct("lev", "w"))), lambda e: e["w"].cast("double"))
+    key = ["brick_id", "cluster"]
+    rows = durable(brick.groupBy("brick_id", "row", "col").agg(profile.alias("p")).withColumn("cluster", F.lit(-1)))
+    place = F.row_number().over(Window.partitionBy("brick_id").orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col")) - 1
+    centres = durable(rows.drop("cluster").withColumn("cluster", place).where(F.col("cluster") < k).select(*key, F.col("p").alias("c")))
+    levels = rows.agg(F.max(F.size("p"))).first()[0] or 0
+    size = (lambda x, y: F.abs(x - y)) if medians else (lambda x, y: (x - y) * (x - y))
+    for turn in range(rounds):
+        table = centres.groupBy("brick_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("cs"))
+        known = rows.withColumnRenamed("cluster", "before").join(maybe_broadcast(durable(table), 8 * k * (levels + 4)), "brick_id")
+        apart = F.transform("cs", lambda e: F.struct(F.aggregate(F.zip_with(e["c"], F.col("p"), size), F.lit(0.0), lambda s, v: s + v).alias("d"), e["cluster"].alias("cluster")))
+        keep = written if turn % 4 == 3 else durable
+        found = keep(known.select("brick_id", "row", "col", "p", "before", F.array_min(apart)["cluster"].alias("cluster")))
+        rows = found.drop("before")
+        if found.where("cluster != before").isEmpty():
+            break
+        cells = found.select(*key, F.posexplode("p").alias("lev", "w"))
+        middle = upper_median(cells, [*key, "lev"], "w").withColumnRenamed("median", "w") if medians else cells.groupBy(*key, "lev").agg(F.avg("w").alias("w"))
+        new = middle.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("lev", "w"))), lambda e: e["w"]).alias("n"))
+        centres = keep(centres.join(new, key, "left").select(*key, F.coalesce("n", "c").alias("c")))
+    return rows.select("brick_id", "row", "col", "cluster")
 
 
 def part(brick: DataFrame, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:

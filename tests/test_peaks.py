@@ -74,3 +74,22 @@ def test_blind_tip(spark):
     few = [np.array(tips.blind_estimate(field(spark, image), 5, rounds=n)) for n in (1, 2)]
     assert np.all(few[1] <= few[0])
     assert tips.blind_estimate(field(spark, image[:4, :4]), 5) == [0.0] * 25
+
+
+@pytest.mark.parametrize("centre", ["mean", "median"])
+def test_clusters_settle(spark, centre):
+    """Every profile has the nearest of the centres of its own volume's groups, volumes apart from each other."""
+    from terrace.operators import volume
+
+    random = np.random.default_rng(3)
+    profiles = {(b, i // 6, i % 6): random.normal(size=5) + 4 * (i % 3) * (b + 1) for b in range(3) for i in range(30)}
+    rows = [(b, lev, r, c, float(w)) for (b, r, c), p in profiles.items() for lev, w in enumerate(p)]
+    got = {(r.brick_id, r.row, r.col): r.cluster for r in volume.clusters(spark.createDataFrame(rows, "brick_id int, lev int, row int, col int, w double"), 3, centre=centre).collect()}
+    assert got.keys() == profiles.keys()
+    for b in range(3):
+        own = {p: got[p] for p in got if p[0] == b}
+        members = {k: np.sort(np.array([profiles[p] for p in own if own[p] == k]), axis=0) for k in set(own.values())}
+        centres = {k: m[len(m) // 2] if centre == "median" else m.mean(axis=0) for k, m in members.items()}
+        for p, k in own.items():
+            apart = {j: (np.abs(profiles[p] - c).sum() if centre == "median" else ((profiles[p] - c) ** 2).sum()) for j, c in centres.items()}
+            assert apart[k] <= min(apart.values()) + 1e-9
