@@ -312,7 +312,13 @@ register("filter_conservative", cells(filters.conservative), in3(
 for kernel, values in filters.KERNELS.items():
     register(f"filter_{kernel}", cells(lambda f, k=kernel: filters.kernel3(f, k)), convolved(weighted(values)))
 register("filter_gradient", cells(filters.gradient), convolved(f"sqrt({weighted(filters.KERNELS['sobel_x'])}**2 + {weighted(filters.KERNELS['sobel_y'])}**2)"))
-register("filter_gaussian", cells(lambda f: filters.gaussian(f, 1.0)))
+_BELL9 = "gw as (select k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) over () g from range(-4, 5) t(k))"
+_MIRRORED = "case when {0} < 0 then -1 - ({0}) when {0} >= {1} then 2 * {1} - 1 - ({0}) else {0} end"
+register(
+    "filter_gaussian", cells(lambda f: filters.gaussian(f, 1.0)),
+    f"""with {PX}, {_BELL9}, s1 as (select r, c, w, h, g, {_MIRRORED.format('c + k', 'w')} o from px, gw), a1 as materialized (select s1.r, s1.c, any_value(s1.w) w, any_value(s1.h) h, sum(g * px.z) z from s1 join px on px.r = s1.r and px.c = o group by 1, 2),
+    s2 as (select r, c, g, {_MIRRORED.format('r + k', 'h')} o from a1, gw) select {CELL.replace('r as', 's2.r as').replace('c as', 's2.c as')}, {rounded('sum(g * a1.z)', 'z', 3)} from s2 join a1 on a1.r = o and a1.c = s2.c group by s2.r, s2.c""", digits=3,
+)
 for direction, part, order in (("x", "r", "c"), ("y", "c", "r")):
     over = f"over (partition by {part} order by {order})"
     register(
@@ -490,6 +496,7 @@ brick_query("level_profiles", lambda b: volume.level_profiles(b).select("brick_i
 brick_query("normalise", lambda b: volume.normalise_profiles(b).select("brick_id", "lev", "row", "col", "w"), f"{_VOXEL}, {rounded('w / sqrt(sum(w * w) over (partition by r, c))', 'w')} from vx")
 brick_query("arithmetic", lambda b: volume.arithmetic(b, volume.flip(b, "lev"), F.col("a") - F.col("b")), f", f as (select max(l) over () - l as l, r, c, w from vx) {_VOXEL.replace('l as bigint', 'vx.l as bigint').replace('r as', 'vx.r as').replace('c as', 'vx.c as')}, {rounded('vx.w - f.w', 'w')} from vx join f on f.l = vx.l and f.r = vx.r and f.c = vx.c")
 brick_query("clusters", lambda b: volume.clusters(b, 5), None)
+brick_query("clusters_by_medians", lambda b: volume.clusters(b, 5, centre="median"), None)
 
 # --- point clouds
 
@@ -562,7 +569,12 @@ register(
     "grain_remove_at_border", cells(lambda f: grains.remove_at_border(f, numbered(f)).withColumn("z", F.col("m"))),
     grain_sql(f"{MASK}, case when s.g is null then 0.0 else 1.0 end::double as z from px left join gr on gr.r = px.r and gr.c = px.c left join (select g from gr group by g having min(r) > 0 and min(c) > 0 and max(r) < max(h) - 1 and max(c) < max(w) - 1) s on s.g = gr.g"),
 )
-register("mask_fill_voids", cells(lambda f: grains.fill_voids(f).withColumn("z", F.col("m"))))
+register(
+    "mask_fill_voids", cells(lambda f: grains.fill_voids(f).withColumn("z", F.col("m"))),
+    f"""with recursive {PX}, em as materialized (select r, c from px where m <= 0), ot(r, c) as (select r, c from px where m <= 0 and (r = 0 or c = 0 or r = h - 1 or c = w - 1) union
+      select em.r, em.c from (select r + d[1] r, c + d[2] c from ot, (select unnest([[0, 1], [0, -1], [1, 0], [-1, 0]]) d)) n join em on em.r = n.r and em.c = n.c)
+    select cast(0 as bigint) as field_id, px.r as "row", px.c as col, {rounded('case when ot.r is null then 1 else 0 end', 'z')} from px left join ot on ot.r = px.r and ot.c = px.c""",
+)
 _FRAME = "rows between 1 preceding and 1 following"
 for name, of, both in (("grow", grains.grow, "greatest"), ("shrink", grains.shrink, "least")):
     f = "max" if both == "greatest" else "min"
