@@ -202,8 +202,18 @@ def warp(field: DataFrame, x: Column, y: Column) -> DataFrame:
     known = per_field(field.select(*PLACE, "z"), (F.max("col") + 1).alias("_xres"), (F.max("row") + 1).alias("_yres"), F.min("z").alias("_low"))
     at = known.select(*PLACE, "_xres", "_yres", "_low", x.alias("_x"), y.alias("_y"))
     inside = F.col("_x").between(0, size[0]) & F.col("_y").between(0, size[1])
+    values = read_places(field, at.where(inside).select(*PLACE, F.col("_xres").alias("_w"), F.col("_yres").alias("_h"), "_x", "_y"))
+    return at.join(values, PLACE, "left").select(*PLACE, F.coalesce("_v", "_low").alias("z"))
+
+
+def read_places(field: DataFrame, places: DataFrame) -> DataFrame:
+    """``field_id, row, col, _v``: the field's bilinear value at column ``_x`` and row ``_y`` of each of ``places``, which may be of any number and shape.
+
+    ``places`` has its own ``field_id, row, col`` and the size ``_w, _h`` of the field, whose edge is
+    mirrored. Pixels without value have no weight, and places that only such surround no row.
+    """
     corners = F.array(*(F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a in (0, 1) for b in (0, 1)))
-    near = at.where(inside).select("*", F.inline(corners))
+    near = places.select("*", F.inline(corners))
 
     def part(place: str, step: str) -> Column:
         over = F.col(place) - F.floor(place)
@@ -214,12 +224,11 @@ def warp(field: DataFrame, x: Column, y: Column) -> DataFrame:
         return F.when(i < n, i).otherwise(2 * n - 1 - i).cast("int")
 
     asked = near.select(
-        "field_id", F.col("row").alias("_row"), F.col("col").alias("_col"), (part("_x", "_a") * part("_y", "_b")).alias("_w"),
-        mirrored("_y", "_b", size[1]).alias("row"), mirrored("_x", "_a", size[0]).alias("col"),
-    ).where("_w > 0")
+        "field_id", F.col("row").alias("_row"), F.col("col").alias("_col"), (part("_x", "_a") * part("_y", "_b")).alias("_part"),
+        mirrored("_y", "_b", F.col("_h")).alias("row"), mirrored("_x", "_a", F.col("_w")).alias("col"),
+    ).where("_part > 0")
     found = asked.join(field.select(*PLACE, "z").where("z is not null"), PLACE).groupBy("field_id", "_row", "_col")
-    values = found.agg((F.sum(F.col("z") * F.col("_w")) / F.sum("_w")).alias("_v")).toDF(*PLACE, "_v")
-    return at.join(values, PLACE, "left").select(*PLACE, F.coalesce("_v", "_low").alias("z"))
+    return found.agg((F.sum(F.col("z") * F.col("_part")) / F.sum("_part")).alias("_v")).toDF(*PLACE, "_v")
 
 
 def rotate(field: DataFrame, angle: float) -> DataFrame:
