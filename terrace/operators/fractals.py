@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.arithmetic import per_field
 from terrace.operators.geometry import resample
+from terrace.operators.spatial import power_spectrum
 from terrace.plans.durable import durable
 
 
@@ -84,3 +85,15 @@ def partitioning_dimension(squared: DataFrame) -> DataFrame:
 
 def triangulation_dimension(squared: DataFrame) -> DataFrame:
     return dimension(triangulation(squared), "log_scale", "log_area", 2.0, 1.0)
+
+
+def spectral(field: DataFrame) -> DataFrame:
+    """``field_id, bin, log_frequency, log_power``: logarithms of the power spectral density along rows, by the Hann window; frequency 0 is left out."""
+    spectrum = power_spectrum(field, "hann").where("bin > 0 and psdf > 0")
+    return spectrum.select("field_id", "bin", F.ln(F.col("bin").cast("double")).alias("log_frequency"), F.ln("psdf").alias("log_power"))
+
+
+def spectral_dimension(field: DataFrame) -> DataFrame:
+    """``field_id, dimension``: 3.5 and half the slope of the spectrum, frequencies alike in weight."""
+    d = spectral(field)
+    return d.groupBy("field_id").agg((3.5 + F.regr_slope("log_power", "log_frequency") / 2).alias("dimension"))

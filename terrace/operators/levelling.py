@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrace.functions.selection import Masking, Region, selected
 from terrace.operators.arithmetic import PLACE, per_field
 from terrace.operators.filters import median
-from terrace.plans.durable import maybe_broadcast
+from terrace.plans.durable import durable, maybe_broadcast
 
 
 def _unit(at: str, size: Column) -> Column:
@@ -59,6 +59,75 @@ def level_polynomial(field: DataFrame, degree: int, region: Region | None = None
     return joined.select(*PLACE, (F.col("z") - value).alias("z"))
 
 
+def _legendre(at: Column, degree: int) -> Column:
+    """Legendre polynomials of degrees 0 to ``degree`` at a place from -1 to 1, as an array that each joins after the two before it."""
+    term = lambda p, k: ((2 * k + 1) * at * F.get(p, k) - k * F.get(p, k - 1)) / (k + 1)
+    first = F.array(F.lit(1.0), at) if degree else F.array(F.lit(1.0))
+    if degree < 2:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(degree - 1)), first, lambda p, k: F.concat(p, F.array(term(p, k))))
+
+
+def _products(degree: int) -> np.ndarray:
+    """``[i, j, k]``: how much of the k-th Legendre polynomial is in the product of the i-th and the j-th."""
+    one = np.eye(degree + 1)
+    out = np.zeros((degree + 1, degree + 1, 2 * degree + 1))
+    for i in range(degree + 1):
+        for j in range(degree + 1):
+            of = np.polynomial.legendre.legmul(one[i], one[j])
+            out[i, j, : len(of)] = of
+    return out
+
+
+def legendre_coefficients(field: DataFrame, col_degree: int, row_degree: int, region: Region | None = None, masking: Masking = Masking.IGNORE) -> DataFrame:
+    """``field_id, xres, yres, coefficients`` of the least-squares sum of P_i(x) P_j(y), i up to ``col_degree`` and j up to ``row_degree``; coefficients with i, then j, counting up.
+
+    x and y run from -1 to 1 over the field, so that the normal equations stay well
+    conditioned at high degrees. Products of Legendre polynomials are sums of such of up to twice
+    their degree; so the sums of those, first over the pixels of a row, then over rows, are all the
+    equations need. What is solved in Python is a matrix for each field.
+    """
+    sized = per_field(field, (F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    keys = ["field_id", "_w", "_h"]
+    chosen = sized.where(selected(region, masking)).where("z is not null").select(*keys, "row", "z", _legendre(_unit("col", F.col("_w")), 2 * col_degree).alias("_p"))
+    along = [F.sum(F.get("_p", F.lit(i))).alias(f"g{i}") for i in range(2 * col_degree + 1)] + [F.sum(F.get("_p", F.lit(i)) * F.col("z")).alias(f"b{i}") for i in range(col_degree + 1)]
+    rows = chosen.groupBy(*keys, "row").agg(*along).withColumn("_p", _legendre(_unit("row", F.col("_h")), 2 * row_degree))
+    kinds = [("g", i) for i in range(2 * col_degree + 1)] + [("b", i) for i in range(col_degree + 1)]
+    long = rows.select(*keys, "_p", F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("i"), F.col(f"{kind}{i}").alias("v")) for kind, i in kinds))))
+    sums = long.groupBy(*keys, "kind", "i").agg(F.array(*(F.sum(F.get("_p", F.lit(j)) * F.col("v")) for j in range(2 * row_degree + 1))).alias("v"))
+    small = sums.groupBy(*keys).agg(F.collect_list(F.struct("kind", "i", "v")).alias("all"))
+    px, py = _products(col_degree), _products(row_degree)
+    m = (col_degree + 1) * (row_degree + 1)
+
+    def solve(batches):
+        for part in batches:
+            out = []
+            for parts in part["all"]:
+                g = np.zeros((2 * col_degree + 1, 2 * row_degree + 1))
+                b = np.zeros((col_degree + 1, row_degree + 1))
+                for e in parts:
+                    if e["kind"] == "g":
+                        g[e["i"]] = e["v"]
+                    else:
+                        b[e["i"]] = e["v"][: row_degree + 1]
+                a = np.einsum("ika,jlb,ab->ijkl", px, py, g, optimize=True).reshape(m, m)
+                out.append(np.linalg.lstsq(a, b.reshape(m), rcond=None)[0])
+            yield pd.DataFrame({"field_id": part["field_id"], "xres": part["_w"], "yres": part["_h"], "coefficients": out})
+
+    kind = field.schema["field_id"].dataType.simpleString()
+    return small.mapInPandas(solve, f"field_id {kind}, xres int, yres int, coefficients array<double>")
+
+
+def level_legendre(field: DataFrame, col_degree: int, row_degree: int, region: Region | None = None, masking: Masking = Masking.IGNORE) -> DataFrame:
+    """The field less its fitted Legendre polynomials; region and mask choose what is fitted, not what is levelled."""
+    fit = legendre_coefficients(field, col_degree, row_degree, region, masking)
+    joined = field.join(maybe_broadcast(durable(fit), 512), "field_id")
+    places = joined.select(*PLACE, "z", "coefficients", _legendre(_unit("col", F.col("xres")), col_degree).alias("_x"), _legendre(_unit("row", F.col("yres")), row_degree).alias("_y"))
+    products = F.flatten(F.transform("_x", lambda p: F.transform("_y", lambda q: p * q)))
+    value = F.aggregate(F.zip_with("coefficients", products, lambda c, p: c * p), F.lit(0.0), lambda s, v: s + v)
+    return places.select(*PLACE, (F.col("z") - value).alias("z"))
+
+
 def plane_coefficients(field: DataFrame, masking: Masking = Masking.IGNORE) -> DataFrame:
     """``field_id, a, bx, by``: the least-squares plane a + bx col + by row, solved from centred sums."""
     chosen = field.where(selected(None, masking)).select("field_id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "z")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators import spatial
 from terrace.operators.statistics import upper_median
 
 def _order():
@@ -104,6 +105,15 @@ def hurst_ranges(lines: DataFrame, sizes: tuple[int, ...] = (4, 8, 16)) -> DataF
     return blocks.groupBy("line_id", "size").agg(F.avg("r").alias("range"))
 
 
+def power_spectrum(lines: DataFrame, window: str = "hann", step: float = 1.0) -> DataFrame:
+    """``line_id, bin, k, psdf``: power spectral density of each line less its mean, up to half its number of values.
+
+    The window keeps the line's mean square. Lines without ids or values have no rows.
+    """
+    rows = lines.where("line_id is not null and y is not null").select(F.col("line_id").alias("field_id"), F.lit(0).alias("row"), F.col("i").alias("col"), F.col("y").alias("z"))
+    return spatial.power_spectrum(rows, window, step).select(F.col("field_id").alias("line_id"), "bin", "k", "psdf")
+
+
 # Curves: points of any spacing.
 
 

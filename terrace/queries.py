@@ -616,4 +616,4 @@ register(
     f"select cast(epoch(date_trunc('day', ts)) as bigint) as start, event_type, count(value) as n, {rounded('sum(value)', 'total')}, {rounded('min(value)', 'low')}, {rounded('max(value)', 'high')} from events group by all",
 )
 
-from terrace import queries_fields as _fields, queries_more as _more, queries_regions as _regions, queries_scaling as _scaling, queries_transforms as _transforms  # noqa: E402, F401  they register their queries here too
+from terrace import queries_fields as _fields, queries_local as _local, queries_more as _more, queries_paths as _paths, queries_regions as _regions, queries_scaling as _scaling, queries_transforms as _transforms  # noqa: E402, F401  they register their queries here too

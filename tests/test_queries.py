@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "customer supplier part orders lineitem events embeddings".split():
+    for name in "nation customer supplier part orders lineitem events embeddings".split():
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
