@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from terrace.functions.selection import Masking, Region, selected
 from terrace.operators.arithmetic import PLACE, per_field
 from terrace.operators.filters import median
+from terrace.operators.geometry import transpose
 from terrace.plans.durable import durable, maybe_broadcast
+from terrace.plans.lines import Line, map_lines
 
 
 def _unit(at: str, size: Column) -> Column:
@@ -306,3 +308,45 @@ def level_local_median(field: DataFrame, size: int) -> DataFrame:
     """Each pixel less the upper median of the window around it."""
     local = median(field, size).withColumnRenamed("z", "_local")
     return field.join(local, PLACE).select(*PLACE, (F.col("z") - F.col("_local")).alias("z"))
+
+
+def _windowed(z: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and rms of the window around each value, as the ends cut it, by running sums of values less their mean."""
+    at = np.arange(len(z))
+    low, high = np.maximum(at - before, 0), np.minimum(at + after, len(z) - 1) + 1
+    n, middle = high - low, z.mean()
+    sums = [np.concatenate([[0.0], np.cumsum((z - middle) ** p)]) for p in (1, 2)]
+    mean, square = ((s[high] - s[low]) / n for s in sums)
+    return mean + middle, np.sqrt(np.maximum(square - mean**2, 0))
+
+
+def revolved_arc(field: DataFrame, radius: float, direction: str = "x") -> DataFrame:
+    """The background under an arc of ``radius`` pixels rolled along rows (``x``), columns (``y``) or both, one after the other (``xy``).
+
+    Heights count in units that give the field the rms of such arcs side by side. Values further than 2.5 times the
+    rms below the mean of their surroundings of a radius do not hold the arc up. A row streams
+    through a task. Pixels without value take no part and have no row; subtract the result to level.
+    """
+    if direction not in ("x", "y", "xy"):
+        raise ValueError("direction is x, y or xy")
+    if direction == "xy":
+        return revolved_arc(revolved_arc(field, radius, "x"), radius, "y")
+    turned = (field if direction == "x" else transpose(field)).select(*PLACE, "z").where("z is not null")
+    known = per_field(turned, F.stddev_pop("z").alias("_rms"), (F.max("col") + 1).alias("_w"))
+
+    def roll(line: Line) -> Line:
+        z, at = line["z"].astype(float), line["col"].astype(np.int64)
+        size = int(min(radius, line["_w"][0]) + 0.5)
+        u = np.minimum(np.arange(size + 1) / radius, 1.0)
+        arc = line["_rms"][0] / np.sqrt(2 / 3 - np.pi / 16) * (u * u / (1 + np.sqrt(1 - u * u)))
+        mean, rms = _windowed(z, size // 2, (size - 1) // 2)
+        held = np.full(at[-1] + 1, np.inf)
+        held[at] = np.maximum(z, mean - 2.5 * rms)
+        low = held.copy()
+        for d in range(1, min(size, len(held) - 1) + 1):
+            np.minimum(low[:-d], held[d:] + arc[d], out=low[:-d])
+            np.minimum(low[d:], held[:-d] + arc[d], out=low[d:])
+        return {"col": at.astype(np.int32), "z": low[at]}
+
+    out = map_lines(known, ["field_id", "row"], ["col"], ["col", "z", "_rms", "_w"], roll, "col int, z double")
+    return out if direction == "x" else transpose(out)

@@ -39,6 +39,15 @@ register(
     f"with {PX}, k as (select regr_slope(z, c) b, regr_intercept(z, c) a from px where m <= 0) select {CELL}, {rounded('z - a - b * c', 'z')} from px, k",
 )
 
+# --- an arc of four pixels rolled along rows
+
+_ARC = "(select stddev_pop(z) from px) / sqrt(2.0 / 3 - pi() / 16) * (d * d / 16.0 / (1 + sqrt(1 - d * d / 16.0)))"
+register(
+    "revolved_arc", cells(lambda f: levelling.revolved_arc(f, 4.0)),
+    f"""with {PX}, he as (select r, c, greatest(z, avg(z) over o - 2.5 * stddev_pop(z) over o) t from px window o as (partition by r order by c rows between 2 preceding and 1 following)),
+    ar as (select d, {_ARC} u from (select unnest(range(-4, 5)) d)) select cast(0 as bigint) as field_id, he.r as "row", he.c as col, {rounded('min(b.t + u)', 'z')} from he, ar, he b where b.r = he.r and b.c = he.c + d group by he.r, he.c""",
+)
+
 # --- spectra
 
 _HANN = "(0.5 - 0.5 * cos(2 * pi() * (i + 0.5) / n))"

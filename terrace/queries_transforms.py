@@ -21,7 +21,7 @@ for _name, _of, _x, _y in (
 ):
     register(
         f"field_{_name}", cells(_of),
-        f"with {PX}{_WARPED.format(x=_x, y=_y)} select cast(0 as bigint) as field_id, px.r as \"row\", px.c as col, {rounded('coalesce(v, (select min(z) from px))', 'z')} from px left join v on v.r = px.r and v.c = px.c",
+        f"with {PX}{_WARPED.format(x=_x, y=_y)} select cast(0 as bigint) as field_id, px.r as \"row\", px.c as col, {rounded('coalesce(v, (select min(z) from px))', 'z', 3)} from px left join v on v.r = px.r and v.c = px.c", digits=3,
     )
 register("field_shift", cells(lambda f: geometry.shift(f, 3, -2, 1.5)), f"with {PX} select cast(0 as bigint) as field_id, a.r as \"row\", a.c as col, {rounded('coalesce(b.z, 1.5)', 'z')} from px a left join px b on b.r = a.r + 2 and b.c = a.c - 3")
 register("mask_shift", cells(lambda f: geometry.shift(f, -1, 4, of="m").withColumn("z", F.col("m"))), f"with {PX} select cast(0 as bigint) as field_id, a.r as \"row\", a.c as col, {rounded('coalesce(b.m, 0)', 'z')} from px a left join px b on b.r = a.r - 4 and b.c = a.c + 1")

@@ -63,3 +63,25 @@ def test_spectral_dimension(spark):
     k = np.arange(1, n // 2)
     z = sum(np.cos(2 * np.pi * f * (np.arange(n)[None, :] / n) + rng.uniform(0, 2 * np.pi, (400, 1))) / f for f in k)
     assert fractals.spectral_dimension(field(spark, z)).first().dimension == pytest.approx(2.5, abs=0.2)
+
+
+@pytest.mark.parametrize(("radius", "direction"), [(3.0, "x"), (4.6, "y"), (100.0, "x"), (5.0, "xy")])
+def test_revolved_arc(spark, radius, direction):
+    def rolled(z, rms):
+        out = np.empty_like(z)
+        size = int(min(radius, z.shape[1]) + 0.5)
+        arc = lambda d: rms / np.sqrt(2 / 3 - np.pi / 16) * (1 - np.sqrt(max(1 - (d / radius) ** 2, 0)))
+        for r, line in enumerate(z):
+            held = []
+            for i, v in enumerate(line):
+                near = line[max(i - size // 2, 0) : i + (size - 1) // 2 + 1]
+                held.append(max(v, near.mean() - 2.5 * near.std()))
+            out[r] = [min(held[j] + arc(abs(j - i)) for j in range(max(i - size, 0), min(i + size, len(line) - 1) + 1)) for i in range(len(line))]
+        return out
+
+    z = np.random.default_rng(11).normal(0, 3, (9, 14))
+    z[4, 6] = -60.0
+    want = z
+    for axis in direction:
+        want = rolled(want, want.std()) if axis == "x" else rolled(want.T, want.std()).T
+    assert array(levelling.revolved_arc(field(spark, z), radius, direction), z.shape) == pytest.approx(want)
