@@ -103,34 +103,43 @@ def _arc(start: Column, stop: Column) -> Column:
     return half * sum((float(w) * _speed(start + half * (1 + float(x))) for x, w in zip(NODES, WEIGHTS)), F.lit(0.0))
 
 
-def _cut(cubics: DataFrame) -> DataFrame:
-    """The pieces of the segments, from time ``a`` to time ``b``."""
-    cut = cubics.select("*", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("_k"))
-    return cut.withColumns({"a": F.col("_k") / PIECES, "b": (F.col("_k") + 1) / PIECES})
+def _measured(cubics: DataFrame) -> DataFrame:
+    """The segments with the lengths of their pieces, ``_ls``, and their own, ``_l``."""
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: _arc(k / PIECES, (k + 1) / PIECES))
+    return cubics.withColumn("_ls", pieces).withColumn("_l", F.aggregate("_ls", F.lit(0.0), lambda s, v: s + v))
 
 
 def _pieces(cubics: DataFrame) -> DataFrame:
-    """The segments' pieces with the arc length ``s`` and ``e`` at which each begins and ends, and the path's, ``length``."""
-    known = durable(_cut(cubics).withColumns({"_l": _arc(F.col("a"), F.col("b")), "_block": F.floor(F.col("j") / BLOCK)}))
-    along = Window.partitionBy("path_id", "_block").orderBy("j", "_k")
+    """The segments' pieces from time ``a`` to ``b``, with the arc length ``s`` and ``e`` at which each begins and ends, and the path's, ``length``.
+
+    Only segments are sorted and shuffled; they are cut into pieces last.
+    """
+    known = durable(_measured(cubics).withColumn("_block", F.floor(F.col("j") / BLOCK)))
+    along = Window.partitionBy("path_id", "_block").orderBy("j")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0.0)
     run = known.withColumns({"_s": F.coalesce(F.sum("_l").over(before), none), "_e": F.sum("_l").over(along.rowsBetween(Window.unboundedPreceding, 0))})
-    # The blocks' last values, summed up in order, so that a piece ends exactly where the next begins.
+    # The blocks' last values, summed up in order, so that a segment ends exactly where the next begins.
     totals = run.groupBy("path_id", "_block").agg(F.max("_e").alias("_e"))
     by_path = Window.partitionBy("path_id").orderBy("_block")
     all_of = Window.partitionBy("path_id")
     starts = totals.withColumns({"_base": F.coalesce(F.sum("_e").over(by_path.rowsBetween(Window.unboundedPreceding, -1)), none), "_sum": F.sum("_e").over(by_path)})
     starts = durable(starts.select("path_id", "_block", "_base", F.max("_sum").over(all_of).alias("length")))
     placed = run.join(maybe_broadcast(starts, 48), ["path_id", "_block"])
-    return placed.withColumns({"s": F.col("_base") + F.col("_s"), "e": F.col("_base") + F.col("_e")}).drop("_s", "_e", "_base", "_block")
+    sums = F.aggregate("_ls", F.array(none), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+    cut = placed.withColumns({"_cs": sums, "_start": F.col("_base") + F.col("_s"), "_stop": F.col("_base") + F.col("_e")}).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    inner = lambda k: F.col("_start") + F.get("_cs", k)
+    own = cut.withColumns({
+        "a": F.col("_k") / PIECES, "b": (F.col("_k") + 1) / PIECES, "_l": F.get("_ls", "_k"),
+        "s": inner(F.col("_k")), "e": F.when(F.col("_k") == PIECES - 1, F.col("_stop")).otherwise(inner(F.col("_k") + 1)),
+    })
+    return own.drop("_s", "_e", "_base", "_block", "_cs", "_ls", "_start", "_stop")
 
 
 def lengths(paths: DataFrame, slackness: float = 1 / math.sqrt(2), closed: bool = False) -> DataFrame:
     """``path_id, n, length``; 0 for a path of one point, no row for one of none."""
     points = _points(paths)
-    arc = _cut(_cubics(points, slackness, closed)).select("path_id", _arc(F.col("a"), F.col("b")).alias("_l"))
-    sums = arc.groupBy("path_id").agg(F.sum("_l").alias("length"))
+    sums = _measured(_cubics(points, slackness, closed)).groupBy("path_id").agg(F.sum("_l").alias("length"))
     sizes = points.where("j = 0").select("path_id", "n")
     return sizes.join(sums, "path_id", "left").select("path_id", "n", F.coalesce("length", F.lit(0.0)).alias("length"))
 
