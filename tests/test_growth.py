@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, levelling
+from terrace.operators import distances, filters, levelling
 
 
 def plan(df):
@@ -29,3 +29,13 @@ def test_masked_pixels_read_a_row_once(spark):
     assert "unboundedfollowing" not in plan(levelling.interpolate_masked(turned(column(spark, 8)))).lower()
     found = levelling.interpolate_masked(turned(column(spark, 1000))).collect()
     assert sorted((r.col, round(r.z, 6)) for r in found) == [(i, float(min(i, 900))) for i in range(1000)]
+
+
+def test_kernels_gather_a_window_once(spark):
+    """Neither images of each pixel nor a join on the gathered windows, which was computed three times for its field's size."""
+    field = column(spark, 12).drop("m")
+    for made in (filters.gaussian(field, 1.0), filters.kernel5(field, "laplace_gauss"), filters.gradient(field)):
+        assert "Generate" not in plan(made) and "Join" not in plan(made)
+    # Wider than the field: mirrored over and over.
+    found = filters.convolve(field.where("row < 2"), [1.0, 0, 0, 0, 0, 0, 0], 1, 7).collect()
+    assert sorted((r.row, r.z) for r in found) == [(0, 1.0), (1, 1.0)]
