@@ -1,8 +1,9 @@
 """Work that must not grow faster than the input: frames, sums and shuffles of the operators that the driver's larger tables reach."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, filters, levelling
+from terrace.operators import distances, distributions, filters, levelling
 
 
 def plan(df):
@@ -39,3 +40,24 @@ def test_kernels_gather_a_window_once(spark):
     # Wider than the field: mirrored over and over.
     found = filters.convolve(field.where("row < 2"), [1.0, 0, 0, 0, 0, 0, 0], 1, 7).collect()
     assert sorted((r.row, r.z) for r in found) == [(0, 1.0), (1, 1.0)]
+
+
+def test_entropy_of_all_levels_from_one_sort(spark):
+    """No bin is copied to every level; bins that go over batches and partitions count once."""
+    rng = np.random.default_rng(3)
+    cloud = [(f, float(np.exp(x)), float(y)) for f in range(2) for x, y in rng.normal(size=(500, 2)).round(1)]
+    field = spark.createDataFrame(cloud, "field_id int, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = distributions.entropy_at_scales(field, ("x", "y"))
+        assert "Generate" not in plan(made)
+        found = {(r.field_id, r.level): r.entropy for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for f in range(2):
+        at = np.array([(x, y) for g, x, y in cloud if g == f])
+        low, span = at.min(axis=0), np.ptp(at, axis=0)
+        for level in range(14):
+            counts = np.unique(np.minimum(np.floor((at - low) / span * 2**level), 2**level - 1), axis=0, return_counts=True)[1]
+            assert abs(found[f, level] - np.log(500) - np.log(span.prod() / 4**level) + (counts * np.log(counts)).sum() / 500) < 1e-9
+    assert len(found) == 28
