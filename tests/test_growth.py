@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, levelling
+from terrace.operators import distances, distributions, filters, levelling, points
 
 
 def plan(df):
@@ -61,3 +61,25 @@ def test_entropy_of_all_levels_from_one_sort(spark):
             counts = np.unique(np.minimum(np.floor((at - low) / span * 2**level), 2**level - 1), axis=0, return_counts=True)[1]
             assert abs(found[f, level] - np.log(500) - np.log(span.prod() / 4**level) + (counts * np.log(counts)).sum() / 500) < 1e-9
     assert len(found) == 28
+
+
+def test_nearest_points_of_a_dense_cloud(spark, monkeypatch):
+    """A query meets a few points of its place and around, however dense the cloud is."""
+    cloud = [(0, i, float(i % 40) / 100, float(i // 40 % 40) / 100) for i in range(6400)]
+    dense = spark.createDataFrame(cloud, "surface_id int, pt_id long, x double, y double")
+    tried, within = [], points._within
+    monkeypatch.setattr(points, "_within", lambda left, right: tried.append(within(left, right).count()) or within(left, right))
+    found = points.nearest(dense.where("pt_id % 1000 = 7"), dense, 2.0, 3).collect()
+    assert sum(tried) < 7 * 3 * 30
+    at = {i: (x, y) for _, i, x, y in cloud}
+    for q in {r.left_id for r in found}:
+        best = sorted((float(np.hypot(at[q][0] - x, at[q][1] - y)), i) for i, (x, y) in at.items())[:3]
+        assert sorted((r.distance, r.right_id) for r in found if r.left_id == q) == best
+    assert len(found) == 21
+
+
+def test_pairs_of_crowded_cells_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(points, "PAIRS", 100)
+    cloud = spark.range(300).select(F.lit(0).alias("surface_id"), F.col("id").alias("pt_id"), (F.col("id") % 30).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    made = points.within(cloud, cloud, 1.0)
+    assert made.count() == 300 * 30 - 2 * 100 and made.rdd.getNumPartitions() == 89
