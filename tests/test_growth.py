@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, levelling, points
+from terrace.operators import distances, distributions, filters, grains, levelling, points
 
 
 def plan(df):
@@ -83,3 +83,26 @@ def test_pairs_of_crowded_cells_spread_over_tasks(spark, monkeypatch):
     cloud = spark.range(300).select(F.lit(0).alias("surface_id"), F.col("id").alias("pt_id"), (F.col("id") % 30).cast("double").alias("x"), F.lit(0.0).alias("y"))
     made = points.within(cloud, cloud, 1.0)
     assert made.count() == 300 * 30 - 2 * 100 and made.rdd.getNumPartitions() == 89
+
+
+def test_grains_are_joined_within_strips_first(spark, monkeypatch):
+    """Only what touches across the borders of strips is left for rounds over the whole table."""
+    seen, components = [], grains.connected_components
+    monkeypatch.setattr(grains, "connected_components", lambda edges, *how: seen.append(edges.count()) or components(edges, *how))
+    rng = np.random.default_rng(5)
+    mask = rng.random((200, 12)) < 0.55
+    field = spark.createDataFrame([(0, r, c, float(mask[r, c])) for r in range(200) for c in range(12)], "field_id int, row int, col int, m double")
+    for corners in (False, True):
+        found = {(p.row, p.col): p.grain for p in grains.number(field, corners).collect()}
+        want, at = {}, 0
+        for r, c in zip(*np.nonzero(mask)):
+            if (r, c) in want:
+                continue
+            at, todo = at + 1, [(int(r), int(c))]
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < 200 and 0 <= x < 12 and mask[y, x] and (y, x) not in want:
+                    want[y, x] = at
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not i or not j]
+        assert found == want
+    assert max(seen) <= 3 * 12
