@@ -24,7 +24,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates: 0.8 or more of their five-word shingles in common."""
+    """One document, that of smallest id, of each group of near-duplicates: 0.8 or more of their five-word shingles in common.
+
+    Candidates come by SimHash with Hamming balls, those it cannot reach by MinHash bands; each link is verified.
+    """
     return jaccard.deduplicate(docs)
 
 

@@ -44,7 +44,11 @@ def fingerprint_of(text: bytes | None, k: int = SHINGLE_WORDS, seed: int = SEED)
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], "<u8")
+    return majority(np.array([digest(s, seed) for s in shingles], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each set if over half of the 64-bit hashes have it; 0 of none."""
     bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
     counts = np.add.reduce(bits, axis=0, dtype=np.uint16 if len(h) < 1 << 16 else np.int64)
     return int.from_bytes(np.packbits(counts > len(h) // 2, bitorder="little").tobytes(), "little")

@@ -57,3 +57,16 @@ def test_rows_without_id_repeats_and_empty_table(spark):
     got = [tuple(r) for r in jaccard.deduplicate(df).collect()]
     assert len(got) == 2 and (3, "x y z") in got
     assert jaccard.deduplicate(df.limit(0)).count() == 0
+
+
+def test_fingerprints_alone_find_the_closest_copies(spark, monkeypatch):
+    """Without any band the stage still joins texts whose SimHash fingerprints are at most four bits apart."""
+    monkeypatch.setattr(jaccard, "_band_members", lambda nodes: nodes.selectExpr("0L value", "node", "n", "0L size").limit(0))
+    rng = random.Random(5)
+    rows = []
+    for i in range(6):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(1500)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words, "last"])), (10 * i + 2, " ".join(words[::-1]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert got == {i for i, _ in rows if i % 10 != 1} == kept(rows)
