@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, grains, levelling, points
+from terrace.operators import distances, distributions, filters, grains, levelling, points, statistics, volume
 
 
 def plan(df):
@@ -106,3 +106,17 @@ def test_grains_are_joined_within_strips_first(spark, monkeypatch):
                     todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not i or not j]
         assert found == want
     assert max(seen) <= 3 * 12
+
+
+def test_clusters_write_profiles_once(spark, monkeypatch):
+    """Rounds write centres and medians, not the profiles again."""
+    rng = np.random.default_rng(4)
+    rows = [(0, lev, r, c, float(rng.normal() + 2 * (r % 2) * lev)) for r in range(20) for c in range(10) for lev in range(3)]
+    sizes = []
+    for module, name in ((volume, "durable"), (volume, "written"), (statistics, "durable")):
+        keep = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, keep=keep: (lambda made: sizes.append(made.count()) or made)(keep(df)))
+    for centre in ("mean", "median"):
+        sizes.clear()
+        assert volume.clusters(spark.createDataFrame(rows, "brick_id int, lev int, row int, col int, w double"), 2, centre=centre).count() == 200
+        assert len(sizes) > 5 and sum(n >= 200 for n in sizes) == 1
