@@ -109,12 +109,12 @@ def _measured(cubics: DataFrame) -> DataFrame:
     return cubics.withColumn("_ls", pieces).withColumn("_l", F.aggregate("_ls", F.lit(0.0), lambda s, v: s + v))
 
 
-def _pieces(cubics: DataFrame) -> DataFrame:
-    """The segments' pieces from time ``a`` to ``b``, with the arc length ``s`` and ``e`` at which each begins and ends, and the path's, ``length``.
+def _placed(cubics: DataFrame) -> DataFrame:
+    """The segments with the arc length at which each begins and ends, ``_start`` and ``_stop``, and the path's, ``length``.
 
-    Only segments are sorted and shuffled; they are cut into pieces last.
+    Only coefficients and lengths are kept; the pieces of the segments that are wanted are measured again.
     """
-    known = durable(_measured(cubics).withColumn("_block", F.floor(F.col("j") / BLOCK)))
+    known = durable(_measured(cubics).drop("_ls").withColumn("_block", F.floor(F.col("j") / BLOCK)))
     along = Window.partitionBy("path_id", "_block").orderBy("j")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0.0)
@@ -126,14 +126,19 @@ def _pieces(cubics: DataFrame) -> DataFrame:
     starts = totals.withColumns({"_base": F.coalesce(F.sum("_e").over(by_path.rowsBetween(Window.unboundedPreceding, -1)), none), "_sum": F.sum("_e").over(by_path)})
     starts = durable(starts.select("path_id", "_block", "_base", F.max("_sum").over(all_of).alias("length")))
     placed = run.join(maybe_broadcast(starts, 48), ["path_id", "_block"])
-    sums = F.aggregate("_ls", F.array(none), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
-    cut = placed.withColumns({"_cs": sums, "_start": F.col("_base") + F.col("_s"), "_stop": F.col("_base") + F.col("_e")}).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    return placed.withColumns({"_start": F.col("_base") + F.col("_s"), "_stop": F.col("_base") + F.col("_e")}).drop("_s", "_e", "_base", "_block", "_l")
+
+
+def _pieces(placed: DataFrame) -> DataFrame:
+    """Pieces of segments (of ``_placed``) from time ``a`` to ``b``, with the arc length ``s`` and ``e`` at which each begins and ends."""
+    sums = F.aggregate("_ls", F.array(F.lit(0.0)), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+    cut = _measured(placed).withColumn("_cs", sums).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
     inner = lambda k: F.col("_start") + F.get("_cs", k)
     own = cut.withColumns({
         "a": F.col("_k") / PIECES, "b": (F.col("_k") + 1) / PIECES, "_l": F.get("_ls", "_k"),
         "s": inner(F.col("_k")), "e": F.when(F.col("_k") == PIECES - 1, F.col("_stop")).otherwise(inner(F.col("_k") + 1)),
     })
-    return own.drop("_s", "_e", "_base", "_block", "_cs", "_ls", "_start", "_stop")
+    return own.drop("_cs", "_ls", "_start", "_stop")
 
 
 def lengths(paths: DataFrame, slackness: float = 1 / math.sqrt(2), closed: bool = False) -> DataFrame:
@@ -150,14 +155,19 @@ def sample_uniformly(paths: DataFrame, samples: int | None, slackness: float = 1
     Samples of an open path stand at both ends (a single one in the middle), those of a
     closed one begin at its first point. With ``samples`` None a path has one for each unit of its
     length, rounded, and one more. A path of no length gives its first point with tangents of 0,
-    as does a place at which the path stands still. Every piece of a path emits the samples that fall into it.
+    as does a place at which the path stands still. Segments into which samples fall are cut into
+    pieces, and every piece emits the samples that fall into it.
     """
     points = _points(paths)
     count = F.lit(samples).cast("long") if samples is not None else F.floor(F.col("length") + 1.5)
-    cut = _pieces(_cubics(points, slackness, closed)).where("length > 0").withColumn("_n", count)
+    whole = _placed(_cubics(points, slackness, closed)).where("length > 0").withColumn("_n", count)
     step = F.col("length") / (F.col("_n") if closed else F.greatest(F.col("_n") - 1, F.lit(1)))
+    last = F.col("j") == F.col("n") - (1 if closed else 2)
+    # A segment's pieces emit no others than these; a single sample of an open path stands anywhere.
+    held = last | (F.ceil(F.col("_start") / step) < F.ceil(F.col("_stop") / step)) | (F.col("_n") == 1)
+    cut = _pieces(whole.where(held))
     first = F.ceil(F.col("s") / step)
-    is_last = (F.col("_k") == PIECES - 1) & (F.col("j") == F.col("n") - (1 if closed else 2))
+    is_last = (F.col("_k") == PIECES - 1) & last
     until = F.when(is_last, F.col("_n") - 1).otherwise(F.least(F.ceil(F.col("e") / step), F.col("_n")) - 1)
     hits = cut.withColumns({"_step": step, "_first": first, "_until": until}).where("_first <= _until").withColumn("k", F.explode(F.sequence("_first", "_until")))
     middle = None
@@ -176,7 +186,7 @@ def sample_uniformly(paths: DataFrame, samples: int | None, slackness: float = 1
     moving = at.select("path_id", "k", _at("x", t).alias("x"), _at("y", t).alias("y"), _velocity("x", t).alias("_vx"), _velocity("y", t).alias("_vy"))
     unit = lambda c: F.coalesce(F.try_divide(F.col(c), F.hypot("_vx", "_vy")), F.lit(0.0))
     moving = moving.select("path_id", "k", "x", "y", unit("_vx").alias("tx"), unit("_vy").alias("ty"))
-    firsts = points.where("j = 0").join(cut.select("path_id").distinct(), "path_id", "left_anti")
+    firsts = points.where("j = 0").join(whole.select("path_id").distinct(), "path_id", "left_anti")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples or 1).cast("long") - 1))
     return moving.union(firsts.select("path_id", k.alias("k"), "x", "y", F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty")))
 

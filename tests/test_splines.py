@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_regions import field
 
 from terrace.operators import splines
@@ -100,3 +101,13 @@ def test_straighten(spark):
     across = splines.straighten(field(spark, z), paths(spark, [(2.5, 0.5), (12.5, 0.5)]), 5).toPandas()
     assert across.m.sum() == 2 * 11  # two of five lines lie off the field
     assert across[across.m > 0].z.to_numpy() == pytest.approx(across[across.m == 0].z.mean())
+
+
+def test_only_segments_with_samples_are_cut(spark, monkeypatch):
+    """Three samples of a path of 500 points cut a few segments, not all, and give the same places."""
+    cut, pieces = [], splines._pieces
+    monkeypatch.setattr(splines, "_pieces", lambda placed: (cut.append(placed.count()), pieces(placed))[1])
+    paths = spark.range(500).select(F.lit(0).alias("path_id"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"), F.lit(2.0).alias("y"))
+    got = sorted((r.k, round(r.x, 6), r.y, round(r.tx, 6)) for r in splines.sample_uniformly(paths, 3).collect())
+    assert got == [(0, 0.0, 2.0, 1.0), (1, 249.5, 2.0, 1.0), (2, 499.0, 2.0, 1.0)]
+    assert cut[0] <= 4
