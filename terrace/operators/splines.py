@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.operators import geometry
 from terrace.operators.arithmetic import per_field
@@ -104,9 +106,25 @@ def _arc(start: Column, stop: Column) -> Column:
 
 
 def _measured(cubics: DataFrame) -> DataFrame:
-    """The segments with the lengths of their pieces, ``_ls``, and their own, ``_l``."""
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: _arc(k / PIECES, (k + 1) / PIECES))
-    return cubics.withColumn("_ls", pieces).withColumn("_l", F.aggregate("_ls", F.lit(0.0), lambda s, v: s + v))
+    """The segments with the lengths of their pieces, ``_ls``, and their own, ``_l``; the quadrature runs over Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            of = {c: batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("x1", "x2", "x3", "y1", "y2", "y3")}
+            sums = np.zeros((batch.num_rows, PIECES))
+            starts, half = np.arange(PIECES) / PIECES, 0.5 / PIECES
+            for node, weight in zip(NODES, WEIGHTS):
+                t = starts + half * (1 + node)
+                sums += weight * np.hypot(*(of[f"{c}1"] + t * (2 * of[f"{c}2"] + t * 3 * of[f"{c}3"]) for c in "xy"))
+            sums *= half
+            whole = np.zeros(batch.num_rows)
+            for k in range(PIECES):  # in the pieces' order, as they are summed up later
+                whole += sums[:, k]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * PIECES), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(whole)], [*batch.schema.names, "_ls", "_l"])
+
+    extra = [T.StructField("_ls", T.ArrayType(T.DoubleType())), T.StructField("_l", T.DoubleType())]
+    return cubics.mapInArrow(run, T.StructType([*cubics.schema.fields, *extra]))
 
 
 def _placed(cubics: DataFrame) -> DataFrame:
