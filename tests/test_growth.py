@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, grains, levelling, points, statistics, volume
+from terrace.operators import distances, distributions, filters, grains, levelling, points, statistics, volume, watershed
+from terrace.plans import tiles
 
 
 def plan(df):
@@ -120,3 +121,25 @@ def test_clusters_write_profiles_once(spark, monkeypatch):
         sizes.clear()
         assert volume.clusters(spark.createDataFrame(rows, "brick_id int, lev int, row int, col int, w double"), 2, centre=centre).count() == 200
         assert len(sizes) > 5 and sum(n >= 200 for n in sizes) == 1
+
+
+def test_watershed_follows_borders_of_tiles_alone(spark, monkeypatch):
+    """Rounds see the pixels on tiles' borders, touching pixels are not copied, and results are those of one tile."""
+    y, x = np.mgrid[0:40, 0:36]
+    z = np.hypot(y - 3, x - 30) + np.random.default_rng(6).random(y.shape) * (x < 12)
+    field = spark.createDataFrame([(0, r, c, float(z[r, c])) for r in range(40) for c in range(36)], "field_id int, row int, col int, z double")
+    sizes, want = [], None
+    keep = watershed.written
+    monkeypatch.setattr(watershed, "written", lambda df: (lambda made: sizes.append(made.count()) or made)(keep(df)))
+    for side in (64, 8):
+        monkeypatch.setattr(tiles, "TILE", side)
+        sizes.clear()
+        basins = watershed.basins(field)
+        rounds = max(sizes, default=0)
+        met = watershed.saddles(basins)
+        assert "_s#" not in plan(met)
+        lines = watershed.segments(watershed.watershed(field, 0.3))
+        found = [sorted(map(tuple, df.collect())) for df in (basins, met, lines)]
+        want = want or found
+        assert found == want
+    assert 0 < rounds < 1440 * 0.55
