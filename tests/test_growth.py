@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, grains, levelling, points, statistics, volume, watershed
+from terrace.operators import distances, distributions, filters, fractals, geometry, grains, levelling, points, statistics, volume, watershed
 from terrace.plans import tiles
 
 
@@ -143,3 +143,43 @@ def test_watershed_follows_borders_of_tiles_alone(spark, monkeypatch):
         want = want or found
         assert found == want
     assert 0 < rounds < 1440 * 0.55
+
+
+def test_levels_of_triangles_are_not_copied(spark, monkeypatch):
+    """Corners of small squares are not sent out by level; sums over tiles are those of the whole field."""
+    z = np.random.default_rng(8).random((33, 33))
+    field = spark.createDataFrame([(0, r, c, float(z[r, c])) for r in range(33) for c in range(33)], "field_id int, row int, col int, z double")
+    h, heron = z * 32 / np.ptp(z), lambda a, b, c: np.sqrt(np.maximum((a + b + c) * (b + c - a) * (a + c - b) * (a + b - c), 0)) / 4
+    for side in (4, 256):
+        monkeypatch.setattr(tiles, "TILE", side)
+        found = {r.level: r.log_area for r in fractals.triangulation(field).collect()}
+        for level in range(6):
+            s = 32 >> level
+            g = h[::s, ::s]
+            a, b, c, d = g[:-1, :-1], g[:-1, 1:], g[1:, :-1], g[1:, 1:]
+            across = np.hypot(s * 2**0.5, c - b)
+            area = heron(np.hypot(s, a - b), np.hypot(s, a - c), across) + heron(np.hypot(s, c - d), np.hypot(s, b - d), across)
+            assert abs(found[level] - np.log(area.sum())) < 1e-12
+        assert len(found) == 6
+
+
+def test_resampling_sends_a_pixel_to_tiles(spark, monkeypatch):
+    """One row for each tile that a pixel weighs in, whatever number of new pixels; nulls weigh nothing, missing pixels leave gaps."""
+    z = np.random.default_rng(9).random((7, 5))
+    rows = [(0, r, c, None if (r, c) in ((2, 2), (0, 0)) else float(z[r, c])) for r in range(7) for c in range(5) if (r, c) != (6, 0)]
+    field = spark.createDataFrame(rows, "field_id int, row int, col int, z double")
+    values = {(r, c): v for _, r, c, v in rows}
+    for side, linear, (xres, yres) in ((4, True, (11, 9)), (256, True, (40, 3)), (4, False, (11, 9)), (2, True, (2, 2))):
+        monkeypatch.setattr(tiles, "TILE", side)
+        sent = geometry.resample(field, xres, yres, linear)
+        assert "_r.w" not in plan(sent)
+        want = {}
+        for t in range(yres):
+            for s in range(xres):
+                y, x = min(max((t + 0.5) / (yres / 7) - 0.5, 0), 6), min(max((s + 0.5) / (xres / 5) - 0.5, 0), 4)
+                weigh = (lambda at, to: max(1 - abs(at - to), 0)) if linear else (lambda at, to: float(np.floor(at + 0.5) == to))
+                met = [(v, weigh(y, r) * weigh(x, c)) for (r, c), v in values.items() if weigh(y, r) * weigh(x, c) > 0]
+                if met:
+                    known = [v * w for v, w in met if v is not None]
+                    want[t, s] = round(sum(known), 9) if known else None
+        assert {(r.row, r.col): r.z if r.z is None else round(r.z, 9) for r in sent.collect()} == want
