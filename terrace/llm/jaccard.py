@@ -122,7 +122,7 @@ def _components(members: DataFrame, sets: DataFrame, near: DataFrame) -> DataFra
     # What fingerprints have joined needs no comparison.
     ends = [first.toDF(c, f"_{c}") for c in "xy"]
     stars = durable(stars.join(ends[0], "x", "left").join(ends[1], "y", "left").where("not (_x <=> _y) or _x is null").select("x", "y"))
-    parts = durable(connected_components(_similar(stars, sets).union(close), "x", "y"))
+    parts = durable(connected_components(_similar(stars, sets).union(first.toDF("x", "y")), "x", "y"))
     # What the stars leave apart in a value: all but its largest part, against the others.
     placed = durable(members.join(parts, "node", "left").select("value", "node", "n", "size", F.coalesce("component", "node").alias("part")))
     shares = placed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))

@@ -292,7 +292,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     known = every.where(kind.isin("given_m", "given_f")).groupBy("real").agg(F.max("canon").alias("known"))
     unknown = every.where(kind == "given_x").join(known, "real").select("canon", "known")
     alias = durable(unknown)
-    todo, done = every.join(alias, "canon", "left_anti"), []
+    # Written before values are drawn: each shuffle that ends has the rest of a plan optimised again, the long expressions too.
+    todo, done = durable(every.join(alias, "canon", "left_anti")), []
     for attempt in attempts():
         if attempt == DRAWS:
             numbers = durable(todo.where(kind.isin(*_FIXED_FORMAT)))
@@ -301,7 +302,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
                 todo = durable(todo.join(done[-1], "canon", "left_anti"))
                 if todo.isEmpty():
                     break
-        drawn = todo.select("canon", "space", surrogate(F.col("canon"), key, attempt).alias("value"))
+        drawn = durable(todo.select("canon", "space", surrogate(F.col("canon"), key, attempt).alias("value")))
         taken = reduce(DataFrame.union, [d.select("space", "value") for d in done], every.select("space", F.col("real").alias("value"))).distinct()
         free = drawn.join(taken, ["space", "value"], "left_anti")
         done.append(durable(free.groupBy("space", "value").agg(F.min("canon").alias("canon"))))
@@ -405,7 +406,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     read = dirty.select("row", "found", "at", *parts).select("row", "found", "at", wanted)
     each = durable(read.select("at", F.explode(F.array_distinct(F.flatten("wanted"))).alias("canon")))
     values = assign(each, key)
-    maps = each.join(values, "canon").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("canon", "value"))).alias("values"))
+    maps = durable(each.join(values, "canon").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("canon", "value"))).alias("values")))
     joined = read.join(maps, "at")
     said = F.zip_with("found", "wanted", lambda e, w: rendered(e["text"], e["kind"], w, F.col("values")))
     pieces = F.split(F.col("row").getField(text), ANY, -1)
