@@ -141,6 +141,43 @@ def add_expected(ends, chances: list[float], logs: list[float], out: list[float]
                     out[i] += p
 
 
+def _reached(made: Pieces, word: str, chances: list[float]) -> tuple[list, list[float]] | None:
+    """Pieces in the marked word by their last places, and the probability of reaching each place by plain products.
+
+    None if a character is no piece or the products become tiny.
+    """
+    marked = SPACE + word
+    if not made.single.issuperset(marked):
+        return None
+    found = list(made.automaton.iter(marked))
+    alpha = [0.0] * (len(marked) + 1)
+    alpha[0] = 1.0
+    for last, (size, i) in found:
+        alpha[last + 1] += alpha[last + 1 - size] * chances[i]
+    return (found, alpha) if alpha[-1] >= SMALLEST else None
+
+
+def add_word(made: Pieces, word: str, chances: list[float], logs: list[float], out: list[float], weight: float) -> None:
+    """``add_expected`` for a word; without a list of arcs where each is one piece."""
+    if not (way := _reached(made, word, chances)):
+        add_expected(made.arcs(word), chances, logs, out, weight)
+        return
+    found, alpha = way
+    beta = [0.0] * len(alpha)
+    beta[-1] = weight / alpha[-1]
+    for last, (size, i) in reversed(found):
+        if b := beta[last + 1]:
+            p = b * chances[i]
+            beta[last + 1 - size] += p
+            out[i] += p * alpha[last + 1 - size]
+
+
+def log_chance(made: Pieces, word: str, chances: list[float], logs: list[float]) -> float:
+    """The word's log probability, all segmentations summed."""
+    way = _reached(made, word, chances)
+    return math.log(way[1][-1]) if way else forward(made.arcs(word), logs)[-1]
+
+
 def held_out(doc_id, of: int = 7, remainder: int = 2):
     """Column: the document is kept away from training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == remainder
@@ -185,7 +222,7 @@ def fit(vocabulary: DataFrame, texts: int, path: str, rounds: int = ROUNDS) -> n
             chances, sums = [math.exp(x) for x in logs], [0.0] * made.n
             for batch in batches:
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    add_expected(made.arcs(word.decode(errors="replace")), chances, logs, sums, n)
+                    add_word(made, word.decode(errors="replace"), chances, logs, sums, n)
             out = np.array(sums)
             used = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(out[used])], ["piece", "n"])
@@ -224,9 +261,10 @@ def score(docs: DataFrame, path: str, text: str = "text", sent_share: int = SENT
 
     def weigh(batches):
         made, logs = pieces_of(path), sent.value
+        chances = [math.exp(x) for x in logs]
         for batch in batches:
             n = np.asarray(batch.column(1), np.float64)
-            own = [forward(made.arcs(w.decode(errors="replace")), logs)[-1] / ln10 for w in batch.column(0).to_pylist()]
+            own = [log_chance(made, w.decode(errors="replace"), chances, logs) / ln10 for w in batch.column(0).to_pylist()]
             columns = [pa.array(n > 0), pa.array(np.log10((n + 1) / over)), pa.array(own, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["word", "m", "known", "base", "own"])
 

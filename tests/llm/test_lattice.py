@@ -103,3 +103,24 @@ def test_expected_counts_by_products_and_in_logs():
         lattice.add_expected(made.arcs(word), chances, logs, a, 3.0)
         lattice.expected_counts(made.arcs(word), logs, b, 3.0)
         assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_words_of_known_characters_make_no_arcs(monkeypatch):
+    """Words whose characters are all pieces are counted and scored from the automaton's matches alone, with the same results."""
+    made = lattice.pieces_of(PATH)
+    logs = np.log(np.maximum(made.prior, 1e-12)).tolist()
+    chances = [math.exp(x) for x in logs]
+    words = ("a", "reading", "Ünï日本", "q" * 400, "\u0007x", "\U0001F9FF", "")
+    want = []
+    for word in words:
+        out = np.zeros(made.n)
+        lattice.expected_counts(made.arcs(word), logs, out, 3.0)
+        want.append((lattice.forward(made.arcs(word), logs)[-1], out))
+    made_arcs, arcs = [], made.arcs
+    monkeypatch.setattr(made, "arcs", lambda word: made_arcs.append(word) or arcs(word))
+    for word, (log, counts) in zip(words, want):
+        out = [0.0] * made.n
+        lattice.add_word(made, word, chances, logs, out, 3.0)
+        assert np.allclose(out, counts, rtol=1e-9, atol=1e-12)
+        assert lattice.log_chance(made, word, chances, logs) == pytest.approx(log, rel=1e-12)
+    assert "reading" not in made_arcs and "\U0001F9FF" in made_arcs
