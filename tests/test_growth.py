@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from terrace.operators import distances, distributions, filters, fractals, geometry, grains, levelling, points, statistics, volume, watershed
+from terrace.operators import components, distances, distributions, filters, fractals, geometry, grains, levelling, points, statistics, volume, watershed
 from terrace.plans import tiles
 
 
@@ -183,3 +183,12 @@ def test_resampling_sends_a_pixel_to_tiles(spark, monkeypatch):
                     known = [v * w for v, w in met if v is not None]
                     want[t, s] = round(sum(known), 9) if known else None
         assert {(r.row, r.col): r.z if r.z is None else round(r.z, 9) for r in sent.collect()} == want
+
+
+def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
+    """Each broadcast of a round costs the driver a job, a thread and a table."""
+    plans, keep = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: plans.append(plan(df)) or keep(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src long, dst long")
+    assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert all(p.count("Join") == p.count("strategy=merge") for p in plans) and "strategy=merge" in plans[1]
