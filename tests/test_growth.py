@@ -1,10 +1,12 @@
 """Work that must not grow faster than the input: frames, sums and shuffles of the operators that the driver's larger tables reach."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from terrace.operators import components, distances, distributions, filters, fractals, geometry, grains, levelling, points, statistics, volume, watershed
-from terrace.plans import tiles
+from terrace.plans import durable, tiles
 
 
 def plan(df):
@@ -192,3 +194,32 @@ def test_rounds_of_components_do_not_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src long, dst long")
     assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     assert all(p.count("Join") == p.count("strategy=merge") for p in plans) and "strategy=merge" in plans[1]
+
+
+def test_rounds_of_components_deal_rows_out_three_times(spark, monkeypatch):
+    """A round has one shuffle for each star and one for repeated links; small tables are mostly a shuffle's files."""
+    plans, keep = [], components.durable
+
+    def kept(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return keep(df)
+
+    monkeypatch.setattr(components, "durable", kept)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 95), (95, 91)], "src long, dst long")
+    assert {r.node: r.component for r in components.connected_components(edges).collect()} == dict.fromkeys(range(41), 0) | dict.fromkeys((90, 91, 95), 90)
+    assert all(p.count("Exchange hash") - p.count("ReusedExchange") <= 3 for p in plans[1:])
+
+
+def test_shuffle_files_go_with_their_execution(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(durable.SHUFFLES_GO, "false")
+    out = durable.durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7 and spark.conf.get(durable.SHUFFLES_GO, "false") == setting
