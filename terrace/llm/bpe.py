@@ -4,7 +4,8 @@ The rank file is turned into a ``tokenizers`` BPE model: bytes become characters
 the usual byte-to-character mapping, and every split of a token into two tokens is a
 merge, in the order of the ranks. A text is cut by the pattern, each distinct piece is
 encoded once and kept in a bounded cache, and the ids of a text are those of its
-pieces. Decoding reverses the byte table; as a token may end inside a character, bytes
+pieces. Pieces go to the model one by one: a batch call of so short texts costs more in threads, one
+set for each task, and in offsets than their merges. Decoding reverses the byte table; as a token may end inside a character, bytes
 are joined before they are read as characters.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import lru_cache
 from itertools import accumulate
 
@@ -51,7 +53,7 @@ class Codec:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
         ranks = read_ranks(path)
         char = byte_characters()
@@ -62,7 +64,7 @@ class Codec:
             halves = sorted((ranks[a], ranks[b], a, b) for a, b in halves if a in ranks and b in ranks)
             merges += [(spell[a], spell[b]) for _, _, a, b in halves]
         vocab = {spell[t]: r for t, r in ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self.model = models.BPE(vocab=vocab, merges=merges, ignore_merges=True)
         self.char = {chr(b): c for b, c in char.items()}
         self.latin = str.maketrans(self.char)
         self.table = {r: t for t, r in ranks.items()}
@@ -75,6 +77,10 @@ class Codec:
     def _spelled(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.latin)
 
+    def _packed(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self._spelled(piece))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out = []
@@ -85,9 +91,8 @@ class Codec:
                 out.append(b"".join([cache[p] for p in pieces]))
                 continue
             except KeyError:
-                fresh = list({p for p in pieces if p not in cache})
-            new = self.tokenizer.encode_batch([self._spelled(p) for p in fresh], add_special_tokens=False)
-            own = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, new)}
+                fresh = {p for p in pieces if p not in cache}
+            own = {p: self._packed(p) for p in fresh}
             out.append(b"".join([own[p] if p in own else cache[p] for p in pieces]))
             if len(cache) + len(own) > CACHE_PIECES:
                 self.cache = cache = {}
@@ -96,8 +101,7 @@ class Codec:
 
     def decode(self, ids) -> bytes:
         """Bytes of the tokens; an unknown id raises KeyError."""
-        table = self.table
-        return b"".join([table[i] for i in ids])
+        return b"".join(map(self.table.__getitem__, ids))
 
     def offsets(self, text: str, ids) -> list[tuple[int, int]]:
         """Character span of each token; a token holding part of a character spans the whole of it."""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -56,3 +57,13 @@ def test_offsets_cover_split_characters(spark):
         piece = codec.table[i].decode(errors="ignore")
         assert piece in row.text[span.start : span.end] and span.end > span.start
     assert row.offsets[0].start == 0 and row.offsets[-1].end == len(row.text)
+
+
+def test_encoding_stays_in_its_thread():
+    """A task has one core: threads of the tokenizer's own would take several times the work's CPU seconds."""
+    codec, rng = bpe.codec(TOKENIZER, public_tokenizers.PATTERN), random.Random(5)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(9)) for _ in range(50)) for _ in range(400)]
+    every, own = time.process_time(), time.thread_time()
+    codec.packed(texts)
+    every, own = time.process_time() - every, time.thread_time() - own
+    assert every < 1.3 * own
