@@ -121,3 +121,34 @@ def test_many_volumes_are_joined_to_their_states(spark, monkeypatch):
     want = sorted(map(tuple, volume.clusters_of(spark.createDataFrame(rows, SCHEMA), 3, centre="median").collect()))
     monkeypatch.setattr(volume, "BROADCAST_BYTES", 10)
     assert sorted(map(tuple, volume.clusters_of(spark.createDataFrame(rows, SCHEMA), 3, centre="median").collect())) == want
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_profiles_are_read_from_vectors(spark, tmp_path, twice):
+    """Vectors are not dealt out value by value, unless an id stands twice; either way they are the volume's profiles."""
+    from pyspark.sql import functions as F
+
+    from terrace.sources import tables
+
+    rows = [(i, [float(i), None if i == 3 else 0.5 * i]) for i in range(40)] + [(50, []), (51, None), (52, [7.0])] + [(4, [9.0, 8.0])] * twice
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = tables.profiles(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == twice
+    of = lambda df: sorted(map(tuple, df.withColumn("p", F.col("p").cast("array<double>")).collect()), key=repr)
+    assert of(got) == of(volume.profiles(tables.brick(spark, str(tmp_path))))
+
+
+def test_centres_are_not_copied_to_profiles(spark, monkeypatch):
+    """Each row used to carry all centres of two rounds: over 1,025,640 vectors the batches took more memory than an executor has."""
+    columns, keep = [], volume._with_states
+
+    def kept(*of):
+        made = keep(*of)
+        columns.extend([made[0].columns] if made else [])
+        return made
+
+    monkeypatch.setattr(volume, "_with_states", kept)
+    rows = [(0, i // 5, i % 5, [float(i % 3), float(i)]) for i in range(40)]
+    assert volume.clusters_of(spark.createDataFrame(rows, SCHEMA), 3).count() == 40
+    assert len(columns) > 2 and all(set(c) <= {"brick_id", "row", "col", "h", "p", "holes"} for c in columns)
